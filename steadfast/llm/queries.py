@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from steadfast.llm import byte_bpe, line_dedup, mixing, quality_rules, url_filter
+from steadfast.llm import byte_bpe, jaccard_join, line_dedup, mixing, quality_rules, url_filter
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 
