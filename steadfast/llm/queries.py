@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from steadfast.llm import byte_bpe, jaccard_join, line_dedup, mixing, quality_rules, url_filter
+from steadfast.llm import byte_bpe, jaccard_join, line_dedup, mixing, pii_crf, quality_rules, url_filter
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_pii_crf": pii_crf.op9_pii_crf,
 }
 
 SQL = {
