@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from steadfast.llm.common import table
 
-BITS = 64
+#: Bits of a bitmap word; with two levels they hold BITS * BITS ranks. ONE[b] is the word with bit b.
+BITS = 256
+ONE = [1 << b for b in range(BITS)]
 #: Encoded matches that a worker remembers in each of two generations, and the longest match it does: when the young
 #: generation is full the old one is forgotten, and what is still in use moves on to the next.
 REMEMBERED, REMEMBERED_CHARS = 250_000, 64
@@ -30,123 +32,106 @@ REMEMBERED, REMEMBERED_CHARS = 250_000, 64
 BLOCK = 1_000_000
 
 
-class RankQueue:
-    """Positions waiting by rank, from 0 to size - 1; pop() gives the lowest rank and its lowest position."""
-
-    def __init__(self, size: int):
-        self.levels: list[list[int]] = []
-        while True:
-            size = (size + BITS - 1) // BITS
-            self.levels.append([0] * size)
-            if size == 1:
-                break
-        self.first: dict[int, int] = {}  # rank -> head of its linked list
-        self.late: dict[int, list[int]] = {}  # rank -> heap of what came after the list was laid
-        self.after: list[int] = []  # position -> next in the list of the same rank
-
-    def mark(self, rank: int) -> None:
-        for words in self.levels:
-            slot, bit = divmod(rank, BITS)
-            before = words[slot]
-            words[slot] = before | 1 << bit
-            if before:
-                return
-            rank = slot
-
-    def clear(self, rank: int) -> None:
-        for words in self.levels:
-            slot, bit = divmod(rank, BITS)
-            words[slot] &= ~(1 << bit)
-            if words[slot]:
-                return
-            rank = slot
-
-    def lay(self, ranks: list[int]) -> None:
-        """Fills the empty queue: ranks[i] is the rank at position i, or -1."""
-        first, after = self.first, self.after = self.first, [-1] * len(ranks)
-        for i in range(len(ranks) - 1, -1, -1):
-            if (r := ranks[i]) >= 0:
-                if r in first:
-                    after[i] = first[r]
-                else:
-                    self.mark(r)
-                first[r] = i
-
-    def push(self, rank: int, position: int) -> None:
-        if rank in self.late:
-            heapq.heappush(self.late[rank], position)
-        else:
-            if rank not in self.first:
-                self.mark(rank)
-            self.late[rank] = [position]
-
-    def pop(self) -> tuple[int, int] | None:
-        at = 0
-        for words in reversed(self.levels):
-            word = words[at]
-            if not word:
-                return None
-            at = at * BITS + (word & -word).bit_length() - 1
-        head, heap = self.first.get(at, -1), self.late.get(at)
-        if heap and (head < 0 or heap[0] < head):
-            position = heapq.heappop(heap)
-            if not heap:
-                del self.late[at]
-        else:
-            position = head
-            if (follower := self.after[head]) >= 0:
-                self.first[at] = follower
-            else:
-                del self.first[at]
-        if at not in self.first and at not in self.late:
-            self.clear(at)
-        return at, position
-
-
 class Codec:
     """ranks: bytes -> rank, with every single byte among them; pattern: what splits texts."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.tokens = {r: t for t, r in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        size = max(ranks.values()) + 1
+        if size > BITS * BITS:
+            raise ValueError(f"{size} ranks are more than the {BITS * BITS} that two levels of bitmap hold")
+        #: The lower level of the bitmap; all zero between calls, as every call empties its queue.
+        self.words = [0] * BITS
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.double = {(a, b): r for t, r in ranks.items() if len(t) == 2 for a, b in [t]}
         self.known: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.decimal = {r: str(r) for r in self.tokens}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of one match."""
+        """The ids of one match.
+
+        Tokens are known by where they begin: the one at i ends at end[i], follows the one at before[i], has the rank
+        token[i], and makes a pair of rank pair[i] with the next, or -1. A queue entry is a node: place[node] is its
+        position, after[node] the next node of its bucket, first[rank] a bucket's head. words and top are the bitmap.
+        """
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return (whole,)
-        n, longest, queue = len(piece), self.longest, self.queue
-        end = list(range(1, n + 1))  # token at i is piece[i:end[i]]
+        n, words, top, rank_of, one = len(piece), self.words, 0, ranks.get, ONE
+        double, first, late = self.double.get, {}, {}
+        end = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        pair = [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)]
+        token = [self.single[b] for b in piece]
+        pair = [double(ab, -1) for ab in zip(piece, piece[1:], strict=False)]
         pair.append(-1)
-        queue.lay(pair)
-        while got := queue.pop():
-            rank, i = got
+        place = list(range(n))
+        after = [-1] * n
+        for i in range(n - 1, -1, -1):  # from the right, so that lists are in order
+            if (r := pair[i]) >= 0:
+                after[i] = first.get(r, -1)
+                first[r] = i
+        for r in first:
+            slot = r >> 8
+            words[slot] |= one[r & 255]
+            top |= one[slot]
+        while top:
+            slot = (top & -top).bit_length() - 1  # find first set, level by level
+            word = words[slot]
+            low = word & -word
+            rank = slot << 8 | low.bit_length() - 1
+            node, heap = first.get(rank, -1), late.get(rank) if late else None
+            if heap and (node < 0 or heap[0] < place[node]):
+                i = heapq.heappop(heap)
+                if not heap:
+                    del late[rank]
+                gone = node < 0 and not heap
+            else:
+                i, follower = place[node], after[node]
+                if gone := follower < 0:
+                    del first[rank]
+                    gone = not heap
+                else:
+                    first[rank] = follower
+            if gone:
+                words[slot] = word ^ low
+                if word == low:
+                    top ^= one[slot]
             if pair[i] != rank:
                 continue  # stale
             j = end[i]
             end[i] = k = end[j]
             pair[j] = -1
-            pair[i] = -1
+            token[i] = rank
+            new = ()
             if k < n:
                 before[k] = i
-                if end[k] - i <= longest and (r := ranks.get(piece[i : end[k]], -1)) >= 0:
-                    pair[i] = r
-                    queue.push(r, i)
+                r = pair[i] = rank_of(piece[i : end[k]], -1)
+                if r >= 0:
+                    new = ((r, i),)
+            else:
+                pair[i] = -1
             if (h := before[i]) >= 0:
-                pair[h] = -1
-                if k - h <= longest and (r := ranks.get(piece[h:k], -1)) >= 0:
-                    pair[h] = r
-                    queue.push(r, h)
+                r = pair[h] = rank_of(piece[h:k], -1)
+                if r >= 0:
+                    new = (*new, (r, h))
+            for r, at in new:
+                head = first.get(r, -1)
+                if head >= 0 and at > place[head] or late and r in late:
+                    # behind the head of a list: kept in order beside it
+                    heapq.heappush(late.setdefault(r, []), at)
+                    continue
+                if head < 0:
+                    slot = r >> 8
+                    words[slot] |= one[r & 255]
+                    top |= one[slot]
+                first[r] = len(place)
+                place.append(at)
+                after.append(head)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : end[i]]])
+            ids.append(token[i])
             i = end[i]
         return tuple(ids)
 
