@@ -31,6 +31,10 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**48))
 
 
+def mix_key(id_: Column, text: Column) -> Column:
+    return F.coalesce(id_.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def source_targets(sizes: DataFrame, *, weights=(1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
     """source, source_size, target for rows (source, size): by code point, nulls last, sources weigh 1, 2, 3, repeating.
 
@@ -57,17 +61,17 @@ def source_targets(sizes: DataFrame, *, weights=(1, 2, 3), most: int = MOST_COPI
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), most: int = MOST_COPIES, seed: int = 7) -> DataFrame:
-    """id, source, size, source_size, target, copies, taken: one row for each row of docs.
+    """id, mix_key, source, size, source_size, target, copies, taken: one row for each row of docs.
 
-    Size is the number of words (null text: 0). A null source is a source of its own, the last. Null ids draw the number
-    of the empty key. Repeated rows with one id, size and source share their draw and rank next to each other; each is
-    decided by itself, in no other order than their ids, so ties fall on whole rows only where the cut passes between them.
+    Size is the number of words (null text: 0). A null source is a source of its own, the last. mix_key is the id as a
+    string, or for null ids a digest of the text: the draw comes from it. Repeated rows with one id, size and source share their draw and rank next to each other; each is
+    decided by itself, in no other order than their keys, so ties fall on whole rows only where the cut passes between them.
     Documents of size 0 are taken 0 words and as many copies as their source's whole part. Reruns agree. An empty table gives no row.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), uniform(key, seed).alias("u"))
+    key = mix_key(F.col(id_col), F.col(text_col))
+    docs = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), uniform(key, seed).alias("u"))
     # rows alike in id, source and size are told apart by a running number, so that each can be chosen alone
-    docs = cut(docs.groupBy("id", "source", "size", "u").agg(F.count("*").alias("rows")))
+    docs = cut(docs.groupBy("id", "key", "source", "size", "u").agg(F.count("*").alias("rows")))
     docs_rows = docs.withColumn("copy_of", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows")
     targets = cut(source_targets(docs.select("source", (F.col("size") * F.col("rows")).alias("size")), weights=weights, most=most))
     # small tables below are written by cut(), so that Spark knows their size and broadcasts them only below its own threshold
@@ -79,10 +83,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     # q / (1 + q) is in (0, 1) and as ordered as q
     rows = rows.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)))
-    rows = cut(rows.select("id", "source", "no_source", "k", "size", "copy_of", "source_size", "target", "whole", "missing", "rank"))
+    rows = cut(rows.select("id", "key", "source", "no_source", "k", "size", "copy_of", "source_size", "target", "whole", "missing", "rank"))
     group = ["k", "no_source"]
     # the slice of ranks in which each source's missing words run out, refined level by level
-    at = rows.filter("rank is not null and missing > 0").select(*group, "size", "rank", "id", "copy_of", "missing")
+    at = rows.filter("rank is not null and missing > 0").select(*group, "size", "rank", "key", "copy_of", "missing")
     slices = at.withColumn("lo", F.lit(0.0)).withColumn("base", F.lit(0.0))
     bounds = None
     for level in range(1, LEVELS + 1):
@@ -96,28 +100,76 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             .select(*group, F.col("b.next_lo").alias("lo"), F.col("b.next_base").alias("base"), F.lit(width).alias("width"))
         )
         slices = at.join(bounds, group).filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("lo") + F.col("width"))).drop("width")
-    order = Window.partitionBy(*group).orderBy("rank", "id", "copy_of")  # one narrow slice of each source
+    order = Window.partitionBy(*group).orderBy("rank", "key", "copy_of")  # one narrow slice of each source
     last = slices.withColumn("upto", F.col("base") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     cuts = cut(last.groupBy(*group).agg(
-        F.max(F.when(F.col("upto") <= F.col("missing"), F.struct("rank", F.coalesce("id", F.lit(-1)).alias("id"), "copy_of"))).alias("upto_row"),
+        F.max(F.when(F.col("upto") <= F.col("missing"), F.struct("rank", "key", "copy_of"))).alias("upto_row"),
         F.first("lo").alias("lo"),
         F.max(F.when(F.col("upto") <= F.col("missing"), F.col("upto"))).alias("filled"), F.first("base").alias("base"),
     ).select(*group, "upto_row", "lo", F.coalesce("filled", "base").alias("filled")))
-    row = F.struct("rank", F.coalesce("id", F.lit(-1)).alias("id"), "copy_of")
+    row = F.struct("rank", "key", "copy_of")
     rows = rows.join(cuts, group, "left")
     chosen = F.col("rank").isNotNull() & (F.col("lo").isNull() | (F.col("rank") < F.col("lo")) | F.coalesce(row <= F.col("upto_row"), F.lit(False)))
     rows = rows.withColumn("extra", F.when((F.col("missing") > 0) & chosen, 1).otherwise(0)).withColumn("gap", F.col("missing") - F.col("filled")).drop("upto_row", "lo", "filled")
-    # documents that best close what is left: each time one for each source, if it brings the sum nearer
-    for _ in range(2):
-        near = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", F.coalesce("id", F.lit(-1)).alias("id"), "copy_of", "size")
-        best = cut(rows.filter("extra = 0 and rank is not null and gap > 0 and size > 0").groupBy(*group).agg(F.min(near).alias("best"), F.first("gap").alias("was")).filter("best.off < was").select(*group, "best"))
+    # documents that best close what is left: each time one for each source, the largest that fits in, and at last the
+    # nearest in size, if it brings the sum nearer
+    for fits in ("size <= gap", "size <= gap", "true"):
+        near = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "key", "copy_of", "size")
+        best = cut(rows.filter(f"extra = 0 and rank is not null and gap > 0 and size > 0 and {fits}").groupBy(*group).agg(F.min(near).alias("best"), F.first("gap").alias("was")).filter("best.off < was").select(*group, "best"))
         rows = rows.join(best, group, "left")
-        hit = (F.col("extra") == 0) & F.col("rank").eqNullSafe(F.col("best.rank")) & F.coalesce("id", F.lit(-1)).eqNullSafe(F.col("best.id")) & F.col("copy_of").eqNullSafe(F.col("best.copy_of"))
+        hit = (F.col("extra") == 0) & F.col("rank").eqNullSafe(F.col("best.rank")) & F.col("key").eqNullSafe(F.col("best.key")) & F.col("copy_of").eqNullSafe(F.col("best.copy_of"))
         rows = rows.withColumn("extra", F.when(F.col("best").isNotNull() & hit, 1).otherwise(F.col("extra"))).withColumn("gap", F.col("gap") - F.coalesce("best.size", F.lit(0))).drop("best")
     copies = F.col("whole") + F.col("extra")
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select(F.col("id").alias(id_col), F.col("key").alias("mix_key"), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP3_SQL = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+         (('0x' || substr(md5('7:' || doc_id), 1, 12))::bigint::double + 0.5) / 281474976710656.0 as u
+  from documents
+), s as (
+  select source, sum(size)::bigint as source_size from d group by source
+), w as (
+  select *, [1.0::double, 2.0::double, 3.0::double][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight,
+         3 * source_size::double as cap, (sum(source_size) over ())::double as total
+  from s
+), l as (
+  select *, (total - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0.0))
+            / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level
+  from w
+), f as (select *, first(case when level * weight <= cap then level end ignore nulls) over (order by cap / weight, source nulls last rows between unbounded preceding and unbounded following) as lev from l),
+t as (
+  select source, source_size, least(cap, coalesce(lev * weight, cap)) as target from f
+), p as (
+  select source, source_size, target, floor(case when source_size > 0 then target / source_size else 0.0 end) as whole,
+         case when source_size > 0 then target / source_size else 0.0 end as wanted from t
+), q as (
+  select d.doc_id, d.source, d.size, p.source_size, p.target, p.whole::bigint as whole, p.target - p.whole * p.source_size as missing,
+         case when p.wanted - p.whole > 0 then (d.u / (1 - d.u)) / ((p.wanted - p.whole) / (1 - (p.wanted - p.whole))) end as odds
+  from d join p on d.source is not distinct from p.source
+), r as (
+  select *, odds / (1 + odds) as rank, doc_id::varchar as key,
+         sum(size) over (partition by source order by odds / (1 + odds), doc_id::varchar rows between unbounded preceding and current row) as upto
+  from q where odds is not null
+), c0 as (select *, upto <= missing as extra from r),
+g0 as (select source, any_value(missing) - coalesce(sum(size) filter (where extra), 0) as gap from c0 group by source),
+b1 as (select c0.source, min(struct_pack(o := abs(size - gap), r := rank, k := key, z := size)) as b from c0 join g0 on c0.source is not distinct from g0.source
+       where not extra and gap > 0 and size > 0 and size <= gap group by c0.source),
+c1 as (select c0.* replace (extra or coalesce(key = b.k, false) as extra) from c0 left join b1 on c0.source is not distinct from b1.source),
+g1 as (select source, any_value(missing) - coalesce(sum(size) filter (where extra), 0) as gap from c1 group by source),
+b2 as (select c1.source, min(struct_pack(o := abs(size - gap), r := rank, k := key, z := size)) as b from c1 join g1 on c1.source is not distinct from g1.source
+       where not extra and gap > 0 and size > 0 and size <= gap group by c1.source),
+c2 as (select c1.* replace (extra or coalesce(key = b.k, false) as extra) from c1 left join b2 on c1.source is not distinct from b2.source),
+g2 as (select source, any_value(missing) - coalesce(sum(size) filter (where extra), 0) as gap from c2 group by source),
+b3 as (select c2.source, min(struct_pack(o := abs(size - gap), r := rank, k := key, z := size)) as b, any_value(gap) as gap from c2 join g2 on c2.source is not distinct from g2.source
+       where not extra and gap > 0 and size > 0 group by c2.source),
+c3 as (select c2.* replace (extra or coalesce(key = b.k and b.o < gap, false) as extra) from c2 left join b3 on c2.source is not distinct from b3.source)
+select q.doc_id, q.size, q.source_size, q.target, (q.whole + coalesce(c3.extra::int, 0)) * q.size as taken, q.whole + coalesce(c3.extra::int, 0) as copies
+from q left join c3 on q.doc_id = c3.doc_id
+"""

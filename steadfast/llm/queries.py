@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_mixing": mixing.OP3_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
 }
