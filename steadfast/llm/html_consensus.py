@@ -220,7 +220,7 @@ def parse(page: str) -> Page:
 def scores(page: Page) -> dict[str, float]:
     """Of every container's path: the characters of running text that stand in it, less those of links, twice.
 
-    A container gives nine tenths of its sum to the one around it, so that the innermost that still holds all the text
+    A container gives three quarters of its sum to the one around it, so that the innermost that still holds all the text
     is ahead; an article or main element counts twice.
     """
     sums = [0.0] * len(page.names)
@@ -232,7 +232,7 @@ def scores(page: Page) -> dict[str, float]:
             name, give = page.names[n], 1.0
             if name in CONTAINERS:
                 found[page.paths[n]] = found.get(page.paths[n], 0.0) + sums[n] * (2.0 if name in ("article", "main") else 1.0)
-                give = 0.9
+                give = 0.75
             sums[page.parents[n]] += give * sums[n]
     return found
 
@@ -265,15 +265,16 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
     def vote(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str], list[float]] = {}
+            sums: dict[tuple[str, str], int] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                for path, score in scores(parse(page.as_py() or "")).items():
-                    own = sums.setdefault((host, path), [0.0, 0])
-                    own[0] += score
-                    own[1] += 1
+                found = scores(parse(page.as_py() or ""))
+                best = max(found.values(), default=1.0)
+                for path, score in found.items():
+                    # a page's votes are shares of its best container's score, so that long pages don't outvote others;
+                    # whole numbers, so that sums don't depend on their order
+                    sums[host, path] = sums.get((host, path), 0) + round(1_000_000 * score / best)
             rows = list(sums.items())
-            # whole numbers, so that sums don't depend on their order
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([round(v[0] * 16) for _, v in rows], pa.int64())], names=["host", "path", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())], names=["host", "path", "score"])
 
     votes = pages.select("host", "html").mapInArrow(vote, "host string, path string, score long")
     sums = votes.groupBy("host", "path").agg(F.sum("score").alias("score"))

@@ -51,7 +51,7 @@ TEMPLATES = (
     ("cc0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide."),
 )
 
-CUE = re.compile(r"licen[sc]e|sublicen|copyright|warrant(?:y|ies)|merchantab|rights reserved|public domain|redistribut|permission (?:is|to|notice)|endorse or promote|spdx-license", re.I)
+CUE = re.compile(r"licen[sc]e|sublicen|copyright|warrant(?:y|ies)|merchantab|rights\s+reserved|public\s+domain|redistribut|permission\s+(?:is|to|notice)|endorse\s+or\s+promote|spdx-license", re.I)
 #: A word, as compared: letters and digits, and signs that stand in names and versions between them.
 WORD = re.compile(r"[A-Za-z0-9À-￿]+(?:[.+'-][A-Za-z0-9]+)*")
 GAP = 8
