@@ -5,12 +5,15 @@ element among their first n - ceil(t n) + 1 (their prefixes) in any order of all
 with the frequent shingles last, so that passages which many documents share bring no pairs together.
 
 1. Documents of one set are one class, stood for by its smallest id.
-2. Stars: classes that share one of their lowest hashes, and about their size, are verified against the first of them
-   only. Large groups of near copies become components in steps that grow with the group, not with its square.
-3. Classes with the same prefix and size are one group. Groups meet in an equi-join on prefix elements, but only on
-   those that at least two components have; pairs of one component need no test, as they are linked already. Size and
-   position rule out group pairs; the rest are expanded to members.
-4. Members are verified by their whole sets. Connected components of all links give the result.
+2. Which shingles are frequent is counted on the lowest hashes of each class and, for classes that have too few others
+   among these, on their whole sets. Then every class has its prefix, rare shingles first.
+3. Stars: of the classes that share prefix elements, all are verified against one leader, the one with fewest rare
+   shingles; in later rounds, against others, if their component is still another. Large groups of near copies become
+   components in steps that grow with the group, not with its square.
+4. Classes with the same prefix, size and component are one group. Prefix elements that two components have bring
+   these components together, and then their groups, never groups of one component, as these are linked already. Size
+   and the number of common prefix elements rule out group pairs; the rest are expanded to members.
+5. Members are verified by their whole sets. Connected components of all links give the result.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ from steadfast.llm.common import components, cut, table
 #: Words of a shingle and hundredths of similarity, where nothing else is said.
 SHINGLE, SIMILARITY = 5, 80
 #: A shingle in more classes than this is frequent. Which ones are changes only the order, so the work, never the result.
-FREQUENT = 64
+FREQUENT = 16
 #: Frequent shingles broadcast, 8 bytes each; with more, the mark is doubled until they are so few.
 MOST_FREQUENT = 500_000
-#: Lowest hashes that stars look at.
-STAR = 4
+#: Rounds of stars at most. What they miss is found later, at more cost.
+ROUNDS = 2
+#: Rows of one or two numbers that are broadcast at most, about 32 MB; larger tables are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,8 +69,13 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def head_length(n: int, percent: int) -> int:
-    """How many of the lowest hashes are kept: twice the prefix, so that some frequent ones may be passed over."""
-    return min(n, 2 * prefix_length(n, percent) + 8)
+    """How many of the lowest hashes are kept: more than the prefix, so that some frequent ones may be passed over."""
+    return min(n, 3 * prefix_length(n, percent) // 2 + 8)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, a written table, marked for broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _map_texts(docs: DataFrame, k: int, columns: str, f: Callable[[np.ndarray], tuple]) -> DataFrame:
@@ -91,16 +101,63 @@ def _may_be_alike(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the distinct pairs (a, b) of ids, those whose sets are alike; docs are (id, text) of those that stand for a class."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(_map_texts(docs.join(wanted, "id", "left_semi"), k, "hashes array<long>", lambda s: (s,)))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """id and hashes of the wanted ids' sets."""
+    return cut(_map_texts(texts.join(_small(wanted), "id", "left_semi"), k, "hashes array<long>", lambda s: (s,)))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the distinct pairs (a, b) of ids, those whose sets are alike."""
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b")
 
 
+def _parts(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """class and part, the smallest class that links reach."""
+    found = components(links)
+    return cut(classes.join(found, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("part")))
+
+
+def _least_common(na: Column, nb: Column, percent: int) -> Column:
+    """Elements that prefixes of alike sets share at least: of the one that ends first, n - overlap can be missing in the other."""
+    overlap = F.ceil(percent * (na + nb) / (100 + percent))
+    return F.greatest(F.lit(1), overlap - F.ceil(percent * F.greatest(na, nb) / 100) + 1)
+
+
+def _stars(entries: DataFrame, texts: DataFrame, parts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links found by stars, the parts they make, and the sets read for them; entries are (token, class, n, rare)."""
+    crowded = entries.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").drop("many")
+    lows = cut(entries.join(crowded, "token"))
+    near = lows.groupBy("class").agg(F.count("*").alias("many"), F.first("n").alias("n"))
+    near = cut(near.filter(2 * F.col("many") > F.col("n") - F.ceil(percent * F.col("n") / 100)).select("class"))
+    lows = cut(lows.join(_small(near), "class", "left_semi"))
+    sets = _sets(texts, near.select(F.col("class").alias("id")), k)
+    links = None
+    for r in range(ROUNDS):
+        here = lows.join(_small(parts), "class")
+        first = F.col("rare") if r % 2 == 0 else F.lit(0)
+        leader = F.min(F.struct(first, F.when(F.lit(r == 0), F.col("class")).otherwise(F.xxhash64("class", F.lit(r))).alias("h"), F.col("class").alias("leader"), F.col("n").alias("m"), F.col("part").alias("of")))
+        met = here.join(here.groupBy("token").agg(leader.alias("l")).select("token", "l.leader", "l.m", "l.of"), "token").filter("part <> of").filter(_may_be_alike(F.col("n"), F.col("m"), percent))
+        met = met.groupBy("class", "leader").agg(F.count("*").alias("many"), F.first("n").alias("n"), F.first("m").alias("m")).filter(F.col("many") >= _least_common(F.col("n"), F.col("m"), percent))
+        best = met.groupBy("class").agg(F.max(F.struct("many", (-F.col("leader")).alias("leader"))).alias("best"))
+        pairs = cut(best.select(F.least("class", -F.col("best.leader")).alias("a"), F.greatest("class", -F.col("best.leader")).alias("b")).distinct())
+        if not pairs.limit(1).count():
+            break
+        new = cut(_verified(pairs, sets, percent))
+        links = new if links is None else links.unionByName(new)
+        if new.limit(1).count():
+            parts = _parts(parts.select("class"), links)
+    return links if links is not None else parts.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0), parts, sets
+
+
+def _frequent(counts: DataFrame, mark: int) -> np.ndarray:
+    """The tokens of counts (token, many) above the mark, which is doubled until they are few enough to be broadcast."""
+    while counts.filter(F.col("many") > mark).count() > MOST_FREQUENT:
+        mark *= 2
+    return np.array(sorted(r[0] for r in counts.filter(F.col("many") > mark).select("token").collect()), np.int64)
+
+
 def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
     """id, n_shingles, component_id for each row of docs: the size of its set and the smallest id that links reach, itself included.
 
@@ -116,61 +173,55 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     sets = cut(_map_texts(texts, k, "n long, digest binary, head array<long>", summary))
     full = sets.filter("n > 0 and id is not null")
-    chosen = full.groupBy("digest").agg(F.min("id").alias("class"))
-    classes = cut(full.join(chosen, "digest").filter("id = class").select("class", "n", "digest", "head").dropDuplicates(["digest"]))
-    standing = texts.join(classes.select(F.col("class").alias("id")), "id", "left_semi")
-
-    # stars
-    band = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100))
-    lows = cut(classes.select("class", "n", band.alias("band"), F.explode(F.slice("head", 1, STAR)).alias("token")))
-    leaders = lows.groupBy("token", "band").agg(F.min(F.struct("class", "n")).alias("leader"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    stars = lows.join(leaders, ["token", "band"]).filter("class <> leader.class")
-    stars = stars.filter(_may_be_alike(F.col("n"), F.col("leader.n"), percent)).select(F.col("leader.class").alias("a"), F.col("class").alias("b")).distinct()
-    star_links = cut(_verified(stars, standing, k, percent))
-    first = components(star_links)
-    classes = cut(classes.join(first, classes["class"] == first["node"], "left").select("class", "n", "head", F.coalesce("component", "class").alias("part")))
-
-    # frequent shingles, and those in two components at least
-    counts = classes.select("part", F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("many"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    shared = cut(counts.filter("lo <> hi").select("token", "many"))
-    mark = frequent
-    while shared.filter(F.col("many") > mark).count() > MOST_FREQUENT:
-        mark *= 2
-    last = np.array(sorted(r[0] for r in shared.filter(F.col("many") > mark).select("token").collect()), np.int64)
-    last_there = docs.sparkSession.sparkContext.broadcast(last)
-
-    def ordered(head: np.ndarray, n: int, whole: bool) -> np.ndarray | None:
-        """The prefix in the order with frequent shingles last, or None if the head doesn't tell."""
-        size = prefix_length(n, percent)
-        rare = ~np.isin(head, last_there.value)
-        if whole:
-            return np.r_[head[rare], head[~rare]][:size]
-        return head[rare][:size] if rare.sum() >= size or len(head) == n else None
-
-    prefixes = _prefixes(classes, standing, k, ordered, last_there)
-    # groups of one prefix and size
-    groups = prefixes.groupBy("n", "prefix").agg(F.min("class").alias("group"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    member = prefixes.select("class", "part", "n", F.xxhash64("n", "prefix").alias("key"))
-    groups = cut(groups.withColumn("key", F.xxhash64("n", "prefix")))
-    member = cut(member)
-    entries = groups.select("key", "n", "lo", "hi", F.posexplode("prefix").alias("at", "token"))
-    both_parts = entries.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least <> most").select("token")
-    entries = cut(entries.join(both_parts, "token", "left_semi"))
-    a, b = entries.alias("a"), entries.alias("b")
-    rest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    enough = (F.least("a.at", "b.at") + rest) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
-    apart = (F.col("a.lo") != F.col("b.lo")) | (F.col("a.lo") != F.col("a.hi")) | (F.col("b.lo") != F.col("b.hi"))
-    # the smaller set first, so that each pair of groups comes once
-    once = F.struct("a.n", "a.key") < F.struct("b.n", "b.key")
-    near = F.col("b.n") * percent <= F.col("a.n") * 100
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & once & near & enough & apart).select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).distinct()
-    of_a, of_b = member.select(F.col("key").alias("ka"), F.col("class").alias("a"), F.col("part").alias("pa")), member.select(F.col("key").alias("kb"), F.col("class").alias("b"), F.col("part").alias("pb"))
-    between = met.join(of_a, "ka").join(of_b, "kb").filter("pa <> pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # within a group: each member against the group's first, if that is of another component, and all others that differ still
-    mixed = groups.filter("lo <> hi").select("key")
-    x, y = of_a.join(mixed, F.col("ka") == F.col("key"), "left_semi"), of_b.join(mixed, F.col("kb") == F.col("key"), "left_semi")
-    within = x.join(y, (F.col("ka") == F.col("kb")) & (F.col("pa") < F.col("pb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = _verified(between.unionByName(within).distinct(), standing, k, percent)
+    chosen = cut(full.groupBy("digest").agg(F.min("id").alias("class")))
+    # an id whose rows have different texts stands for all their sets
+    standing = full.join(_small(chosen.select(F.col("class").alias("id"))), "id", "left_semi").select(F.col("id").alias("class"), "n", "head")
+
+    # frequent shingles: by the heads, then by the whole sets of those whose heads have too few others
+    counts = cut(standing.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("many")).filter("many > 1"))
+    spark, last = docs.sparkSession, _frequent(counts, frequent)
+    needy = cut(_prefixes(standing, percent, spark.sparkContext.broadcast(last)).filter("prefix is null").select(F.col("class").alias("id")).distinct())
+    wide = _sets(texts, needy, k)
+    more = cut(wide.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > frequent))
+    last = spark.sparkContext.broadcast(np.union1d(last, _frequent(more, frequent)))
+    by_head = cut(_prefixes(standing, percent, last))
+    needy = cut(by_head.filter("prefix is null").select(F.col("class").alias("id")).distinct())
+    wide = _sets(texts, needy, k).select(F.col("id").alias("class"), F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("head"))
+    prefixes = by_head.filter("prefix is not null").withColumn("whole", F.lit(False)).unionByName(cut(_prefixes(wide, percent, last)).withColumn("whole", F.lit(True)))
+    prefixes = prefixes.withColumn("same", F.xxhash64("n", "prefix"))
+    about = prefixes.select("class", "n", "rare", "same", (F.size("prefix") - F.least(F.size("prefix"), F.col("rare"))).alias("f"))
+    exploded = prefixes.select("class", "whole", F.explode("prefix").alias("token"))
+    # a shingle matters if two classes have it: as the heads tell, or, behind a head's end, perhaps
+    matters = cut(counts.select("token").union(exploded.filter("whole").select("token")).distinct())
+    entries = cut(exploded.select("token", "class").join(_small(matters), "token", "left_semi"))
+
+    alone = cut(chosen.select("class").distinct().withColumn("part", F.col("class")))
+    about = cut(about)
+    star_links, parts, sets_there = _stars(entries.join(_small(about.select("class", "n", "rare")), "class").select("token", "class", "n", "rare"), texts, alone, k, percent)
+
+    # groups of one prefix, size and component
+    member = about.join(_small(parts), "class").withColumn("key", F.xxhash64("same", "part"))
+    member = cut(member.select("class", "part", "key", "n", "f"))
+    stands = _small(cut(member.groupBy("key").agg(F.min("class").alias("class"), F.first("part").alias("part"), F.first("n").alias("n"), F.first("f").alias("f"))))
+    entries = cut(entries.join(stands, "class").select("token", "key", "part", "n", "f"))
+    tokens = cut(entries.select("token", "part").distinct())
+    several = tokens.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
+    frequent_ones = spark.createDataFrame([(int(t),) for t in last.value], "often long")
+    tokens = cut(tokens.join(several, "token", "left_semi").join(F.broadcast(frequent_ones), F.col("token") == F.col("often"), "left").select("token", "part", F.col("often").isNotNull().alias("often")))
+    both = tokens.join(tokens.select("token", F.col("part").alias("other")), "token").filter("part < other")
+    side = lambda x, part: entries.select("token", F.col("part").alias(part), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("f").alias(f"f{x}"))
+    least = _least_common(F.col("na"), F.col("nb"), percent)
+    # of the frequent shingles both prefixes have no more than the shorter frequent part: pairs for which that is too
+    # little need a rare one in common, too, and don't meet on frequent ones
+    met = both.join(side("a", "part"), ["token", "part"]).join(side("b", "other"), ["token", "other"]).filter(_may_be_alike(F.col("na"), F.col("nb"), percent) & (~F.col("often") | (F.least("fa", "fb") >= least)))
+    met = met.groupBy("ka", "kb").agg(F.sum(F.when(F.col("often"), 0).otherwise(1)).alias("some"), F.sum(F.when(F.col("often"), 1).otherwise(0)).alias("more"), *(F.first(c).alias(c) for c in ("na", "nb", "fa", "fb")))
+    frequent_part = F.when(F.least("fa", "fb") >= least, F.col("more")).otherwise(F.least("fa", "fb"))
+    met = met.filter(F.col("some") + frequent_part >= least).select("ka", "kb")
+    of_a, of_b = member.select(F.col("key").alias("ka"), F.col("class").alias("a")), member.select(F.col("key").alias("kb"), F.col("class").alias("b"))
+    between = cut(met.join(of_a, "ka").join(of_b, "kb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = between.select(F.col("a").alias("id")).union(between.select(F.col("b").alias("id"))).distinct()
+    missing = cut(wanted.join(sets_there.select("id"), "id", "left_anti"))
+    links = _verified(between, sets_there.unionByName(_sets(texts, missing, k)), percent)
     found = cut(components(star_links.unionByName(links)))
 
     of_class = chosen.join(found, F.col("class") == F.col("node"), "left").select("digest", F.coalesce("component", "class").alias("component"))
@@ -179,21 +230,26 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), one.alias("component_id"))
 
 
-def _prefixes(classes: DataFrame, standing: DataFrame, k: int, ordered: Callable, last_there) -> DataFrame:
-    """class, part, n, prefix: from the head where that is enough, else from the whole set."""
-    schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("part", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+def _prefixes(classes: DataFrame, percent: int, last) -> DataFrame:
+    """class, n, prefix, rare for (class, n, head): the first elements in the order with the frequent ones last, or null if the head doesn't tell."""
+    schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("rare", T.LongType())])
 
-    def heads(batches):
+    def run(batches):
         for batch in batches:
-            rows = [ordered(np.array(h, np.int64), n, False) for h, n in zip(batch.column("head").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("part"), batch.column("n"), pa.array(rows, pa.list_(pa.int64()))], names=schema.names)
-
-    found = cut(classes.mapInArrow(heads, schema))
-    missing = found.filter("prefix is null").drop("prefix")
-    texts = standing.join(missing.select(F.col("class").alias("id")), "id", "left_semi")
-    whole = _map_texts(texts, k, "size long, prefix array<long>", lambda s: (len(s), ordered(s, len(s), True)))
-    rest = missing.join(whole, (F.col("class") == F.col("id")) & (F.col("n") == F.col("size"))).select(*schema.names)
-    return cut(found.filter("prefix is not null").unionByName(rest))
+            for at in range(0, batch.num_rows, 1000):
+                part, rows, rares = batch.slice(at, 1000), [], []
+                heads, marks = part.column("head").flatten().to_numpy(), last.value
+                place = np.minimum(np.searchsorted(marks, heads), max(0, len(marks) - 1))
+                known = marks[place] == heads if len(marks) else np.zeros(len(heads), bool)
+                start = 0
+                for k, n in zip(part.column("head").value_lengths().to_pylist(), part.column("n").to_pylist(), strict=True):
+                    head, rare, size = heads[start : start + k], ~known[start : start + k], prefix_length(n, percent)
+                    start += k
+                    rares.append(int(rare.sum()))
+                    rows.append(np.r_[head[rare], head[~rare]][:size] if k == n else head[rare][:size] if rares[-1] >= size else None)
+                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("n"), pa.array(rows, pa.list_(pa.int64())), pa.array(rares, pa.int64())], names=schema.names)
+
+    return classes.select("class", "n", "head").mapInArrow(run, schema)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
