@@ -121,8 +121,8 @@ def normal_ppf(p: float) -> float:
 
 
 def t_cdf(x: float, df: float) -> float:
-    tail = 0.5 * float(betainc(df / 2, 0.5, np.array([df / (df + x * x)]))[0])
-    return 1 - tail if x > 0 else tail
+    inner = float(betainc(0.5, df / 2, np.array([x * x / (df + x * x)]))[0])  # between -x and x
+    return 0.5 + math.copysign(inner, x) / 2 if x else 0.5
 
 
 def t_ppf(p: float, df: float) -> float:

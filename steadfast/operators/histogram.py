@@ -185,7 +185,7 @@ def distances(hist: DataFrame, group: str) -> DataFrame:
         total(lambda x: F.when(p(x) > eps, p(x) * F.log(p(x) / F.greatest(q(x), F.lit(eps)))).otherwise(0.0)).alias("kl"),
         (0.5 * total(lambda x: F.when(p(x) + q(x) > 0, (p(x) - q(x)) * (p(x) - q(x)) / (p(x) + q(x))).otherwise(0.0))).alias("chi_squared"),
         total(lambda x: F.least(p(x), q(x))).alias("intersection"),
-        F.when(bc >= 1, 0.0).otherwise(F.greatest(F.lit(0.0), -F.log(bc))).alias("bhattacharyya"),
+        F.when(bc >= 1, 0.0).when(bc == 0, float("inf")).otherwise(F.greatest(F.lit(0.0), -F.log(bc))).alias("bhattacharyya"),
     )
 
 

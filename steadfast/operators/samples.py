@@ -59,14 +59,12 @@ def ranked(s: DataFrame, groups: Sequence[str], most: int | None = None) -> Data
         return s.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy("x")))
     slices = max(2, most // SLICE_ROWS)
     cuts = s.groupBy(*groups).agg(F.percentile_approx("x", [k / slices for k in range(1, slices)], 100 * slices).alias("cuts"))
-    keys = [s[g].eqNullSafe(cuts[g]) for g in groups]
-    placed = s.join(F.broadcast(cuts) if not groups else cuts, keys[0] if len(keys) == 1 else _all(keys) if keys else F.lit(True), "inner") if keys else s.crossJoin(F.broadcast(cuts))
-    placed = placed.select(*(s[g] for g in groups), s["x"], F.size(F.filter("cuts", lambda c: c < s["x"])).alias("slice"))
+    more = [c for c in s.columns if c not in (*groups, "x")]
+    placed = join_groups(s, cuts, groups).select(*groups, *more, "x", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("slice"))
     counts = placed.groupBy(*groups, "slice").agg(F.count("*").alias("c"))
     before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy(*groups).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     within = placed.withColumn("r", F.row_number().over(Window.partitionBy(*groups, "slice").orderBy("x")))
-    on = [within[g].eqNullSafe(before[g]) for g in groups] + [within["slice"] == before["slice"]]
-    return within.join(before, _all(on)).select(*(within[g] for g in groups), within["x"], (F.col("r") + F.col("before")).alias("rank"))
+    return join_groups(within, before, [*groups, "slice"]).select(*groups, *more, "x", (F.col("r") + F.col("before")).alias("rank"))
 
 
 def _all(conditions: list[Column]) -> Column:
