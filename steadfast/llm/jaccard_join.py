@@ -204,15 +204,18 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     member = cut(member.select("class", "part", "key", "n", "f"))
     stands = _small(cut(member.groupBy("key").agg(F.min("class").alias("class"), F.first("part").alias("part"), F.first("n").alias("n"), F.first("f").alias("f"))))
     entries = cut(entries.join(stands, "class").select("token", "key", "part", "n", "f"))
-    tokens = cut(entries.select("token", "part").distinct())
+    tokens = cut(entries.groupBy("token", "part").agg(F.max("f").alias("f"), F.min("n").alias("lo"), F.max("n").alias("hi")))
     several = tokens.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
     frequent_ones = spark.createDataFrame([(int(t),) for t in last.value], "often long")
-    tokens = cut(tokens.join(several, "token", "left_semi").join(F.broadcast(frequent_ones), F.col("token") == F.col("often"), "left").select("token", "part", F.col("often").isNotNull().alias("often")))
-    both = tokens.join(tokens.select("token", F.col("part").alias("other")), "token").filter("part < other")
+    tokens = cut(tokens.join(several, "token", "left_semi").join(F.broadcast(frequent_ones), F.col("token") == F.col("often"), "left").withColumn("often", F.col("often").isNotNull()))
+    others = tokens.select("token", *(F.col(c).alias(f"{c}_") for c in ("f", "lo", "hi")), F.col("part").alias("other"))
+    # what any two of their members must have in common at least; of the frequent shingles both prefixes have no more
+    # than the shorter frequent part, and pairs for which that is too little need a rare one in common, too
+    bound = F.ceil(percent * (F.col("lo") + F.col("lo_")) / (100 + percent)) - F.ceil(percent * F.greatest("hi", "hi_") / 100) + 1
+    sizes_meet = (F.col("lo") * percent <= F.col("hi_") * 100) & (F.col("lo_") * percent <= F.col("hi") * 100)
+    both = tokens.join(others, "token").filter("part < other").filter(sizes_meet & (~F.col("often") | (F.least("f", "f_") >= F.greatest(F.lit(1), bound)))).select("token", "part", "other", "often")
     side = lambda x, part: entries.select("token", F.col("part").alias(part), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("f").alias(f"f{x}"))
     least = _least_common(F.col("na"), F.col("nb"), percent)
-    # of the frequent shingles both prefixes have no more than the shorter frequent part: pairs for which that is too
-    # little need a rare one in common, too, and don't meet on frequent ones
     met = both.join(side("a", "part"), ["token", "part"]).join(side("b", "other"), ["token", "other"]).filter(_may_be_alike(F.col("na"), F.col("nb"), percent) & (~F.col("often") | (F.least("fa", "fb") >= least)))
     met = met.groupBy("ka", "kb").agg(F.sum(F.when(F.col("often"), 0).otherwise(1)).alias("some"), F.sum(F.when(F.col("often"), 1).otherwise(0)).alias("more"), *(F.first(c).alias(c) for c in ("na", "nb", "fa", "fb")))
     frequent_part = F.when(F.least("fa", "fb") >= least, F.col("more")).otherwise(F.least("fa", "fb"))
