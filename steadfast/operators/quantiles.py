@@ -7,15 +7,17 @@ an equi-join, so any number of ps costs one ranking of the data, and the sums ar
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steadfast.errors import InvalidParameter
 from steadfast.functions.weights import HD, Method, check_probability
+from steadfast.operators import samples
 from steadfast.operators.samples import _all, join_groups, ranked, sample, sizes
 
 #: Distinct group sizes whose weights the driver makes, and rows of the table it makes; beyond, executors make them.
@@ -35,16 +37,30 @@ def _rows(method: Method, ns: Sequence[int], ps: Sequence[float]) -> pd.DataFram
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"n": [], "p": [], "rank": [], "w": []}).astype({"n": "int64", "p": "float64", "rank": "int64", "w": "float64"})
 
 
-def weight_table(spark: SparkSession, ns: DataFrame, ps: Sequence[float], method: Method = HD) -> DataFrame:
-    """(n, p, rank, w) for the distinct n of a one-column DataFrame. Broadcast only if the driver made it within its bounds."""
+@dataclass
+class Measured:
+    """Group sizes of a sample: as a DataFrame (groups, n), the largest, and the distinct ones if they are few."""
+
+    sizes: DataFrame
+    most: int
+    known: list[int] | None
+
+
+def measure(s: DataFrame, groups: Sequence[str]) -> Measured:
+    n_of = sizes(s, groups)
+    known = sorted(r[0] for r in n_of.select("n").distinct().limit(DRIVER_SIZES + 1).collect())
+    if len(known) <= DRIVER_SIZES:
+        return Measured(n_of, known[-1] if known else 0, known)
+    return Measured(n_of, n_of.agg(F.max("n")).first()[0], None)
+
+
+def weight_table(spark: SparkSession, measured: Measured, ps: Sequence[float], method: Method = HD) -> DataFrame:
+    """(n, p, rank, w) for the sizes of groups. Broadcast only if the driver made it within its bounds."""
     ps = [check_probability(p) for p in ps]
-    schema = "n long, p double, rank long, w double"
-    ns = ns.distinct()
-    known = sorted(r[0] for r in ns.limit(DRIVER_SIZES + 1).collect())
+    known = measured.known
     # a weight band is some 20 standard deviations of a rank wide at most
-    rows = sum(min(n, 20 * int(max(n, 1) ** 0.5) + 120) for n in known) * len(ps)
-    if len(known) <= DRIVER_SIZES and rows <= DRIVER_ROWS:
-        return F.broadcast(spark.createDataFrame(_rows(method, known, ps), schema))
+    if known is not None and sum(min(n, 20 * int(max(n, 1) ** 0.5) + 120) for n in known) * len(ps) <= DRIVER_ROWS:
+        return F.broadcast(spark.createDataFrame(_rows(method, known, ps), "n long, p double, rank long, w double"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,20 +68,23 @@ def weight_table(spark: SparkSession, ns: DataFrame, ps: Sequence[float], method
                 for p in ps:
                     yield pa.RecordBatch.from_pandas(_rows(method, [n], [p]), preserve_index=False)
 
-    return ns.mapInArrow(make, schema)
+    return measured.sizes.select("n").distinct().mapInArrow(make, "n long, p double, rank long, w double")
 
 
-def estimate(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: Method = HD) -> DataFrame:
-    """groups, n, p, q (the quantile) and m2 (the weighted second moment) for a sample (groups, x). Groups without values have no row."""
-    n_of = sizes(s, groups)
-    if groups:
-        most = n_of.agg(F.max("n")).first()[0] or 0
-        r = join_groups(ranked(s, groups, most), n_of, groups)
-        weights = weight_table(s.sparkSession, n_of.select("n"), ps, method)
+def estimate(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: Method = HD, measured: Measured | None = None) -> DataFrame:
+    """groups, n, p, q (the quantile) and m2 (the weighted second moment) for a sample (groups, x). Groups without values have no row.
+
+    measured: the sizes, if a sample of the same sizes was measured before.
+    """
+    measured = measured or measure(s, groups)
+    r = ranked(s, groups, measured.most)
+    if not groups:
+        r = r.withColumn("n", F.lit(measured.most).cast("long"))
+    elif measured.most <= samples.WINDOW_ROWS:  # one shuffle gives rank and size
+        r = r.withColumn("n", F.count("*").over(Window.partitionBy(*groups)))
     else:
-        n = s.count()
-        r = ranked(s, groups, n).withColumn("n", F.lit(n).cast("long"))
-        weights = weight_table(s.sparkSession, s.sparkSession.range(1).select(F.lit(n).cast("long").alias("n")), ps, method)
+        r = join_groups(r, measured.sizes, groups)
+    weights = weight_table(s.sparkSession, measured, ps, method)
     weighted = r.join(weights, (r["n"] == weights["n"]) & (r["rank"] == weights["rank"])).select(*(r[g] for g in groups), r["n"], "p", "w", "x")
     return weighted.groupBy(*groups, "n", "p").agg(F.sum(F.col("w") * F.col("x")).alias("q"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("m2"))
 
@@ -106,4 +125,4 @@ def quantile_table(df: DataFrame, column: str, ps: Sequence[float], method: Meth
     return estimate(sample(df, column, groups, nan_policy=nan_policy), groups, ps, method).withColumnsRenamed({"q": "value", "m2": "second_moment"})
 
 
-__all__ = ["DECILES", "PERCENTILES", "QUARTILES", "_all", "estimate", "quantile_table", "quantiles", "weight_table", "wide"]
+__all__ = ["DECILES", "PERCENTILES", "QUARTILES", "_all", "estimate", "measure", "quantile_table", "quantiles", "weight_table", "wide"]

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ from steadfast.functions.weights import HD, SIMPLE, THD_LINEAR, THD_SQRT, thd_co
 from steadfast.operators import changepoint, compare, confidence, effect, histogram, modality, quantiles, shape, signal, spread, stability
 from steadfast.plans import oracle as o
 from steadfast.sources.tables import load_table
+from steadfast.streaming import detectors
+from steadfast.streaming.run import available_now, read_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -578,3 +580,31 @@ def stability_index(spark, folder):
 @query()
 def hilbert_signal(spark, folder):
     return signal.hilbert_signal(series(spark, folder), "value", S, E, center=True).drop("x")
+
+
+# ------------------------------------------------------------------ streams
+
+
+def _events_stream(spark, folder):
+    return read_stream(spark, folder, "events").select("event_type", "ts", "event_id", "value")
+
+
+@query(f"""{_ONLINE}, n as (select event_id, event_type, row_number() over (partition by event_type order by ts, event_id) - 1 as i from events)
+select e.g as event_type, event_id, {_r("cv")} as cv, ok as is_stable, case when run >= 5 then 'Stable' when run > 0 then 'Transitioning' when t > 0.05 or cv > 0.6 then 'Unstable' else 'Unknown' end as status
+from e join n on e.g = n.event_type and e.i = n.i where e.i >= 2""")
+def stream_stability(spark, folder):
+    p = stability.Parameters(max_cv=0.6, max_trend=0.05)
+    rows = available_now(detectors.stream_stability(_events_stream(spark, folder), "event_type", "value", S, parameters=p))
+    first = F.row_number().over(Window.partitionBy("event_type").orderBy(*S))
+    return rows.withColumn("no", first).filter("no > 2").select("event_type", "event_id", "cv", "is_stable", "status")
+
+
+@query(f"""with {o.SERIES}, f as (select g, x from s where i < 20), {o.deviation("f", 0.5)},
+l as (select g, i, list(x) over (partition by g order by i rows between {_TERMS - 1} preceding and current row) as v from s where i >= 20),
+a as (select l.g, i, center, q, list_dot_product(v, ({_W}::double[])[{_TERMS} - len(v) + 1:]) + pow(0.8, i - 19) * center as ew from l join d on l.g = d.g),
+n as (select event_id, event_type, row_number() over (partition by event_type order by ts, event_id) - 1 as i from events)
+select a.g as event_type, event_id, {_r("ew")} as ewma, abs(ew - center) > 3 * q as is_alarm from a join n on a.g = n.event_type and a.i = n.i""")
+def stream_ewma(spark, folder):
+    rows = available_now(detectors.stream_ewma(_events_stream(spark, folder), "event_type", "value", S))
+    first = F.row_number().over(Window.partitionBy("event_type").orderBy(*S))
+    return rows.withColumn("no", first).filter("no > 20").select("event_type", "event_id", "ewma", "is_alarm")
