@@ -119,7 +119,7 @@ def parse(page: str) -> Page:
     def flush() -> None:
         nonlocal linked
         if text:
-            got = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+            got = _SPACE.sub(" ", "".join(text)).strip()
             text.clear()
             if got:
                 out.blocks.append(Block(got, stack[-1][1], linked))
@@ -146,7 +146,7 @@ def parse(page: str) -> Page:
     def add(piece: str) -> None:
         nonlocal linked
         if not stack[-1][2]:
-            text.append(piece)
+            text.append(html.unescape(piece) if "&" in piece else piece)
             if count["a"]:
                 linked += len(piece.strip())
 
