@@ -23,7 +23,7 @@ SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: Base rule: fewer words fail, and so do more repeated words in a hundred.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The method's limits: words from which a repeat counts, hundredths of the words covered by repeats, words of the longest repeat.
-MIN_REPEAT, MOST_COVERED, LONGEST = 8, 40, 100
+MIN_REPEAT, MOST_COVERED, LONGEST = 8, 45, 100
 #: Words of a block; a text with more is a block of its own.
 BLOCK = 400_000
 

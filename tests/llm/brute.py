@@ -41,7 +41,7 @@ def components(docs, k, percent):
     return {i: top(i) for i in ids}, {i: len(s) for i, s in sets.items()}
 
 
-def quality(text, min_repeat=8, most_covered=40, longest=100):
+def quality(text, min_repeat=8, most_covered=45, longest=100):
     text = text or ""
     w = words(text)
     n = len(w)
