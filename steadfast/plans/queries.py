@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from steadfast.functions.expressions import cles_from_delta, d_from_eta, delta_from_cles, eta_from_d, interval_contains, interval_margin, interval_width, normal_cdf, normal_ppf
 from steadfast.functions.special import normal_ppf as z_of
 from steadfast.functions.weights import HD, SIMPLE, THD_LINEAR, THD_SQRT, thd_constant
-from steadfast.operators import changepoint, compare, confidence, effect, histogram, modality, quantiles, shape, signal, spread, stability
+from steadfast.operators import changepoint, compare, confidence, effect, histogram, modality, quantiles, samples, shape, signal, spread, stability
 from steadfast.plans import oracle as o
 from steadfast.sources.tables import load_table
 from steadfast.streaming import detectors
@@ -608,3 +608,45 @@ def stream_ewma(spark, folder):
     rows = available_now(detectors.stream_ewma(_events_stream(spark, folder), "event_type", "value", S))
     first = F.row_number().over(Window.partitionBy("event_type").orderBy(*S))
     return rows.withColumn("no", first).filter("no > 20").select("event_type", "event_id", "ewma", "is_alarm")
+
+
+# ------------------------------------------------------------------ accessors
+
+
+@query(f"""with {o.SERIES}, r(ref) as (values (20.0::double), (60.0::double)), c as (select g, i, ref, sum(x - ref - 0.5) over w as su, sum(ref - x - 0.5) over w as sd from s, r window w as (partition by g, ref order by i)),
+k as (select g, ref, su - least(0, min(su) over w) as up, sd - least(0, min(sd) over w) as down from c window w as (partition by g, ref order by i))
+select g as event_type, ref as reference, {_r("max(up)", 3)} as up, {_r("max(down)", 3)} as down from k group by g, ref""", 3)
+def cusum_batch(spark, folder):
+    found = changepoint.cusum_batch(series(spark, folder), "value", S, [20.0, 60.0], E)
+    return found.groupBy("event_type", "reference").agg(F.max("up").alias("up"), F.max("down").alias("down"))
+
+
+@query(f"""with {o.EVENTS}, {_FIXED.format(k="12")} select hist.g as event_type, bin::bigint as bin, count(*) as n from s join hist on s.g = hist.g and x >= l and (x < r or (bin = 11 and x = r)) group by 1, 2""")
+def hist_find_bin(spark, folder):
+    ev = events(spark, folder)
+    return histogram.find_bin(histogram.fixed_width(ev, "value", 12, E), ev, "value", E).groupBy("event_type", "bin").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {o.ORDERS}, {_PLAIN}, m as (select group1, group2, (l1 - l2) / {_POOL} as magnitude from duo)
+select group1, group2, {_r("abs(magnitude)")} as size, abs(magnitude) >= 0.5 as significant, magnitude > 0 as favors_second from m""")
+def effect_accessors(spark, folder):
+    from steadfast.functions.expressions import favors_second, is_practically_significant
+
+    m = F.col("magnitude")
+    found = effect.cohen_d(orders(spark, folder), "o_orderpriority", "o_totalprice")
+    return found.select("group1", "group2", F.abs(m).alias("size"), is_practically_significant(m, "difference").alias("significant"), favors_second(m).alias("favors_second"))
+
+
+@query()
+def most_confident_change(spark, folder):
+    return changepoint.most_confident(changepoint.confident(changepoint.ewma(series(spark, folder), "value", S, E, multiplier=1.5), 0.5), E)
+
+
+@query()
+def stability_progression(spark, folder):
+    return stability.progression(series(spark, folder), "value", S, E, window=100, step=50)
+
+
+@query(f"""with {o.EVENTS} select event_type, count(*) as n from (select g as event_type from s) group by 1""")
+def group_sizes(spark, folder):
+    return samples.sizes(samples.sample(events(spark, folder), "value", E), E)
