@@ -34,21 +34,31 @@ def _upto(groups: Sequence[str]) -> Window:
     return _walk(groups).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def thin(alarms: DataFrame, groups: Sequence[str], tolerance: int, order: Sequence[str] = ("idx",)) -> DataFrame:
-    """Drops an alarm within `tolerance` indices of the last one kept, in the given order.
+def thin(alarms: DataFrame, groups: Sequence[str], tolerance: int, lists: str | None = None) -> DataFrame:
+    """Drops an alarm within `tolerance` indices of the last one kept, in the order of idx (and before it, of the column `lists`).
 
-    Alarms further apart than that from the one before begin a chain; chains don't influence each other, and each is
-    folded by itself. That holds for alarms in the order of idx; for other orders a group is one chain.
+    An alarm that is surely further away than that from whatever was kept begins a chain, and chains don't influence each
+    other: one whose indices are in a row keeps every (tolerance + 1)th, the others, which are short, are folded.
     """
+    order = [lists, "idx"] if lists else ["idx"]
     by = Window.partitionBy(*groups).orderBy(*order)
     fields = [c for c in alarms.columns if c not in groups]
-    first = F.coalesce(F.abs(F.col("idx") - F.lag("idx").over(by)) > tolerance, F.lit(True)) if tuple(order) == ("idx",) else F.row_number().over(by) == 1
-    chained = alarms.withColumn("_chain", F.sum(F.when(first, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    step = F.abs(F.col("idx") - F.lag("idx").over(by))
+    # the last one kept may be up to `tolerance` before the last alarm, which matters where idx goes back
+    far = step > F.when(F.lag(lists).over(by) == F.col(lists), tolerance).otherwise(2 * tolerance) if lists else step > tolerance
+    chained = alarms.withColumn("_step", step).withColumn("_first", F.coalesce(far, F.lit(True)))
+    chained = chained.withColumn("_chain", F.sum(F.col("_first").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = Window.partitionBy(*groups, "_chain")
+    even = F.max(F.when(~F.col("_first") & (F.col("_step") != 1), 1).otherwise(0)).over(chain) == 0
+    if lists:
+        even = even & (F.min(lists).over(chain) == F.max(lists).over(chain))
+    chained = chained.withColumn("_even", even).withColumn("_place", F.row_number().over(chain.orderBy(*order)) - 1)
     row = F.struct(*order, *(c for c in fields if c not in order))
-    lists = chained.groupBy(*groups, "_chain").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    folded = chained.filter("not _even").groupBy(*groups, "_chain").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
     empty = F.filter("_rows", lambda r: F.lit(False))
     kept = F.aggregate("_rows", empty, lambda a, r: F.when((F.size(a) > 0) & (F.abs(r["idx"] - F.element_at(a, -1)["idx"]) <= tolerance), a).otherwise(F.concat(a, F.array(r))))
-    return lists.select(*groups, F.explode(kept).alias("_r")).select(*groups, *(F.col(f"_r.{c}").alias(c) for c in fields))
+    folded = folded.select(*groups, F.explode(kept).alias("_r")).select(*groups, *(F.col(f"_r.{c}").alias(c) for c in fields))
+    return chained.filter(F.col("_even") & (F.col("_place") % (tolerance + 1) == 0)).select(*groups, *fields).unionByName(folded)
 
 
 def _positive(value: float, name: str) -> float:
@@ -190,7 +200,7 @@ def polynomial_slopes(df: DataFrame, column: str, order: Sequence[str], groups:
     steady = walked.withColumn("_run", run).filter(F.col("_run") >= steady_windows)
     steady = steady.select(*groups, (F.col("i") + window).alias("idx"), F.least(F.lit(1.0), F.col("_limit") / (F.abs("slope") + 1e-10)).alias("confidence"), F.lit("SteadyState").alias("change_type"))
     both = trend.withColumn("_list", F.lit(0)).unionByName(steady.withColumn("_list", F.lit(1)))
-    return thin(both, groups, 2, ("_list", "idx")).drop("_list") if _thin else both
+    return thin(both, groups, 2, "_list").drop("_list") if _thin else both
 
 
 def adaptive_slopes(df: DataFrame, column: str, order: Sequence[str], groups: Sequence[str] = (), *, window: int = 25, acceleration_multiplier: float = 2.5, min_confidence: float = 0.5, method: Method = HD, **options) -> DataFrame:
@@ -201,7 +211,7 @@ def adaptive_slopes(df: DataFrame, column: str, order: Sequence[str], groups: Se
     second = F.abs(F.lead("slope", 2).over(by) - 2 * F.lead("slope", 1).over(by) + F.col("slope"))
     accel = _jumps(found.withColumn("x", second).filter("x is not null").select(*groups, "i", "x"), groups, acceleration_multiplier, window + 2, "AccelerationChange", min_confidence, method)
     both = base.withColumn("_list", F.lit(0)).unionByName(accel.withColumn("_list", F.lit(1)))
-    return thin(both, groups, 3, ("_list", "idx")).drop("_list")
+    return thin(both, groups, 3, "_list").drop("_list")
 
 
 def rolling(df: DataFrame, column: str, order: Sequence[str], statistics: dict[str, Column], groups: Sequence[str] = (), *, window: int) -> DataFrame:

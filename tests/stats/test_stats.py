@@ -176,6 +176,15 @@ def test_thinning_is_a_fold(spark):
             if not kept or i - kept[-1] > tolerance:
                 kept.append(i)
         assert [x["idx"] for x in changepoint.thin(alarms, ["g"], tolerance).orderBy("idx").collect()] == kept
+    for runs in ([(0, range(50)), (1, [49, 51, 53, *range(60, 90)])], [(0, [5, 8, 20]), (1, [21, 22, 30])], [(0, [10, 12]), (1, [13, 14])]):
+        rows = [("a", n, i) for n, run in runs for i in run]
+        for tolerance in (1, 2, 3):
+            kept = []
+            for _, n, i in rows:
+                if not kept or abs(i - kept[-1][1]) > tolerance:
+                    kept.append((n, i))
+            got = changepoint.thin(spark.createDataFrame(rows, "g string, l int, idx long"), ["g"], tolerance, "l").orderBy("l", "idx").collect()
+            assert [(x["l"], x["idx"]) for x in got] == kept
 
 
 def test_stability(spark):
