@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -45,7 +46,20 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/steadfast-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._path_of_cut = path
+    return written
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and no later step reads, and lets Spark drop the shuffle files of finished steps.
+
+    Spark deletes a shuffle's files once the driver has collected what refers to them, which it may not do for long.
+    """
+    for t in tables:
+        _remove(spark, t._path_of_cut)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

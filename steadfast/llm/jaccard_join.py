@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steadfast.llm.common import components, cut, table
+from steadfast.llm.common import components, cut, discard, table
 
 #: Words of a shingle and hundredths of similarity, where nothing else is said.
 SHINGLE, SIMILARITY = 5, 80
@@ -70,7 +70,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def head_length(n: int, percent: int) -> int:
     """How many of the lowest hashes are kept: more than the prefix, so that some frequent ones may be passed over."""
-    return min(n, 3 * prefix_length(n, percent) // 2 + 8)
+    return min(n, 5 * prefix_length(n, percent) // 4 + 8)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -171,8 +171,9 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def summary(s: np.ndarray) -> tuple:
         return len(s), xxhash.xxh3_128_digest(s.tobytes()), s[: head_length(len(s), percent)] if len(s) else s
 
-    sets = cut(_map_texts(texts, k, "n long, digest binary, head array<long>", summary))
-    full = sets.filter("n > 0 and id is not null")
+    heads = cut(_map_texts(texts, k, "n long, digest binary, head array<long>", summary))
+    sets = cut(heads.select("id", "n", "digest"))
+    full = heads.filter("n > 0 and id is not null")
     chosen = cut(full.groupBy("digest").agg(F.min("id").alias("class")))
     # an id whose rows have different texts stands for all their sets
     standing = full.join(_small(chosen.select(F.col("class").alias("id"))), "id", "left_semi").select(F.col("id").alias("class"), "n", "head")
@@ -181,8 +182,8 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     counts = cut(standing.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("many")).filter("many > 1"))
     spark, last = docs.sparkSession, _frequent(counts, frequent)
     needy = cut(_prefixes(standing, percent, spark.sparkContext.broadcast(last)).filter("prefix is null").select(F.col("class").alias("id")).distinct())
-    wide = _sets(texts, needy, k)
-    more = cut(wide.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > frequent))
+    whole_sets = _sets(texts, needy, k)
+    more = cut(whole_sets.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > frequent))
     last = spark.sparkContext.broadcast(np.union1d(last, _frequent(more, frequent)))
     by_head = cut(_prefixes(standing, percent, last))
     needy = cut(by_head.filter("prefix is null").select(F.col("class").alias("id")).distinct())
@@ -197,8 +198,11 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     alone = cut(chosen.select("class").distinct().withColumn("part", F.col("class")))
     about = cut(about)
+    discard(spark, heads, by_head, whole_sets, counts, matters)
     star_links, parts, sets_there = _stars(entries.join(_small(about.select("class", "n", "rare")), "class").select("token", "class", "n", "rare"), texts, alone, k, percent)
 
+    discard(spark)
+
     # groups of one prefix, size and component
     member = about.join(_small(parts), "class").withColumn("key", F.xxhash64("same", "part"))
     member = cut(member.select("class", "part", "key", "n", "f"))
@@ -222,6 +226,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     met = met.filter(F.col("some") + frequent_part >= least).select("ka", "kb")
     of_a, of_b = member.select(F.col("key").alias("ka"), F.col("class").alias("a")), member.select(F.col("key").alias("kb"), F.col("class").alias("b"))
     between = cut(met.join(of_a, "ka").join(of_b, "kb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    discard(spark, tokens)
     wanted = between.select(F.col("a").alias("id")).union(between.select(F.col("b").alias("id"))).distinct()
     missing = cut(wanted.join(sets_there.select("id"), "id", "left_anti"))
     links = _verified(between, sets_there.unionByName(_sets(texts, missing, k)), percent)
