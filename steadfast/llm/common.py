@@ -51,6 +51,18 @@ def cut(df: DataFrame) -> DataFrame:
     return written
 
 
+#: Rows of a batch that goes to Python: texts are large, and both sides hold whole batches.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches lowered to BATCH_ROWS rows, where they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that cut() wrote and no later step reads, and lets Spark drop the shuffle files of finished steps.
 

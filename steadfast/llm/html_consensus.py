@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadfast.llm.common import cut, table
+from steadfast.llm.common import cut, small_batches, table
 from steadfast.llm.url_filter import url_host
 
 #: Up to so many hosts (with their paths about 200 bytes each) the winners are broadcast; more are joined by shuffle.
@@ -276,7 +276,7 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
             rows = list(sums.items())
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())], names=["host", "path", "score"])
 
-    votes = pages.select("host", "html").mapInArrow(vote, "host string, path string, score long")
+    votes = small_batches(pages.select("host", "html")).mapInArrow(vote, "host string, path string, score long")
     sums = votes.groupBy("host", "path").agg(F.sum("score").alias("score"))
     winners = cut(sums.groupBy("host").agg(F.max(F.struct("score", "path")).alias("best")).select("host", F.col("best.path").alias("path")))
     if winners.count() <= BROADCAST_HOSTS:
@@ -291,7 +291,7 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
                 texts = [extract(parse(page.as_py() or ""), path.as_py()) for page, path in zip(pages_[at : at + 500], paths[at : at + 500], strict=True)]
                 yield pa.RecordBatch.from_arrays([ids[at : at + 500], urls[at : at + 500], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(again, schema).withColumnsRenamed({"id": id_col, "url": url_col})
+    return small_batches(joined).mapInArrow(again, schema).withColumnsRenamed({"id": id_col, "url": url_col})
 
 
 def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:

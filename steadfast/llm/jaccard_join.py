@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steadfast.llm.common import components, cut, discard, table
+from steadfast.llm.common import components, cut, discard, small_batches, table
 
 #: Words of a shingle and hundredths of similarity, where nothing else is said.
 SHINGLE, SIMILARITY = 5, 80
@@ -94,7 +94,7 @@ def _map_texts(docs: DataFrame, k: int, columns: str, f: Callable[[np.ndarray],
                 found = list(zip(*(f(shingle_set(x.as_py(), k)) for x in texts[at : at + 500]), strict=True))
                 yield pa.RecordBatch.from_arrays([ids[at : at + 500], *(pa.array(v, t) for v, t in zip(found, kinds, strict=True))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _may_be_alike(a: Column, b: Column, percent: int) -> Column:
@@ -257,7 +257,7 @@ def _prefixes(classes: DataFrame, percent: int, last) -> DataFrame:
                     rows.append(np.r_[head[rare], head[~rare]][:size] if k == n else head[rare][:size] if rares[-1] >= size else None)
                 yield pa.RecordBatch.from_arrays([part.column("class"), part.column("n"), pa.array(rows, pa.list_(pa.int64())), pa.array(rares, pa.int64())], names=schema.names)
 
-    return classes.select("class", "n", "head").mapInArrow(run, schema)
+    return small_batches(classes.select("class", "n", "head")).mapInArrow(run, schema)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

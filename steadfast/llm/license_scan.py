@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadfast.llm.common import table
+from steadfast.llm.common import small_batches, table
 
 #: Licenses' well-known wordings; "<...>" stands for a name or a year, up to GAP words.
 TEMPLATES = (
@@ -226,7 +226,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 rows = [[{"name": n, "start": a, "end": b, "gain": g, "n_differences": k, "differences": d} for a, b, n, g, k, d in s.scan(x.as_py() or "")] for x in texts[at : at + 1000]]
                 yield pa.RecordBatch.from_arrays([ids[at : at + 1000], pa.array(list(map(len, rows)), pa.int64()), pa.array(rows, kind)], names=schema.names)
 
-    return docs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return small_batches(docs).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadfast.llm.common import table
+from steadfast.llm.common import small_batches, table
 
 # Fixed values of the format (ISO/IEC 11172-3 and 13818-3): kbit/s by bitrate index 1 to 14, and Hz by rate index.
 KBITS = {
@@ -289,7 +289,7 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 raws = [(x.as_py() or "").encode() for x in texts[at : at + 200]]
                 yield pa.RecordBatch.from_arrays([ids[at : at + 200], pa.array(list(map(len, raws)), pa.int64()), pa.array([write_stream(pad(r)) for r in raws], pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return small_batches(docs).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 PROBED = "version double, layer int, rate int, channels int, n_frames long, samples long, seconds double, vbr_table string, crc_ok long, crc_bad long, junk_bytes long, resyncs long, seek_offsets array<long>, feature string"
@@ -313,7 +313,7 @@ def probe_media(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "m
                     rows.append((s.version, s.layer, s.rate, s.channels, len(s.frames), s.samples, s.samples / s.rate if s.rate else 0.0, s.table, s.crc_ok, s.crc_bad, s.junk, s.resyncs, [a for a, _, _ in s.frames], feature(s)))
                 yield pa.RecordBatch.from_arrays([ids[at : at + 200], *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=schema.names)
 
-    return media.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return small_batches(media).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def digest_media(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -333,7 +333,7 @@ def digest_media(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=schema.names)
 
-    return media.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return small_batches(media).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadfast.llm.common import table
+from steadfast.llm.common import small_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 #: Labels of the field: none, the kinds of the patterns in freer forms, credentials, and numbers of identity or bank.
@@ -466,7 +466,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 counts = [pa.array([sum(s[1] == k for s in b) for b, _ in got], pa.int64()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([ids[at : at + 200], *counts, pa.array([written(b) for b, _ in got], pa.string()), pa.array([written(s) for _, s in got], pa.string())], names=schema.names)
 
-    return docs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return small_batches(docs).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadfast.llm.common import table
+from steadfast.llm.common import small_batches, table
 
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: Base rule: fewer words fail, and so do more repeated words in a hundred.
@@ -25,7 +25,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The method's limits: words from which a repeat counts, hundredths of the words covered by repeats, words of the longest repeat.
 MIN_REPEAT, MOST_COVERED, LONGEST = 8, 45, 100
 #: Words of a block; a text with more is a block of its own.
-BLOCK = 400_000
+BLOCK = 200_000
 
 FIELDS = (
     ("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"),
@@ -162,7 +162,7 @@ def judge_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 columns = [pa.array(found[name], k) for (name, _), k in zip(FIELDS, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id")[start : start + len(block)], *columns], names=schema.names)
 
-    return docs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return small_batches(docs).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def keep_documents(docs: DataFrame, *, text_col: str = "text", **limits) -> DataFrame:
@@ -174,7 +174,7 @@ def keep_documents(docs: DataFrame, *, text_col: str = "text", **limits) -> Data
             if any(kept):
                 yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
