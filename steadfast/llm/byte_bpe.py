@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -20,14 +21,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadfast.llm.common import table
+from steadfast.llm.common import small_batches, table
 
 #: Bits of a bitmap word; with two levels they hold BITS * BITS ranks. ONE[b] is the word with bit b.
 BITS = 256
 ONE = [1 << b for b in range(BITS)]
 #: Encoded matches that a worker remembers in each of two generations, and the longest match it does: when the young
 #: generation is full the old one is forgotten, and what is still in use moves on to the next.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 64
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 #: Characters of a text that are encoded at once; cut only where white space follows something else, where no match goes across.
 BLOCK = 1_000_000
 
@@ -44,7 +45,10 @@ class Codec:
         #: The lower level of the bitmap; all zero between calls, as every call empties its queue.
         self.words = [0] * BITS
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.double = {(a, b): r for t, r in ranks.items() if len(t) == 2 for a, b in [t]}
+        self.double = [-1] * 65536  # by both bytes: rank of two bytes
+        for t, r in ranks.items():
+            if len(t) == 2:
+                self.double[t[0] << 8 | t[1]] = r
         self.known: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.decimal = {r: str(r) for r in self.tokens}
@@ -60,11 +64,11 @@ class Codec:
         if (whole := ranks.get(piece)) is not None:
             return (whole,)
         n, words, top, rank_of, one = len(piece), self.words, 0, ranks.get, ONE
-        double, first, late = self.double.get, {}, {}
+        double, first, late = self.double, {}, {}
         end = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         token = [self.single[b] for b in piece]
-        pair = [double(ab, -1) for ab in zip(piece, piece[1:], strict=False)]
+        pair = [double[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
         pair.append(-1)
         place = list(range(n))
         after = [-1] * n
@@ -135,21 +139,25 @@ class Codec:
             i = end[i]
         return tuple(ids)
 
+    def learn(self, piece: str) -> tuple[int, ...]:
+        """The ids of a match that isn't in the young generation, remembered from now on if it is short."""
+        got = self.known.get(piece) or self.old.get(piece) or self.merge(piece.encode())
+        if len(piece) <= REMEMBERED_CHARS:
+            if len(self.known) >= REMEMBERED:
+                self.old, self.known = self.known, {}
+            self.known[piece] = got
+        return got
+
     def blocks(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, block by block, so that memory doesn't follow the text's length."""
         for part in cut_text(text):
-            known, ids = self.known, []
-            for piece in self.split.findall(part):
-                got = known.get(piece)
-                if got is None:
-                    got = self.old.get(piece) or self.merge(piece.encode())
-                    if len(piece) <= REMEMBERED_CHARS:
-                        if len(known) >= REMEMBERED:
-                            self.old, known = known, {}
-                            self.known = known
-                        known[piece] = got
-                ids += got
-            yield ids
+            pieces = self.split.findall(part)
+            found = list(map(self.known.get, pieces))
+            if None in found:
+                for i, got in enumerate(found):
+                    if got is None:
+                        found[i] = self.learn(pieces[i])
+            yield list(itertools.chain.from_iterable(found))
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.blocks(text) for i in ids]
@@ -234,7 +242,7 @@ def _per_text(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_
                 rows = [f(c, x.as_py() if x.is_valid else "") for x in of[at : at + 1000]]
                 yield pa.RecordBatch.from_arrays([ids[at : at + 1000], *(pa.array([r[n] for r in rows], k) for n, k in zip(names[1:], kinds, strict=True))], names=names)
 
-    return docs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return small_batches(docs).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
