@@ -27,11 +27,16 @@ DOC = ["id", "text_key"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Each line with words: its place, two hashes, and the document's words before (start) and up to its end."""
+    """Each line with words: its place, two hashes, and the document's words before (start) and up to its end.
+
+    Rows that repeat id and text_key give each place as often; it counts once.
+    """
     split = docs.select(*DOC, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     hashes = F.xxhash64("line").alias("h"), F.xxhash64(F.lit("2"), "line").alias("g")
     rows = split.select(*DOC, "pos", *hashes, F.regexp_count("line", F.lit(WORD)).alias("words")).filter("words > 0")
-    upto = Window.partitionBy(*DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy(*DOC).orderBy("pos")
+    rows = rows.withColumn("before", F.lag("pos").over(ordered)).filter("before is null or before < pos").drop("before")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("end", F.sum("words").over(upto)).withColumn("start", F.col("end") - F.col("words"))
 
 
@@ -56,7 +61,7 @@ def _later(windows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """id, text_key, spans: the sorted, disjoint spans {first, last} of line numbers, from 0, that go.
 
-    docs has id, text_key and text, without nulls and without two rows of one id and text_key.
+    docs has id, text_key and text, without nulls; rows that repeat id and text_key are one document.
     """
     doc = Window.partitionBy(*DOC)
     lines = cut(_lines(docs))
@@ -92,7 +97,6 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     table gives no row. Columns of docs named n_lines or n_removed are replaced; all other names are free.
     """
     known = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    # the first copy is as good as any, since id and text_key are all that tells copies apart
     spans = repeated_spans(known.select("id", "text_key", "text"), min_words=min_words)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"))
     rows = rows.join(spans, DOC, "left").withColumn("lines", F.split(F.col("row")[text_col], "\n"))

@@ -208,6 +208,13 @@ def test_line_dedup_rows_that_repeat_and_nulls(spark):
     assert sorted((r["doc_id"] or 0, r["text"] or "-", r["n_removed"]) for r in got) == sorted([(1, long, 0), (1, long, 0), (2, "new", 1), (0, long, 0), (3, "-", 0)])
 
 
+def test_line_dedup_repeated_row_of_many_short_lines(spark):
+    passage = "\n".join(" ".join(f"w{k}x{i}" for i in range(12)) for k in range(8))
+    rows = [(1, passage), (1, passage), (1, passage), (2, "new\n" + passage + "\nend"), (3, passage)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in got) == [(1, passage, 0)] * 3 + [(2, "new\nend", 8), (3, "", 8)]
+
+
 # ---------------------------------------------------------------- 8
 
 
