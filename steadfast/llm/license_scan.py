@@ -2,8 +2,9 @@
 
 Words that licenses use (cues) mark candidate blocks of a text, as many words around them as a template of that
 length class needs. A block is compressed alone, and with each template as zstandard raw dictionary: what a template
-saves, as a share of what the template alone compresses to, ranks the templates. Winners are confirmed by the exact
-differences of wording between template and block; they are reported with the span they cover.
+saves, as a share of what the template alone compresses to, is its gain. Templates that gain enough, and all that must agree
+in every word, are confirmed by the exact differences of wording between template and block, however many they are; they are
+reported with the span they cover.
 """
 
 from __future__ import annotations
@@ -55,8 +56,8 @@ CUE = re.compile(r"licen[sc]e|sublicen|copyright|warrant(?:y|ies)|merchantab|rig
 #: A word, as compared: letters and digits, and signs that stand in names and versions between them.
 WORD = re.compile(r"[A-Za-z0-9À-￿]+(?:[.+'-][A-Za-z0-9]+)*")
 GAP = 8
-#: Of what a template alone compresses to, what it must save to be looked at; templates confirmed at most for one block.
-LEAST_GAIN, LOOKED_AT = 0.2, 6
+#: Of what a template alone compresses to, what it must save to be looked at, if some of its words may differ.
+LEAST_GAIN = 0.2
 #: Hundredths of a template's words that may differ, rounded down: notices of under ten words must agree in every word.
 MAY_DIFFER = 10
 LEVEL = 15
@@ -113,12 +114,12 @@ class Scanner:
             for at, block in _blocks(text, cues, length):
                 raw = (" ".join(w.lower() for w, _, _ in block) + " ").encode()
                 alone = _size(raw, self.plain)
-                gains = sorted(((alone - _size(raw, t.packer)) / t.size, -k) for k, t in enumerate(templates))[::-1]
-                for gain, k in gains[:LOOKED_AT]:
-                    if gain < LEAST_GAIN:
-                        break
-                    t = templates[-k]
-                    for first, last, differences in _confirm(t.words, [w.lower() for w, _, _ in block]):
+                lower = [w.lower() for w, _, _ in block]
+                for t in templates:
+                    gain = (alone - _size(raw, t.packer)) / t.size
+                    if gain < LEAST_GAIN and not _word_for_word(t.words):
+                        continue
+                    for first, last, differences in _confirm(t.words, lower):
                         found.append((block[first][1], block[last][2], t.name, round(1000 * gain), len(differences), " ".join(differences)))
         kept: list[tuple] = []
         for x in sorted(set(found), key=lambda x: (x[0] - x[1], x[4], x[2], -x[3], x)):
@@ -156,14 +157,22 @@ def _blocks(text: str, cues: list[int], length: int):
                 yield block[0][1], block
 
 
+def _allowed(template: tuple[str, ...]) -> int:
+    return sum(map(bool, template)) * MAY_DIFFER // 100
+
+
+def _word_for_word(template: tuple[str, ...]) -> bool:
+    return "" not in template and _allowed(template) == 0
+
+
 def _confirm(template: tuple[str, ...], block: list[str]):
     """(first, last, differences) of every place where the block has the template with few enough differences.
 
     Differences are written -word for one that is missing and +word for one too many, in order.
     """
-    allowed = sum(map(bool, template)) * MAY_DIFFER // 100
+    allowed = _allowed(template)
     n = len(template)
-    if "" not in template and allowed == 0:  # word for word
+    if _word_for_word(template):
         for k in range(len(block) - n + 1):
             if block[k] == template[0] and tuple(block[k : k + n]) == template:
                 yield k, k + n - 1, []

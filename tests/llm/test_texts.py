@@ -82,6 +82,18 @@ def test_licenses_found_by_wording():
     assert s.scan("Licensed under the Apache License, Version 1.1.") == [] and s.scan("a license to warrant copyright") == []
 
 
+def test_licenses_that_stand_together_are_all_found():
+    s = license_scan.Scanner()
+    short = {t: n for n, t in license_scan.TEMPLATES if len(t) < 130}
+    together = "All rights reserved. This work is licensed under a Creative Commons Attribution 4.0 International License. This project is licensed under the terms of the MIT license. Licensed under the GNU General Public License, version 3."
+    assert [x[2] for x in s.scan(together)] == ["all-rights-reserved", "cc-by-4.0", "mit", "gpl-3.0"]
+    r = random.Random(1)
+    for _ in range(300):
+        chosen = [r.choice(list(short)) for _ in range(r.choice([2, 3, 5, 8, 20]))]
+        found = s.scan(r.choice([" ", "\n", " thth onre lorem ipsum "]).join(chosen))
+        assert [(x[2], x[4]) for x in found] == [(short[t], 0) for t in chosen], chosen
+
+
 # ---------------------------------------------------------------- 2
 
 
