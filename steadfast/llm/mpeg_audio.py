@@ -169,20 +169,25 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
 
 
 def read_stream(data: bytes) -> Stream:
-    """Reads any bytes: what fits no frame or tag is counted as junk."""
+    """Reads any bytes: what fits no frame or tag is counted as junk.
+
+    TAG at byte -128 is an ID3v1 tag, unless a frame begins before it and ends with the stream: then it is of the frame.
+    """
     out, at, end, kind = Stream(), 0, len(data), None
-    if end >= 128 and data[-128:-125] == b"TAG":
-        out.tags["ID3v1"], end = data[-128:], end - 128
+    tagged = end >= 128 and data[-128:-125] == b"TAG"
+    if tagged:
+        end -= 128
     lost = False
     while at < end:
         if data[at : at + 3] == b"ID3" and at + 10 <= end and max(data[at + 6 : at + 10]) < 128:
             at = min(_id3v2(data, at, out.tags), end)
             continue
         h = read_header(data[at : at + 4])
-        fits = h is not None and at + h.length <= end and (kind is None or h.kind == kind)
+        whole = h is not None and at + h.length in (end, len(data))
+        fits = h is not None and (whole or at + h.length <= end) and (kind is None or h.kind == kind)
         if fits and (kind is None or lost):  # at first, and after junk, the next frame must fit as well
             follower = read_header(data[at + h.length : at + h.length + 4])
-            fits = at + h.length == end or follower is not None and follower.kind == h.kind or data[at + h.length : at + h.length + 3] == b"ID3"
+            fits = whole or follower is not None and follower.kind == h.kind or data[at + h.length : at + h.length + 3] == b"ID3"
         if not fits:
             found = data.find(b"\xff", at + 1, end)
             tag = data.find(b"ID3", at + 1, end if found < 0 else found)
@@ -202,6 +207,8 @@ def read_stream(data: bytes) -> Stream:
             out.frames.append((at, h, out.samples))
             out.samples += h.samples
         at += h.length
+    if tagged and at <= end:
+        out.tags["ID3v1"] = data[-128:]
     return out
 
 

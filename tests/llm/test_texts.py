@@ -252,6 +252,20 @@ def test_audio_round_trip_and_damage():
     assert mpeg_audio.crc16(b"123456789") == 0xAEE7
 
 
+def test_audio_payload_with_tag_where_id3v1_stands():
+    for n in range(64, 1500, 64):
+        plain = mpeg_audio.write_stream(mpeg_audio.pad(b"x" * n))
+        last = mpeg_audio.read_stream(plain).frames[-1][0]
+        for at in range(n - 2):
+            payload = b"x" * at + b"TAG" + b"x" * (n - at - 3)
+            stream = mpeg_audio.write_stream(payload)
+            if stream[-128:-125] == b"TAG":
+                s = mpeg_audio.read_stream(stream)
+                assert mpeg_audio.read_payload(stream, s) == payload and (s.junk, s.tags.get("ID3v1"), s.frames[-1][0]) == (0, None, last)
+                tagged = mpeg_audio.read_stream(stream + b"TAG" + bytes(125))
+                assert "ID3v1" in tagged.tags and tagged.junk == 0 and tagged.frames == s.frames
+
+
 def test_audio_headers():
     h = mpeg_audio.read_header(bytes([0xFF, 0xFB, 0x90, 0x64]))
     assert (h.version, h.layer, h.kbits, h.rate, h.length, h.samples, h.protected) == (1, 3, 128, 44100, 417, 1152, False)
