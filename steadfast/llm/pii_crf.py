@@ -232,6 +232,10 @@ def labelled_table(n: int = 900, seed: int = 11) -> list[list[tuple[str, str]]]:
 # ------------------------------------------------------------------ the field
 
 
+#: Word classes held at most, but for a line of more words; words of the lines that are labelled at once.
+MAX_CLASSES, CHUNK_WORDS = 200_000, 100_000
+
+
 class Field:
     """Weights of features by label, transitions, and what follows from them for each word class."""
 
@@ -250,11 +254,6 @@ class Field:
 
     def _class(self, wc: tuple) -> int:
         if wc not in self.classes:
-            if len(self.classes) >= 200_000:  # the shapes seen so far are forgotten: memory is bounded
-                edge = self.classes.get(EDGE)
-                self.classes.clear(), self.ids.clear(), _features.cache_clear()
-                self.own, self.left, self.right, self.bounds = self.own[edge : edge + 1], self.left[edge : edge + 1], self.right[edge : edge + 1], self.bounds[edge : edge + 1]
-                self.classes[EDGE] = 0
             self.classes[wc] = len(self.own)
             three = self._sum(_features(wc)), self._sum(_near("after", wc)), self._sum(_near("before", wc))
             self.own.append(three[0]), self.left.append(three[1]), self.right.append(three[2])
@@ -290,7 +289,19 @@ class Field:
 
     def lines(self, raw: list[list[bytes]]) -> list[tuple[int, np.ndarray]]:
         """(line, labels) for every line that has any other label than none."""
-        self._room(sum(map(len, raw)))
+        found, at = [], 0
+        while at < len(raw):
+            stop, words = at + 1, len(raw[at])
+            while stop < len(raw) and words + len(raw[stop]) <= CHUNK_WORDS:
+                words += len(raw[stop])
+                stop += 1
+            self._room(words)
+            found += [(at + i, labels) for i, labels in self._chunk(raw[at:stop])]
+            at = stop
+        return found
+
+    def _chunk(self, raw: list[list[bytes]]) -> list[tuple[int, np.ndarray]]:
+        """lines() of some lines whose word classes are all held at once."""
         flat = [self.edge]
         for words in raw:
             flat += map(self.number, words)
@@ -322,8 +333,12 @@ class Field:
         return sorted(found, key=lambda x: x[0])
 
     def _room(self, n: int) -> None:
-        """Forgets before a call, never in it: the numbers of one call must stay."""
-        if len(self.classes) + n >= 200_000 and len(self.classes) > 100_000:
+        """Forgets the shapes seen so far before n words that may not fit, never among them: their numbers must stay.
+
+        So memory is bounded by MAX_CLASSES, or by the longest line.
+        """
+        if len(self.classes) + n > MAX_CLASSES:
+            _features.cache_clear()
             self.__init__(self.index, self.weights, self.steps)
 
 
