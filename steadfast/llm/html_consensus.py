@@ -3,7 +3,8 @@
 Each page is parsed into blocks of text, each with the path of generalised tags (name, and classes or id without
 digits) that leads to it. Containers are scored by how much of their text is running text. In Spark, the paths vote
 for their host: the one with the highest sum over the host's pages wins, and every page of the host is extracted again
-from its containers of that path. Pages without such a container, and hosts without votes, fall back on the page's
+from its containers of that path, what is named as an article around them, and the headings and running text beside them.
+Pages without such a container, and hosts without votes, fall back on the page's
 own best container.
 """
 
@@ -75,13 +76,14 @@ class Page:
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
-        self.parents, self.names, self.paths, self.depths = [0], [""], [""], [0]
+        self.parents, self.names, self.paths, self.depths, self.articles = [0], [""], [""], [0], [False]
 
     def add(self, parent: int, name: str, label: str) -> int:
         path = f"{self.paths[parent]}/{label}"
         if self.depths[parent] >= WRITTEN:
             path = "#" + hashlib.md5(path.encode()).hexdigest()
         self.parents.append(parent), self.names.append(name), self.paths.append(path), self.depths.append(self.depths[parent] + 1)
+        self.articles.append(name == "article" or name in CONTAINERS - {"html", "body"} and not ARTICLE_NAMES.isdisjoint(_SPLIT.split(label.lower().partition(".")[2])))
         return len(self.names) - 1
 
 
@@ -89,6 +91,9 @@ class Page:
 NEGATES = frozenset("with has no without not".split())
 OF_ARTICLE, SOFT = frozenset("post article entry story section".split()), frozenset("header tags more side search form popular".split())
 
+#: Words of a container's class or id that name it as an article.
+ARTICLE_NAMES = OF_ARTICLE - {"section"}
+
 
 def _is_chrome(attributes: dict[str, str], in_article: bool) -> bool:
     """Whether class, id or role say that the element stands around an article."""
@@ -238,18 +243,42 @@ def scores(page: Page) -> dict[str, float]:
 
 
 def extract(page: Page, path: str | None) -> str:
-    """The blocks in containers of the path, in page order; if there is none, of the page's own best path; else all of them."""
+    """The blocks in containers of the path, in page order; if there is none, of the page's own best path; else all of them.
+
+    An article's title and lead may stand before the container that wins. So an element around it that is named as an article is
+    taken whole; and of the other elements around it those blocks are that stand in no further container, headings and text
+    that isn't mostly links. Other containers beside it stay out.
+    """
     for wanted in (path, _best(scores(page))):
         if wanted is not None:
-            inside = [False] * len(page.names)
-            for n in range(1, len(inside)):
-                inside[n] = inside[page.parents[n]] or page.paths[n] == wanted
-            got = [b.text for b in page.blocks if inside[b.element]]
-            if got:
-                return "\n".join(got)
+            chosen = _inside(page, [x == wanted for x in page.paths])
+            if any(chosen[b.element] for b in page.blocks):
+                around = [False] * len(page.names)
+                for n in range(len(around) - 1, 0, -1):
+                    if around[n] or page.paths[n] == wanted:
+                        around[page.parents[n]] = True
+                inside = _inside(page, [x == wanted or a and b for x, a, b in zip(page.paths, around, page.articles, strict=True)])
+                return "\n".join(b.text for b in page.blocks if inside[b.element] or _beside(page, b, around))
     return "\n".join(b.text for b in page.blocks)
 
 
+def _inside(page: Page, tops: list[bool]) -> list[bool]:
+    """Of each element, whether it is one of tops or stands in one."""
+    out = [False] * len(tops)
+    for n in range(1, len(out)):
+        out[n] = out[page.parents[n]] or tops[n]
+    return out
+
+
+def _beside(page: Page, b: Block, around: list[bool]) -> bool:
+    """Whether a block is a heading or running text, with no container between it and an element of around."""
+    n, heading = b.element, False
+    while n and page.names[n] not in CONTAINERS:
+        heading = heading or page.names[n] in HEADINGS
+        n = page.parents[n]
+    return around[n] and (heading or len(b.text) > 2 * b.linked)
+
+
 def _best(found: dict[str, float]) -> str | None:
     return max(found.items(), key=lambda x: (x[1], x[0]))[0] if found else None
 

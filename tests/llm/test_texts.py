@@ -389,6 +389,20 @@ def test_html_consensus_of_a_host(spark):
     assert got[9]["text"] == "short" and got[9]["n_chars"] == 5 and got[0]["text"].count("\n") == 4
 
 
+def test_html_title_and_lead_beside_the_winner(spark):
+    lead, text = "the lead of it is short. " * 6, "<p>" + "long running text here. " * 40 + "</p>"
+    inner = f"<div class=lead-in><p>{lead}</p></div><div class=entry>{text}</div>"
+    bodies = {
+        1: f"<div class=post><h1>title</h1><p>{lead}</p><div class=entry>{text}</div></div>",
+        2: f"<h1><a href=x>title</a></h1><p>{lead}</p><div class=entry>{text}</div>",
+        3: f"<div class='post-{{}}'><h1>title</h1>{inner}</div>",
+        4: f"<div id=wrap><div class=top>menu item</div><ul><li><a href=x>one link</a></ul><h1>title</h1><p>{lead}</p><div class=entry>{text}</div><div class=extra>see this</div></div>",
+    }
+    rows = [(10 * k + i, f"http://h{k}.org/{i}", f"<html><body class=single-post>{b}</body></html>") for k, b in bodies.items() for i in range(3)]
+    got = html_consensus.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 12 and {r["text"] for r in got} == {f"title\n{lead.strip()}\n{text[3:-4].strip()}"}
+
+
 # ---------------------------------------------------------------- shared
 
 
