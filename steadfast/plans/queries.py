@@ -340,12 +340,12 @@ _boot("bca", None)
 
 @query()
 def quantile_shift_bootstrap(spark, folder):
-    return confidence.quantile_bootstrap(events(spark, folder), "event_type", "value", ("click", "view"), quantiles.QUARTILES, resamples=500)
+    return confidence.quantile_bootstrap(events(spark, folder), "event_type", "value", ("click", "view"), quantiles.QUARTILES)
 
 
 @query()
 def quantile_ratio_bootstrap(spark, folder):
-    return confidence.quantile_bootstrap(events(spark, folder), "event_type", "value", ("click", "view"), quantiles.QUARTILES, compare=confidence.ratio, resamples=500)
+    return confidence.quantile_bootstrap(events(spark, folder), "event_type", "value", ("click", "view"), quantiles.QUARTILES, compare=confidence.ratio)
 
 
 # ------------------------------------------------------------------ histograms and modes

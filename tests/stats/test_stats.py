@@ -355,3 +355,13 @@ def test_streamed_detectors(spark, tmp_path):
     alarms = run_stream(spark, tmp_path / "e", lambda s: detectors.stream_ewma(s, "g", "x", ["t"], reset="reset"), rows, schema, 3).orderBy("t").collect()
     d = detectors.OnlineEwma()
     assert [a["is_alarm"] for a in alarms] == [d.add(v) for v in x] and any(a["is_alarm"] for a in alarms[90:]) and not F is None
+
+
+@pytest.mark.parametrize("name", ["quantile_shift_bootstrap", "quantile_ratio_bootstrap"])
+def test_quantile_bootstraps_run_the_default_resamples(spark, monkeypatch, name):
+    from steadfast.plans import queries
+
+    asked = []
+    monkeypatch.setattr(confidence, "replicates", lambda *a, resamples, **k: asked.append(resamples) or spark.createDataFrame([], "b long, k long, value double, original double"))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [confidence.FAST]
