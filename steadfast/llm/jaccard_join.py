@@ -7,13 +7,16 @@ with the frequent shingles last, so that passages which many documents share bri
 1. Documents of one set are one class, stood for by its smallest id.
 2. Which shingles are frequent is counted on the lowest hashes of each class and, for classes that have too few others
    among these, on their whole sets. Then every class has its prefix, rare shingles first.
-3. Stars: of the classes that share prefix elements, all are verified against one leader, the one with fewest rare
+3. Classes with the same prefix and size collapse into one group, by aggregation on a 128-bit digest: from here on only
+   one row for each group has prefix elements. Members are verified against their group's smallest; those alike make
+   one unit with it, each of the others is a unit of its own.
+4. Stars: of the units that share prefix elements, all are verified against one leader, the one with fewest rare
    shingles; in later rounds, against others, if their component is still another. Large groups of near copies become
    components in steps that grow with the group, not with its square.
-4. Classes with the same prefix, size and component are one group. Prefix elements that two components have bring
-   these components together, and then their groups, never groups of one component, as these are linked already. Size
-   and the number of common prefix elements rule out group pairs; the rest are expanded to members.
-5. Members are verified by their whole sets. Connected components of all links give the result.
+5. Prefix elements that two components have bring these together, and then their groups, never groups of one component,
+   as these are linked already. Size and the number of common prefix elements rule out group pairs; of the rest the
+   smallest members are verified, and pairs that are still apart then are expanded to all members.
+6. Members are verified by their whole sets. Connected components of all links give the result.
 """
 
 from __future__ import annotations
@@ -106,6 +109,12 @@ def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return cut(_map_texts(texts.join(_small(wanted), "id", "left_semi"), k, "hashes array<long>", lambda s: (s,)))
 
 
+def _with_sets(pool: DataFrame, texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """pool (id, hashes) with the sets of the wanted ids that it hasn't yet: no text is read for that twice."""
+    missing = cut(wanted.select("id").distinct().join(pool.select("id"), "id", "left_anti"))
+    return pool.unionByName(_sets(texts, missing, k)) if missing.limit(1).count() else pool
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the distinct pairs (a, b) of ids, those whose sets are alike."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
@@ -125,15 +134,14 @@ def _least_common(na: Column, nb: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), overlap - F.ceil(percent * F.greatest(na, nb) / 100) + 1)
 
 
-def _stars(entries: DataFrame, texts: DataFrame, parts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links found by stars, the parts they make, and the sets read for them; entries are (token, class, n, rare)."""
+def _stars(entries: DataFrame, texts: DataFrame, parts: DataFrame, links: DataFrame, pool: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """links and those found by stars, the parts all of them make, and the sets read; entries are (token, class, n, rare)."""
     crowded = entries.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").drop("many")
     lows = cut(entries.join(crowded, "token"))
     near = lows.groupBy("class").agg(F.count("*").alias("many"), F.first("n").alias("n"))
     near = cut(near.filter(2 * F.col("many") > F.col("n") - F.ceil(percent * F.col("n") / 100)).select("class"))
     lows = cut(lows.join(_small(near), "class", "left_semi"))
-    sets = _sets(texts, near.select(F.col("class").alias("id")), k)
-    links = None
+    pool = _with_sets(pool, texts, near.select(F.col("class").alias("id")), k)
     for r in range(ROUNDS):
         here = lows.join(_small(parts), "class")
         first = F.col("rare") if r % 2 == 0 else F.lit(0)
@@ -144,11 +152,11 @@ def _stars(entries: DataFrame, texts: DataFrame, parts: DataFrame, k: int, perce
         pairs = cut(best.select(F.least("class", -F.col("best.leader")).alias("a"), F.greatest("class", -F.col("best.leader")).alias("b")).distinct())
         if not pairs.limit(1).count():
             break
-        new = cut(_verified(pairs, sets, percent))
-        links = new if links is None else links.unionByName(new)
+        new = cut(_verified(pairs, pool, percent))
+        links = links.unionByName(new)
         if new.limit(1).count():
             parts = _parts(parts.select("class"), links)
-    return links if links is not None else parts.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0), parts, sets
+    return links, parts, pool
 
 
 def _frequent(counts: DataFrame, mark: int) -> np.ndarray:
@@ -174,44 +182,56 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     heads = cut(_map_texts(texts, k, "n long, digest binary, head array<long>", summary))
     sets = cut(heads.select("id", "n", "digest"))
     full = heads.filter("n > 0 and id is not null")
-    chosen = cut(full.groupBy("digest").agg(F.min("id").alias("class")))
-    # an id whose rows have different texts stands for all their sets
-    standing = full.join(_small(chosen.select(F.col("class").alias("id"))), "id", "left_semi").select(F.col("id").alias("class"), "n", "head")
+    standing = cut(full.groupBy("digest").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("head").alias("head")))
+    discard(docs.sparkSession, heads)
+    # the classes of one id's rows, where these have different texts, are one document's
+    of_id = sets.filter("n > 0 and id is not null").select("id", "digest").distinct()
+    several = of_id.groupBy("id").agg(F.count("*").alias("many")).filter("many > 1").select("id")
+    of_id = of_id.join(several, "id", "left_semi").join(standing.select("digest", "class"), "digest")
+    links = cut(of_id.join(of_id.groupBy("id").agg(F.min("class").alias("a")), "id").select("a", F.col("class").alias("b")).filter("a <> b").distinct())
 
     # frequent shingles: by the heads, then by the whole sets of those whose heads have too few others
     counts = cut(standing.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("many")).filter("many > 1"))
     spark, last = docs.sparkSession, _frequent(counts, frequent)
     needy = cut(_prefixes(standing, percent, spark.sparkContext.broadcast(last)).filter("prefix is null").select(F.col("class").alias("id")).distinct())
-    whole_sets = _sets(texts, needy, k)
-    more = cut(whole_sets.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > frequent))
+    pool = _sets(texts, needy, k)
+    more = cut(pool.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > frequent))
     last = spark.sparkContext.broadcast(np.union1d(last, _frequent(more, frequent)))
     by_head = cut(_prefixes(standing, percent, last))
     needy = cut(by_head.filter("prefix is null").select(F.col("class").alias("id")).distinct())
-    wide = _sets(texts, needy, k).select(F.col("id").alias("class"), F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("head"))
+    pool = _with_sets(pool, texts, needy, k)
+    wide = pool.join(_small(needy), "id", "left_semi").select(F.col("id").alias("class"), F.size("hashes").cast("long").alias("n"), F.col("hashes").alias("head"))
     prefixes = by_head.filter("prefix is not null").withColumn("whole", F.lit(False)).unionByName(cut(_prefixes(wide, percent, last)).withColumn("whole", F.lit(True)))
-    prefixes = prefixes.withColumn("same", F.xxhash64("n", "prefix"))
-    about = prefixes.select("class", "n", "rare", "same", (F.size("prefix") - F.least(F.size("prefix"), F.col("rare"))).alias("f"))
-    exploded = prefixes.select("class", "whole", F.explode("prefix").alias("token"))
+
+    # groups of one prefix and size; only their smallest members go on with prefix elements
+    groups = cut(prefixes.groupBy("same").agg(F.min("class").alias("class"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in ("n", "prefix", "rare")), F.max("whole").alias("whole")))
+    member = prefixes.select("class", "same").join(groups.select("same", F.col("class").alias("group"), "members", "n", "rare", F.size("prefix").alias("size")), "same")
+    member = cut(member.select("class", "group", "members", "n", "rare", (F.col("size") - F.least("size", "rare")).alias("f")))
+    exploded = groups.select("class", "whole", F.posexplode("prefix").alias("at", "token"), "rare").withColumn("often", F.col("at") >= F.col("rare"))
     # a shingle matters if two classes have it: as the heads tell, or, behind a head's end, perhaps
     matters = cut(counts.select("token").union(exploded.filter("whole").select("token")).distinct())
-    entries = cut(exploded.select("token", "class").join(_small(matters), "token", "left_semi"))
-
-    alone = cut(chosen.select("class").distinct().withColumn("part", F.col("class")))
-    about = cut(about)
-    discard(spark, heads, by_head, whole_sets, counts, matters)
-    star_links, parts, sets_there = _stars(entries.join(_small(about.select("class", "n", "rare")), "class").select("token", "class", "n", "rare"), texts, alone, k, percent)
-
+    entries = cut(exploded.select("token", F.col("class").alias("group"), "often").join(_small(matters), "token", "left_semi"))
+    discard(spark, standing, by_head, counts, matters, groups)
+
+    crowd = cut(member.filter("members > 1 and class <> group").select(F.col("group").alias("a"), F.col("class").alias("b")).distinct())
+    pool = _with_sets(pool, texts, crowd.select(F.col("a").alias("id")).union(crowd.select(F.col("b").alias("id"))), k)
+    alike = cut(_verified(crowd, pool, percent))
+    links = links.unionByName(alike)
+    member = member.join(alike.select(F.col("a").alias("group"), F.col("b").alias("class"), F.lit(True).alias("alike")), ["group", "class"], "left")
+    member = cut(member.select("class", "group", "n", "rare", "f", F.when(F.col("alike"), F.col("group")).otherwise(F.col("class")).alias("unit")))
+    units = cut(member.filter("unit = class").select("unit", "group", "n", "rare"))
+    alone = _parts(units.select(F.col("unit").alias("class")).distinct(), links)
+    links, parts, pool = _stars(entries.join(_small(units), "group").select("token", F.col("unit").alias("class"), "n", "rare"), texts, alone, links, pool, k, percent)
     discard(spark)
 
-    # groups of one prefix, size and component
-    member = about.join(_small(parts), "class").withColumn("key", F.xxhash64("same", "part"))
-    member = cut(member.select("class", "part", "key", "n", "f"))
-    stands = _small(cut(member.groupBy("key").agg(F.min("class").alias("class"), F.first("part").alias("part"), F.first("n").alias("n"), F.first("f").alias("f"))))
-    entries = cut(entries.join(stands, "class").select("token", "key", "part", "n", "f"))
-    tokens = cut(entries.groupBy("token", "part").agg(F.max("f").alias("f"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+    # units of one group and component go together
+    member = member.join(_small(parts.select(F.col("class").alias("unit"), "part")), "unit")
+    member = cut(member.select("class", "part", "group", "n", "f"))
+    stands = _small(cut(member.groupBy("group", "part").agg(F.min("class").alias("key"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("f").alias("f"))))
+    entries = cut(entries.join(stands, "group").select("token", "often", "key", "part", "n", "f"))
+    tokens = cut(entries.groupBy("token", "part").agg(F.first("often").alias("often"), F.max("f").alias("f"), F.min("n").alias("lo"), F.max("n").alias("hi")))
     several = tokens.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
-    frequent_ones = spark.createDataFrame([(int(t),) for t in last.value], "often long")
-    tokens = cut(tokens.join(several, "token", "left_semi").join(F.broadcast(frequent_ones), F.col("token") == F.col("often"), "left").withColumn("often", F.col("often").isNotNull()))
+    tokens = cut(tokens.join(several, "token", "left_semi"))
     others = tokens.select("token", *(F.col(c).alias(f"{c}_") for c in ("f", "lo", "hi")), F.col("part").alias("other"))
     # what any two of their members must have in common at least; of the frequent shingles both prefixes have no more
     # than the shorter frequent part, and pairs for which that is too little need a rare one in common, too
@@ -221,17 +241,28 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     side = lambda x, part: entries.select("token", F.col("part").alias(part), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("f").alias(f"f{x}"))
     least = _least_common(F.col("na"), F.col("nb"), percent)
     met = both.join(side("a", "part"), ["token", "part"]).join(side("b", "other"), ["token", "other"]).filter(_may_be_alike(F.col("na"), F.col("nb"), percent) & (~F.col("often") | (F.least("fa", "fb") >= least)))
-    met = met.groupBy("ka", "kb").agg(F.sum(F.when(F.col("often"), 0).otherwise(1)).alias("some"), F.sum(F.when(F.col("often"), 1).otherwise(0)).alias("more"), *(F.first(c).alias(c) for c in ("na", "nb", "fa", "fb")))
+    met = met.groupBy("ka", "kb", "part", "other").agg(F.sum(F.when(F.col("often"), 0).otherwise(1)).alias("some"), F.sum(F.when(F.col("often"), 1).otherwise(0)).alias("more"), *(F.first(c).alias(c) for c in ("na", "nb", "fa", "fb")))
     frequent_part = F.when(F.least("fa", "fb") >= least, F.col("more")).otherwise(F.least("fa", "fb"))
-    met = met.filter(F.col("some") + frequent_part >= least).select("ka", "kb")
-    of_a, of_b = member.select(F.col("key").alias("ka"), F.col("class").alias("a")), member.select(F.col("key").alias("kb"), F.col("class").alias("b"))
-    between = cut(met.join(of_a, "ka").join(of_b, "kb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    met = cut(met.filter(F.col("some") + frequent_part >= least).select("ka", "kb", "part", "other"))
     discard(spark, tokens)
-    wanted = between.select(F.col("a").alias("id")).union(between.select(F.col("b").alias("id"))).distinct()
-    missing = cut(wanted.join(sets_there.select("id"), "id", "left_anti"))
-    links = _verified(between, sets_there.unionByName(_sets(texts, missing, k)), percent)
-    found = cut(components(star_links.unionByName(links)))
-
+    pool = _with_sets(pool, texts, met.select(F.col("ka").alias("id")).union(met.select(F.col("kb").alias("id"))), k)
+    new = cut(_verified(met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct(), pool, percent))
+    links = links.unionByName(new)
+
+    # what the smallest members' links leave apart is expanded to all members
+    larger = cut(member.join(stands.filter("members > 1").select("group", "part", "key"), ["group", "part"]).select("key", "class"))
+    if larger.limit(1).count():
+        joined = cut(components(links)).select("node", "component")
+        part = lambda x, c: joined.select(F.col("node").alias(x), F.col("component").alias(c))
+        apart = met.join(part("ka", "ca"), "ka", "left").join(part("kb", "cb"), "kb", "left").filter(F.coalesce("ca", "ka") != F.coalesce("cb", "kb")).select("ka", "kb")
+        every = lambda x, c: larger.select(F.col("key").alias(x), F.col("class").alias(c))
+        between = apart.join(every("ka", "a"), "ka", "left").join(every("kb", "b"), "kb", "left").select(F.coalesce("a", "ka").alias("a"), F.coalesce("b", "kb").alias("b"), "ka", "kb").filter("a <> ka or b <> kb")
+        between = cut(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        pool = _with_sets(pool, texts, between.select(F.col("a").alias("id")).union(between.select(F.col("b").alias("id"))), k)
+        links = links.unionByName(_verified(between, pool, percent))
+    found = cut(components(links))
+
+    chosen = sets.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class"))
     of_class = chosen.join(found, F.col("class") == F.col("node"), "left").select("digest", F.coalesce("component", "class").alias("component"))
     out = sets.select("id", "n", "digest").join(cut(of_class), "digest", "left")
     one = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "id"))
@@ -239,8 +270,11 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def _prefixes(classes: DataFrame, percent: int, last) -> DataFrame:
-    """class, n, prefix, rare for (class, n, head): the first elements in the order with the frequent ones last, or null if the head doesn't tell."""
-    schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("rare", T.LongType())])
+    """class, n, prefix, rare, same for (class, n, head): the first elements in the order with the frequent ones last, or null if the head doesn't tell.
+
+    same is a digest of n and the prefix.
+    """
+    schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("rare", T.LongType()), T.StructField("same", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
@@ -255,7 +289,8 @@ def _prefixes(classes: DataFrame, percent: int, last) -> DataFrame:
                     start += k
                     rares.append(int(rare.sum()))
                     rows.append(np.r_[head[rare], head[~rare]][:size] if k == n else head[rare][:size] if rares[-1] >= size else None)
-                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("n"), pa.array(rows, pa.list_(pa.int64())), pa.array(rares, pa.int64())], names=schema.names)
+                same = [None if row is None else xxhash.xxh3_128_digest(np.r_[n, row].tobytes()) for row, n in zip(rows, part.column("n").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("n"), pa.array(rows, pa.list_(pa.int64())), pa.array(rares, pa.int64()), pa.array(same, pa.binary())], names=schema.names)
 
     return small_batches(classes.select("class", "n", "head")).mapInArrow(run, schema)
 
