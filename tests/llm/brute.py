@@ -41,12 +41,12 @@ def components(docs, k, percent):
     return {i: top(i) for i in ids}, {i: len(s) for i, s in sets.items()}
 
 
-def quality(text, min_repeat=8, most_covered=45, longest=100):
+def quality(text, min_repeat=8, most_covered=24, longest=50):
     text = text or ""
     w = words(text)
     n = len(w)
     tri = Counter(tuple(w[i : i + 3]) for i in range(n - 2))
-    rep, cov, best = [0] * n, [0] * n, 0
+    rep, cov, best, repeated = [0] * n, [0] * n, 0, set()
     for i in range(n - 2):
         if tri[tuple(w[i : i + 3])] > 1:
             rep[i : i + 3] = [1] * 3
@@ -57,6 +57,7 @@ def quality(text, min_repeat=8, most_covered=45, longest=100):
                 k += 1
             if k >= min_repeat:
                 best = max(best, k)
+                repeated.add(tuple(w[i : i + k]))  # not all its occurrences go on with the same word
                 cov[i : i + k] = [1] * k
                 cov[j : j + k] = [1] * k
     seen, dup = set(), 0
@@ -66,7 +67,9 @@ def quality(text, min_repeat=8, most_covered=45, longest=100):
             seen.add(line)
     failed = n < 50 or 100 * sum(rep) > 50 * n
     kept = not failed and 100 * sum(cov) <= most_covered * n and best <= longest
-    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, sum(rep), failed, kept, sum(cov), best
+    before = {x: [w[i - 1] if i else None for i in range(n) if tuple(w[i : i + len(x)]) == x] for x in repeated}
+    maximal = sum(None in b or len(set(b)) > 1 for b in before.values())
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, sum(rep), failed, kept, sum(cov), best, maximal
 
 
 def dedup(docs, min_words=50):
