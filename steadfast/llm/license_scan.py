@@ -9,9 +9,11 @@ reported with the span they cover.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import functools
 import re
+from array import array
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -110,8 +112,13 @@ class Scanner:
         if not cues:
             return []
         found = []
+        starts, ends = array("q"), array("q")
+        for m in WORD.finditer(text):
+            starts.append(m.start()), ends.append(m.end())
+        marked = sorted({min(bisect.bisect_right(ends, c), len(ends) - 1) for c in cues})
         for length, templates in sorted(self.classes.items()):
-            for at, block in _blocks(text, cues, length):
+            for low, high in _blocks(len(starts), marked, length):
+                block = [(text[a:b], a, b) for a, b in zip(starts[low:high], ends[low:high], strict=True)]
                 raw = (" ".join(w.lower() for w, _, _ in block) + " ").encode()
                 alone = _size(raw, self.plain)
                 lower = [w.lower() for w, _, _ in block]
@@ -128,33 +135,23 @@ class Scanner:
         return sorted(kept)
 
 
-def _blocks(text: str, cues: list[int], length: int):
-    """(start, words with their spans) of the blocks for templates of up to length words: around each run of near cues.
+def _blocks(n: int, marked: list[int], length: int):
+    """(first, end) of the blocks of words for templates of up to length words: around each run of marked words that are near.
 
-    A run's stretch of text is cut into blocks of 4 lengths that overlap by 2, so that every occurrence of a template is
-    whole in one of them.
+    All is counted in words, however long these are. A run's stretch is cut into blocks of 4 lengths that overlap by 2, so
+    that every occurrence of a template is whole in one of them.
     """
     reach = length * 2
-    near = reach * 16  # characters: words that are longer on average than 16 aren't those of a license
     runs: list[list[int]] = []
-    for c in cues:
-        if runs and c - runs[-1][1] <= near:
+    for c in marked:
+        if runs and c - runs[-1][1] <= 2 * reach:
             runs[-1][1] = c
         else:
             runs.append([c, c])
     for first, last in runs:
-        a, b = max(0, first - near), min(len(text), last + near)
-        if 0 < a and text[a - 1].isalnum():  # not within a word
-            a = next((k for k in range(a, min(a + 200, first)) if not text[k].isalnum()), a)
-        words = [(m[0], m.start(), m.end()) for m in WORD.finditer(text, a, b)]
-        at = [i for i, (_, _, e) in enumerate(words) if e > first]
-        low = max(0, (at[0] if at else len(words)) - reach)
-        at = [i for i, (_, s, _) in enumerate(words) if s <= last]
-        high = min(len(words), (at[-1] if at else 0) + reach + 1)
+        low, high = max(0, first - reach), min(n, last + reach + 1)
         for k in range(low, max(low + 1, high - reach), reach):
-            block = words[k : min(k + 2 * reach, high)]
-            if block:
-                yield block[0][1], block
+            yield k, min(k + 2 * reach, high)
 
 
 def _allowed(template: tuple[str, ...]) -> int:
@@ -217,7 +214,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Spans are in code points, end exclusive; gain is what the template saved of its own compressed size, in thousandths. Null
     and empty texts have no license; null ids are kept; repeated rows are each scanned; other columns are dropped. Equal
-    texts give equal results. Whole texts are scanned; no shuffle.
+    texts give equal results. Of equally long spans that overlap, the one with fewest differences stays, then the first name.
+    An empty table gives no row. Whole texts are scanned; no shuffle; memory follows the longest text.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     one = "name string, start long, end long, gain long, n_differences long, differences string"
