@@ -68,7 +68,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels) - k + 1)))
     reach = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")) if lengths else F.array().cast("array<int>")
     # urls of one host and path give the same expressions: each distinct pair is judged once, with map-side combine
-    pairs = urls.select("host", "path").distinct()
+    # those without a host fit no rule and meet none, as many as they may be
+    known, unknown = urls.filter("host <> ''"), urls.filter("host = ''")
+    pairs = known.select("host", "path").distinct()
     expressions = _digests(
         pairs.select("host", "path", F.explode(suffixes).alias("suffix"))
         .select("host", "path", "suffix", F.explode(reach).alias("n"))
@@ -76,7 +78,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     )
     found = expressions.alias("e").join(by_rule.alias("r"), "short").filter("e.digest = r.digest and e.expression = r.expression")
     best = found.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "of_host", F.col("r.verdict").alias("verdict"), "rule")).alias("best"))
-    judged = urls.join(best, ["host", "path"], "left")
+    judged = known.join(best, ["host", "path"], "left").select("id", "host", "path", "best")
+    judged = judged.unionByName(unknown.withColumn("best", F.lit(None).cast(best.schema["best"].dataType)))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
