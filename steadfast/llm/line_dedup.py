@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from steadfast.llm.common import WORD, cut, table
 
 MIN_WORDS = 50
+#: A key with more than this share of all rows is hot. So there are at most as many hot keys as its inverse, about 100 bytes each.
+HOT = 1 / 10_000
 DOC = ["id", "text_key"]
 
 
@@ -51,11 +53,21 @@ def _windows(lines: DataFrame, over: Window, min_words: int) -> DataFrame:
     return found.select(*DOC, "first", "last", least.alias("fingerprint"), F.xxhash64(*DOC, selected).alias("place"), F.xxhash64("hs").alias("key"), F.xxhash64("gs").alias("check"))
 
 
+def _meet(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with keys, written tables, keys being unique and having n, how many rows each has.
+
+    Rows of hot keys stay where they are and meet these by broadcast; all others are dealt by key, so that no task gets many of one.
+    """
+    most = max(1.0, HOT * rows.count())
+    hot, rest = F.broadcast(keys.filter(F.col("n") > most).drop("n")), keys.filter(F.col("n") <= most).drop("n")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(rest, on))
+
+
 def _later(windows: DataFrame) -> DataFrame:
-    """The windows whose content begins earlier elsewhere."""
+    """The windows of a written table whose content begins earlier elsewhere."""
     place = F.struct(*DOC, "first")
-    heads = windows.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(place).alias("head")).filter("n > 1").drop("n")
-    return windows.join(heads, ["key", "check"]).filter(place > F.col("head")).select(*DOC, "first", "last")
+    heads = cut(windows.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(place).alias("head")).filter("n > 1"))
+    return _meet(windows, heads, ["key", "check"]).filter(place > F.col("head")).select(*DOC, "first", "last")
 
 
 def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
@@ -66,10 +78,10 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     doc = Window.partitionBy(*DOC)
     lines = cut(_lines(docs))
     windows = cut(_windows(lines, doc.orderBy("start").rangeBetween(0, min_words - 1), min_words))
-    shared = windows.groupBy("fingerprint").agg(F.min("place").alias("a"), F.max("place").alias("z")).filter("a <> z").select("fingerprint")
-    met = cut(windows.join(shared, "fingerprint", "left_semi").drop("fingerprint", "place"))
-    many = met.groupBy("key", "check").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    touched = met.join(many, ["key", "check"], "left_semi").select(*DOC).distinct()
+    shared = cut(windows.groupBy("fingerprint").agg(F.min("place").alias("a"), F.max("place").alias("z"), F.count("*").alias("n")).filter("a <> z").select("fingerprint", "n"))
+    met = cut(_meet(windows, shared, ["fingerprint"]).drop("fingerprint", "place"))
+    many = cut(met.groupBy("key", "check").agg(F.count("*").alias("n")).filter("n > 1"))
+    touched = cut(_meet(met.select(*DOC, "key", "check"), many, ["key", "check"]).select(*DOC).distinct())
     tails = _windows(lines.join(touched, DOC, "left_semi"), doc.orderBy("end").rangeBetween(1 - min_words, 0), min_words)
     gone = _later(met).unionByName(_later(cut(tails.drop("fingerprint", "place")))).distinct()
     ordered = doc.orderBy("first", "last")
