@@ -1,8 +1,8 @@
 """MPEG audio columns: frames, tags, variable-bitrate tables, checksums, exact durations and seek offsets.
 
 The reader takes any MPEG 1, 2 or 2.5 stream of layers I to III. It skips ID3v2 and finds ID3v1 tags, resynchronises on a
-header whose frame is followed by another fitting header or the end, reads Xing, Info and VBRI tables, and checks the
-CRC-16 of layer III frames that carry one. A stream's duration is its number of samples over its rate, both whole
+header whose frame is followed by another fitting header or the end, reads Xing, Info and VBRI tables with their seek
+points, holds these against the frames found, and checks the CRC-16 of all frames that carry one. A stream's duration is its number of samples over its rate, both whole
 numbers; every frame's offset and first sample are kept for seeking.
 
 The writer stores bytes in silent layer III frames with checksums, of the largest bitrate and for the last frame of
@@ -47,6 +47,7 @@ class Header:
     mono: bool
     length: int
     samples: int
+    bound: int  # the first subband that joint stereo codes once for both channels; 32 if there is none
 
     @property
     def side(self) -> int:
@@ -72,7 +73,8 @@ def read_header(raw: bytes) -> Header | None:
     kbits, hertz, padding = KBITS[min(int(version), 2), layer][index - 1], RATES[version][rate], raw[2] >> 1 & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 1 else 576
     length = (12000 * kbits // hertz + padding) * 4 if layer == 1 else samples * 125 * kbits // hertz + padding
-    return Header(version, layer, not raw[1] & 1, kbits, hertz, raw[3] >> 6 == 3, length, samples)
+    bound = 4 * ((raw[3] >> 4 & 3) + 1) if raw[3] >> 6 == 1 else 32
+    return Header(version, layer, not raw[1] & 1, kbits, hertz, raw[3] >> 6 == 3, length, samples, bound)
 
 
 def _crc_table() -> list[int]:
@@ -97,6 +99,45 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def _allocation_widths(h: Header) -> list[int]:
+    """Layer II: bits of each subband's allocation. Fixed values of the format, by rate and bitrate of a channel."""
+    if h.version != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    kbits = h.kbits if h.mono else h.kbits // 2
+    if kbits <= 48:
+        return [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (7 if h.rate != 48000 and kbits >= 96 else 4)
+
+
+def protected_bits(data: bytes, at: int, h: Header) -> int:
+    """Bits behind the checksum that it covers: side information, or allocations, and in layer II what they select."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    if h.layer == 1:
+        return 4 * sum(channels if sb < h.bound else 1 for sb in range(32))
+    raw = int.from_bytes(data[at + 6 : at + 46], "big")
+    bits = chosen = 0
+    for sb, width in enumerate(_allocation_widths(h)):
+        shared = sb >= h.bound
+        for _ in range(1 if shared else channels):
+            used = raw >> (320 - bits - width) & (1 << width) - 1 if bits + width <= 320 else 0
+            bits += width
+            chosen += (channels if shared else 1) * (used > 0)
+    return bits + 2 * chosen
+
+
+def checksum(data: bytes, at: int, h: Header) -> int:
+    """The CRC-16 that a frame should carry."""
+    bits = protected_bits(data, at, h)
+    c = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + bits // 8])
+    rest = data[at + 6 + bits // 8 : at + 7 + bits // 8]
+    for k in range(bits % 8 if rest else 0):
+        one = c >> 15 ^ rest[0] >> 7 - k & 1
+        c = (c << 1 ^ 0x8005 * one) & 0xFFFF
+    return c
+
+
 @dataclass
 class Stream:
     """What was read: frames as (offset, header, first sample); the table's frame is not among them."""
@@ -107,6 +148,9 @@ class Stream:
     table_frames: int | None = None
     table_bytes: int | None = None
     toc: bytes = b""
+    #: The table's seek points, (share of the stream's samples, offset), where it has any, and how many are off.
+    points: list[tuple[float, int]] = field(default_factory=list)
+    points_off: int = 0
     samples: int = 0
     rate: int = 0
     channels: int = 0
@@ -159,9 +203,16 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
             values.append(data[x : x + size] if flags & bit and x + size <= stop else None)
             x += size * bool(flags & bit)
         out.table, out.toc = name.decode(), values[2] or b""
+        if values[1]:
+            out.points = [(i / 100, at + x * int.from_bytes(values[1], "big") // 256) for i, x in enumerate(out.toc)]
     elif data[at + 36 : at + 40] == b"VBRI" and at + 54 <= stop:
         out.table, x = "VBRI", at + 36
         values = [data[x + 14 : x + 18], data[x + 10 : x + 14]]
+        count, scale, size, each = struct.unpack(">4H", data[x + 18 : x + 26]) if x + 26 <= stop else (0, 0, 0, 0)
+        here, frames = at + h.length, int.from_bytes(values[0], "big")
+        for i in range(count if 1 <= size <= 4 and x + 26 + count * size <= stop and frames else 0):
+            out.points.append((min(1.0, i * each / frames), here))
+            here += scale * int.from_bytes(data[x + 26 + i * size : x + 26 + (i + 1) * size], "big")
     else:
         return False
     out.table_frames, out.table_bytes = (None if v is None else int.from_bytes(v, "big") for v in values[:2])
@@ -200,8 +251,8 @@ def read_stream(data: bytes) -> Stream:
             kind = h.kind
             out.version, out.layer, out.rate, out.channels = h.version, h.layer, h.rate, 1 if h.mono else 2
         lost = False
-        if h.protected and h.layer == 3:
-            good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.protected:
+            good = checksum(data, at, h) == int.from_bytes(data[at + 4 : at + 6], "big")
             out.crc_ok, out.crc_bad = out.crc_ok + good, out.crc_bad + (not good)
         if not (not out.frames and h.layer == 3 and not out.table and _table(data, at, h, out)):
             out.frames.append((at, h, out.samples))
@@ -209,6 +260,10 @@ def read_stream(data: bytes) -> Stream:
         at += h.length
     if tagged and at <= end:
         out.tags["ID3v1"] = data[-128:]
+    if out.frames:
+        # a point may be as far off as its unit, a 256th of the stream in Xing tables, and a frame
+        unit = max(out.table_bytes or 0, 1) // 256 + 2 * max(h.length for _, h, _ in out.frames)
+        out.points_off = sum(abs(out.seek(min(out.samples - 1, int(share * out.samples))) - where) > unit for share, where in out.points)
     return out
 
 
@@ -274,7 +329,7 @@ def feature(stream: Stream) -> str:
     kbits = sorted({h.kbits for _, h, _ in stream.frames})
     return (
         f"mpeg={stream.version:g};layer={stream.layer};rate={stream.rate};channels={stream.channels};frames={len(stream.frames)};samples={stream.samples};"
-        f"kbits={'/'.join(map(str, kbits))};table={stream.table}:{stream.table_frames}:{stream.table_bytes};crc_ok={stream.crc_ok};crc_bad={stream.crc_bad};junk={stream.junk};seek={seeks}"
+        f"kbits={'/'.join(map(str, kbits))};table={stream.table}:{stream.table_frames}:{stream.table_bytes}:{len(stream.points)}:{stream.points_off};crc_ok={stream.crc_ok};crc_bad={stream.crc_bad};junk={stream.junk};seek={seeks}"
     )
 
 
@@ -285,6 +340,7 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """id, n_bytes, media for each row of docs: the text as UTF-8 with bytes 0 up to a positive multiple of 64, in an MPEG stream.
 
     Null texts count as empty, null ids are kept, repeated rows are each stored, equal texts give equal bytes; other columns are dropped.
+    An empty table gives no row; memory follows the longest text.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = docs.select("id").schema.add("n_bytes", "long").add("media", "binary")
@@ -299,7 +355,7 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return small_batches(docs).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-PROBED = "version double, layer int, rate int, channels int, n_frames long, samples long, seconds double, vbr_table string, crc_ok long, crc_bad long, junk_bytes long, resyncs long, seek_offsets array<long>, feature string"
+PROBED = "version double, layer int, rate int, channels int, n_frames long, samples long, seconds double, vbr_table string, seek_points long, seek_points_off long, crc_ok long, crc_bad long, junk_bytes long, resyncs long, seek_offsets array<long>, feature string"
 
 
 def probe_media(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -308,7 +364,7 @@ def probe_media(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "m
     schema = media.select("id").schema
     for x in media.sparkSession.createDataFrame([], PROBED).schema:
         schema = schema.add(x)
-    kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.string()]
+    kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64()), pa.string()]
 
     def run(batches):
         for batch in batches:
@@ -317,14 +373,18 @@ def probe_media(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "m
                 rows = []
                 for x in column[at : at + 200]:
                     s = read_stream(x.as_py() or b"")
-                    rows.append((s.version, s.layer, s.rate, s.channels, len(s.frames), s.samples, s.samples / s.rate if s.rate else 0.0, s.table, s.crc_ok, s.crc_bad, s.junk, s.resyncs, [a for a, _, _ in s.frames], feature(s)))
+                    rows.append((s.version, s.layer, s.rate, s.channels, len(s.frames), s.samples, s.samples / s.rate if s.rate else 0.0, s.table, len(s.points), s.points_off, s.crc_ok, s.crc_bad, s.junk, s.resyncs, [a for a, _, _ in s.frames], feature(s)))
                 yield pa.RecordBatch.from_arrays([ids[at : at + 200], *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=schema.names)
 
     return small_batches(media).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def digest_media(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """id, n_bytes and the digests of stored media (id, n_bytes, media): payload read back, its last 64 bytes, the stream, and its feature."""
+    """id, n_bytes and the digests of stored media (id, n_bytes, media): payload read back, its last 64 bytes, the stream, and its feature.
+
+    Null media give null in all these; streams without stored bytes, or with damaged ones, raise ValueError. Repeated rows are
+    each read, equal media give equal digests, so ties can't be; other columns are dropped; an empty table gives no row.
+    """
     media = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
     schema = media.select("id", "n_bytes").schema.add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -335,6 +395,9 @@ def digest_media(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
                 part, rows = batch.slice(at, 200), []
                 for x in part.column("media"):
                     data = x.as_py()
+                    if data is None:
+                        rows.append((None,) * 6)
+                        continue
                     stream = read_stream(data)
                     payload = read_payload(data, stream)
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(stream)))
