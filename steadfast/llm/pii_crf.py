@@ -115,18 +115,20 @@ def _features(word_class: tuple) -> list[str]:
     out = ["bias", f"shape {inner}", f"digits {digits}", f"trigger {trigger}", f"mixed {mixed}", f"caps {caps}", f"mixed {mixed} {caps} {length}"]
     out += [f"has {c}" for c in "@.-+()=/:\"_" if c in shape]
     plain = re.sub(r"0\d?", "0", inner)
-    out += [f"plain {plain[:24]}", f"start {plain[:2]}", f"end {plain[-2:]}", f"digits {digits} has. {'.' in shape} has- {'-' in shape} has@ {'@' in shape} ={'=' in shape}"]
+    out += [f"plain {plain}", f"start {plain[:2]}", f"end {plain[-2:]}", f"digits {digits} has. {'.' in shape} has- {'-' in shape} has@ {'@' in shape} ={'=' in shape}"]
     return out
 
 
+#: Runs of a shape that are written out; a shape of more is told by its first and last runs, its kinds of signs and its size.
+WRITTEN_RUNS = 16
+
+
 def word_class(word: bytes) -> tuple:
-    """What the features know of a word: the shape by runs, digits counted, and what mixes letters and digits."""
+    """What the features know of a word, all of it: the shape by runs, digits counted, and what mixes letters and digits."""
     pieces, digits, turns, last = [], 0, 0, b""
     shape = word.translate(_SHAPE)
-    if len(shape) > 64:
-        shape = shape[:64]
     if shape.isalpha() and b"0" not in shape:
-        text = _RUNS.sub(rb"\1", shape).decode("latin-1")[:12]
+        pieces = _RUNS.sub(rb"\1", shape).decode("latin-1")
     else:
         for m in _RUNS.finditer(shape):
             c, n = m[1], len(m[0])
@@ -137,9 +139,12 @@ def word_class(word: bytes) -> tuple:
                 pieces.append(c.decode("latin-1"))
             turns += c.isalnum() and last.isalnum()
             last = c
-        text = "".join(pieces[:16])
+    if len(pieces) > WRITTEN_RUNS:
+        kinds = "".join(sorted(set(shape.decode("latin-1"))))
+        pieces = [*pieces[:2], "~", kinds, "~", *pieces[-2:]]
+    text = "".join(pieces)
     bare = word.strip(_STRIP).lower()
-    stem = re.split(rb"[=:_]", bare, maxsplit=1)[0] if len(bare) < 40 else b""
+    stem = re.split(rb"[=:_]", bare, maxsplit=1)[0]
     trigger = stem.decode() if stem in TRIGGERS else bare.decode() if bare in (b"at", b"dot") and word[:1] in (b"[", b"(", b"<") else ""
     n = len(shape)
     mixed = min(turns, 6) // 2 if digits >= 3 and n >= 12 else 0
@@ -153,7 +158,7 @@ EDGE = ("<edge>", 0, 0, "", 0, False)
 def _near(side: str, wc: tuple) -> list[str]:
     shape, _, digits, trigger, mixed, _ = wc
     plain = re.sub(r"0\d?", "0", shape.strip(_STRIP.decode()))
-    return [f"{side} trigger {trigger}", f"{side} digits {min(digits, 8)}", f"{side} plain {plain[:10]}", f"{side} {shape[-1:] if shape else ''}{' m' if mixed else ''}"]
+    return [f"{side} trigger {trigger}", f"{side} digits {min(digits, 8)}", f"{side} plain {plain}", f"{side} {shape[-1:] if shape else ''}{' m' if mixed else ''}"]
 
 
 # ------------------------------------------------------------------ labelled table
@@ -440,7 +445,7 @@ def find(texts: list[str], field: Field) -> list[tuple[list, list]]:
                         j += 1
                     if labels[i]:
                         a, b = words[i].start(), words[j - 1].end()
-                        while b > a and t[b - 1] in ".,;:!?\"'>|":
+                        while b > a and t[b - 1] in ".,;:!?\"'>|#*%&$":
                             b -= 1
                         while a < b and t[a] in "\"'<|":
                             a += 1
@@ -462,7 +467,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     sentences: the labelled table to train on, lists of (word, label of LABELS); None: labelled_table(). Null texts count as
     empty and have no span; null ids are kept; repeated rows are each done; other columns are dropped. Ties of start go
-    by kind as listed in KINDS. No shuffle; memory follows the longest text.
+    by kind as listed in KINDS. An empty table gives no row. No shuffle; memory follows the longest text.
     """
     model = default_field() if sentences is None else (lambda f: (f.index, f.weights, f.steps))(train(sentences))
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # as large as the labelled table's features: some hundred kilobytes
