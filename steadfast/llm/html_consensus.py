@@ -28,7 +28,7 @@ BROADCAST_HOSTS = 50_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text.
-RAW = frozenset("script style noscript template textarea iframe object svg math title canvas audio video select".split())
+RAW = frozenset("script style template textarea iframe object svg title canvas audio video select".split())
 #: Elements that are never part of an article.
 CHROME = frozenset("nav footer aside form head button dialog menu fieldset".split())
 BLOCKS = frozenset(
@@ -51,15 +51,17 @@ ENDS_P = BLOCKS - {"html", "body"}
 ALONE = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 ALONE = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ALONE.items()}
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
+# as in HTML, a quote opens a value only after =; elsewhere in a tag it is a character like others
+_VALUE = r"=\s*(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>\"'][^\s>]*+)?"
+_TOKEN = re.compile(rf"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|{_VALUE})*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z]+")
 
 
 CONTAINERS = frozenset("article main section div body td html".split())
-#: Labels of a path that are written out; what is deeper is a digest, so that paths stay short however deep a page is.
-WRITTEN = 40
+#: Labels of a path, and its characters, that are written out; what is deeper or longer is a digest, so that paths stay short however deep a page is.
+WRITTEN, LONGEST_PATH = 40, 1000
 
 
 class Block:
@@ -80,7 +82,7 @@ class Page:
 
     def add(self, parent: int, name: str, label: str) -> int:
         path = f"{self.paths[parent]}/{label}"
-        if self.depths[parent] >= WRITTEN:
+        if self.depths[parent] >= WRITTEN or len(path) > LONGEST_PATH:
             path = "#" + hashlib.md5(path.encode()).hexdigest()
         self.parents.append(parent), self.names.append(name), self.paths.append(path), self.depths.append(self.depths[parent] + 1)
         self.articles.append(name == "article" or name in CONTAINERS - {"html", "body"} and not ARTICLE_NAMES.isdisjoint(_SPLIT.split(label.lower().partition(".")[2])))
@@ -90,17 +92,21 @@ class Page:
 #: With one of these in the same class, a word means something else: with-sidebar; or, if it is one of SOFT, entry-header.
 NEGATES = frozenset("with has no without not".split())
 OF_ARTICLE, SOFT = frozenset("post article entry story section".split()), frozenset("header tags more side search form popular".split())
+#: Elements of running text. Within an article these words don't leave them out: what they mark as such are boxes.
+TEXT = frozenset("p span b i em strong a u s small mark q cite code pre blockquote h2 h3 h4 h5 h6 li dt dd td th figcaption time abbr sub sup font label".split())
+OF_BOXES = frozenset("related recommended recommendations trending popular more tags legal copyright side complementary search form register login hidden".split())
 
 #: Words of a container's class or id that name it as an article.
 ARTICLE_NAMES = OF_ARTICLE - {"section"}
 
 
-def _is_chrome(attributes: dict[str, str], in_article: bool) -> bool:
+def _is_chrome(name: str, attributes: dict[str, str], in_article: bool) -> bool:
     """Whether class, id or role say that the element stands around an article."""
-    for name in ("class", "id", "role"):
-        for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", attributes.get(name) or "").lower().split():
+    marks = NOT_MAIN - OF_BOXES if in_article and name in TEXT else NOT_MAIN
+    for attribute in ("class", "id", "role"):
+        for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", attributes.get(attribute) or "").lower().split():
             pieces = {p for p in _SPLIT.split(token) if p}
-            found = ({"".join(_SPLIT.split(token))} | pieces) & NOT_MAIN
+            found = ({"".join(_SPLIT.split(token))} | pieces) & marks
             if found and not pieces & NEGATES and not (found <= SOFT and (in_article or pieces & OF_ARTICLE)):
                 return True
     return False
@@ -117,6 +123,7 @@ def parse(page: str) -> Page:
     out = Page()
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, number, whether it is left out
     count: Counter[str] = Counter()  # open elements by name
+    places: dict[str, list[int]] = {}  # their places in the stack, so that none is searched for
     text: list[str] = []
     linked = at = 0
     seen_body = False
@@ -136,17 +143,14 @@ def parse(page: str) -> Page:
             flush()
         for name, _, _ in stack[k:]:
             count[name] -= 1
+            places[name].pop()
         del stack[k:]
 
     def last(names, until=frozenset()) -> int:
         """Place of the innermost open element of these names, if none of `until` is further in; else 0."""
-        if any(count[n] for n in names):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in names:
-                    return k
-                if stack[k][0] in until:
-                    return 0
-        return 0
+        inner = lambda wanted: max((places[n][-1] for n in wanted if count[n]), default=0)
+        found = inner(names)
+        return found if found and found >= inner(until) else 0
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -213,10 +217,11 @@ def parse(page: str) -> Page:
         if not left_out:
             left_out = name in CHROME or (name == "header" and not in_article) or "hidden" in attributes or attributes.get("aria-hidden") == "true"
             left_out = left_out or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")))
-            left_out = left_out or name not in ("html", "body", "article", "main", "h1") and _is_chrome(attributes, in_article)
+            left_out = left_out or name not in ("html", "body", "article", "main", "h1") and _is_chrome(name, attributes, in_article)
         if m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
         stack.append((name, out.add(stack[-1][1], name, _general(name, attributes)), left_out))
+        places.setdefault(name, []).append(len(stack) - 1)
         count[name] += 1
     flush()
     return out
