@@ -29,9 +29,14 @@ def ascii_lower(column):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests, one machine) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or where it is unset on one machine (master local) a temporary one.
+
+    On a cluster without it this raises RuntimeError: a temporary folder would be another one on each machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="steadfast-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
