@@ -94,6 +94,16 @@ def test_licenses_that_stand_together_are_all_found():
         assert [(x[2], x[4]) for x in found] == [(short[t], 0) for t in chosen], chosen
 
 
+def test_licenses_between_long_words_and_many_in_a_line():
+    s = license_scan.Scanner()
+    six = "All rights reserved. Released under the MIT License. Licensed under the Apache License, Version 2.0. Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0. Licensed under CC BY-NC 4.0."
+    assert [x[2] for x in s.scan(six)] == ["all-rights-reserved", "mit", "apache-2.0", "cc-by-4.0", "cc-by-sa-4.0", "cc-by-nc-4.0"]
+    # blocks are counted in words: neither long words nor wide gaps between words cut a notice
+    for gap in (" ", "\n" * 400, " " * 3000):
+        text = "x" * 70_000 + " " + gap.join("Released under the MIT License.".split()) + " " + "y" * 70_000
+        assert [x[2] for x in s.scan(text)] == ["mit"]
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -155,6 +165,41 @@ def test_mixing_targets_and_takes(spark):
         assert abs(mine["taken"].sum() - want) <= max(2, 0.01 * want)
 
 
+def test_mixing_inclusion_follows_the_odds(spark):
+    # source b weighs twice a's, so that some of a is left out and some of b comes twice
+    rows = [(i, "w " * (10, 20, 40)[i % 3], "ab"[i % 2]) for i in range(12_000)]
+    rows += [(20_000 + i, "w " * 3000, "a") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).toPandas()
+    for source in "ab":
+        mine = got[got["source"] == source]
+        whole = int(mine["target"].iloc[0] // mine["source_size"].iloc[0])
+        missing = mine["target"].iloc[0] - whole * mine["source_size"].iloc[0]
+        sizes = sorted(mine["size"], reverse=True)
+        sure = 0  # those so long that they are certain
+        scale = lambda k: (missing - sum(sizes[:k])) / sum(x * x for x in sizes[k:])
+        while scale(sure) * sizes[sure] >= 1:
+            sure += 1
+        extra = (mine["copies"] - whole).groupby(mine["size"]).mean()
+        for size, share in extra.items():
+            p = min(1.0, scale(sure) * size)
+            assert share == pytest.approx(p, abs=4 * (p * (1 - p) / (mine["size"] == size).sum()) ** 0.5 + 1e-3), (source, size)
+        assert extra[20] > 1.4 * extra[10]  # with equal odds they would be alike
+    other = mixing.mix(docs, seed=8).toPandas()
+    both = got.merge(other, on="doc_id")
+    assert (both["copies_x"] != both["copies_y"]).mean() > 0.1
+
+
+def test_mixing_takes_rows_as_often_as_it_says(spark, odd):
+    r = random.Random(5)
+    rows = [(i, "w " * r.choice([0, 1, 7, 30, 900]), r.choice(["a", "b", None, "c"])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rank", F.lit("mine"))
+    want = {x["doc_id"]: x["copies"] for x in mixing.mix(docs).collect() if x["copies"]}
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns and {x["doc_id"]: x["count"] for x in taken.groupBy("doc_id").count().collect()} == want
+    assert mixing.take(odd).columns == odd.columns
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -166,6 +211,19 @@ def test_quality_against_brute_force(min_repeat):
         assert tuple(got[n][i] for n, _ in quality_rules.FIELDS) == brute.quality(t, min_repeat), t
 
 
+def test_repetition_rejects_what_the_base_rule_keeps():
+    r = random.Random(6)
+    phrase = "one two three four five six seven eight nine ten eleven twelve"
+    some = " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    text = f"{phrase} x {some} y {phrase}"
+    got = quality_rules.judge([text, f"{phrase} {some} {some[::-1]} {phrase}", some, f"{some} a {some} " + " ".join(f"x{r.randrange(10**9)}" for _ in range(600))])
+    assert got["base_failed"] == [False] * 4 and got["kept"] == [False, True, True, False]
+    assert (got["longest_repeat"][0], got["covered_words"][0], got["n_repeats"][0]) == (12, 24, 1)
+    assert got["longest_repeat"][3] == 60
+    loose = quality_rules.judge([text], most_covered=100)
+    assert loose["kept"] == [True]
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -200,10 +258,37 @@ def test_join_against_brute_force(spark, k, percent):
     assert {g["doc_id"]: g["n_shingles"] for g in got} == sizes
 
 
+def test_join_of_rows_that_share_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (2, b), (3, a), (3, b), (4, "other words " * 9), (None, a)]
+    got = jaccard_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (1, 1), (2, 1), (3, 1), (3, 1), (4, 4)]
+
+
+def test_join_of_one_prefix_and_size_that_isnt_all_alike(spark):
+    # one group: the prefixes are of the lowest hashes, the rest differs more and more
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(200)]
+    order = sorted(range(196), key=lambda i: int(jaccard_join.shingle_set(" ".join(words[i : i + 5]), 5)[0]))
+    first = sorted(order[:90])
+    docs = {0: " ".join(words)}
+    for k in range(1, 30):
+        mine = list(words)
+        for i in r.sample(range(200), r.choice([1, 2, 3])):
+            if not any(j <= i < j + 5 for j in first[:40]):
+                mine[i] = f"x{k}_{i}"
+        docs[k] = " ".join(mine)
+    got = jaccard_join.link_documents(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), k=5, percent=95).collect()
+    wanted, _ = brute.components(docs, 5, 95)
+    assert {g["doc_id"]: g["component_id"] for g in got} == wanted
+
+
 # ---------------------------------------------------------------- 7
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 0.05, 1.0])
+def test_line_dedup_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)  # all repeated keys are hot, some are, none is
     texts = dict(enumerate(some_texts(7, 80)))
     texts |= {100: "one two\n" * 90, 101: "\n".join(texts[3].split("\n") * 3), 102: "", 103: "\n\n"}
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
@@ -213,6 +298,13 @@ def test_line_dedup_against_brute_force(spark):
     assert all(r["n_lines"] == texts[i].count("\n") + 1 for i, r in got.items())
 
 
+def test_line_dedup_extends_to_the_end_of_the_run(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, f"{long}\nshort end\nlast\nmine"), (2, f"begin\n{long}\nshort end\nlast\nother"), (3, f"a\nb\n{long}\nshort\nlast")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: "begin\nother", 3: "a\nb\nshort\nlast"}
+
+
 def test_line_dedup_rows_that_repeat_and_nulls(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long, "x"), (1, long, "x"), (2, long + "\nnew", "y"), (None, long, "z"), (3, None, "z")]
@@ -283,6 +375,59 @@ def test_audio_query(spark):
     assert probed["n_frames"] == len(probed["seek_offsets"]) == 1 and probed["seconds"] == 1152 / 32000
 
 
+def plain_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 ^ (0x8005 if (c >> 15) ^ b else 0)) & 0xFFFF
+    return c
+
+
+@pytest.mark.parametrize(("second", "third", "fourth", "covered"), [
+    (0xFE, 0x94, 0x00, 256), (0xFE, 0x94, 0xC0, 128), (0xFE, 0x94, 0x50, (8 * 2 + 24) * 4),  # layer I: stereo, mono, joint from subband 8
+    (0xFC, 0xA4, 0x00, 2 * (11 * 4 + 12 * 3 + 4 * 2)), (0xFC, 0x14, 0xC0, 2 * 4 + 6 * 3), (0xFC, 0x18, 0xC0, 2 * 4 + 10 * 3), (0xF4, 0x84, 0xC0, 4 * 4 + 7 * 3 + 19 * 2),
+])
+@pytest.mark.parametrize("used", [False, True])
+def test_audio_checksums_of_layers_one_and_two(second, third, fourth, covered, used):
+    head = bytes([0xFF, second, third, fourth])
+    h = mpeg_audio.read_header(head)
+    body = bytearray(h.length - 6)
+    if used:
+        body[0] = 0x10  # the first allocation is 1
+    bits = covered + 2 * (used and h.layer == 2)
+    covered_bits = [int(b) for x in (head[2:], bytes(body)) for y in x for b in f"{y:08b}"][: 16 + bits]
+    frame = head + plain_crc(covered_bits).to_bytes(2, "big") + bytes(body)
+    assert mpeg_audio.protected_bits(frame, 0, h) == bits
+    s = mpeg_audio.read_stream(frame * 3)
+    assert (len(s.frames), s.crc_ok, s.crc_bad, s.junk) == (3, 3, 0, 0)
+    broken = bytearray(frame * 3)
+    broken[6] ^= 0x20
+    assert mpeg_audio.read_stream(bytes(broken)).crc_bad == 1
+
+
+def test_audio_seek_points():
+    stream = mpeg_audio.write_stream(mpeg_audio.pad(b"x" * 100_000))
+    s = mpeg_audio.read_stream(stream)
+    assert (len(s.points), s.points_off) == (100, 0)
+    at = stream.index(b"Xing") + 16
+    assert mpeg_audio.read_stream(stream[:at] + bytes([255]) * 50 + stream[at + 50 :]).points_off > 30
+    # a VBRI table: after the frames of a plain stream its points are whole frames
+    first = mpeg_audio._frame_start(14)
+    frame = first + bytes(1440 - len(first))
+    entries = b"".join((1440 * 2 // 8).to_bytes(2, "big") for _ in range(10))
+    table = bytearray(frame)
+    table[36 : 36 + 26 + len(entries)] = b"VBRI" + bytes(6) + (21 * 1440).to_bytes(4, "big") + (20).to_bytes(4, "big") + b"\0\x0a\0\x08\0\x02\0\x02" + entries
+    s = mpeg_audio.read_stream(bytes(table) + frame * 20)
+    assert (s.table, s.table_frames, len(s.frames), len(s.points), s.points_off) == ("VBRI", 20, 20, 10, 0)
+    assert [x for _, x in s.points] == [s.frames[2 * i][0] for i in range(10)]
+
+
+def test_audio_null_media(spark):
+    media = mpeg_audio.store_texts(spark.createDataFrame([(1, "abc")], "doc_id long, text string"))
+    rows = mpeg_audio.digest_media(media.withColumn("media", F.lit(None).cast("binary"))).collect()
+    assert [r["payload_sha256"] for r in rows] == [None] and rows[0]["n_bytes"] == 3
+    assert mpeg_audio.probe_media(media.withColumn("media", F.lit(None).cast("binary"))).first()["n_frames"] == 0
+
+
 # ---------------------------------------------------------------- 9
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -365,6 +510,15 @@ def test_spans_added_and_base_kept():
     assert pii_crf.find(["Thhe onre the of 2.0. License, Version 4.0 at at at at 1999"], field) == [([], [])]
 
 
+def test_long_words_are_judged_as_a_whole():
+    field = pii_crf.Field(*pii_crf.default_field())
+    for secret in ("password=" + "a1" * 250, "password=" + "b7db7aa4a5fcc78305" * 40):
+        ((_, spans),) = pii_crf.find([f"thin erho\n{secret}### onre"], field)
+        assert [(pii_crf.KINDS[k], b - a) for a, k, b in spans] == [("secret", len(secret))]
+    assert pii_crf.word_class(b"a" * 500 + b"-1") != pii_crf.word_class(b"a" * 500)
+    assert pii_crf.word_class(b"aA" * 40 + b"1") != pii_crf.word_class(b"aA" * 40)
+
+
 # ---------------------------------------------------------------- 10
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>"</script></head><body><header class="site-header"><h1>Site</h1></header><div id="cookie-notice">We use cookies</div>
@@ -380,6 +534,20 @@ def test_html_main_text():
     html_consensus.parse("<div>x" * 3000)
 
 
+def test_html_text_that_must_stay():
+    page = '<article><p><a href="x"">link</a> some long article text here which is fine, <b class="q">quoted</b> tail</p><p class="related">Energy <math><mi>E</mi></math> ok</p><noscript>seen</noscript><p class=ad>buy</p></article>'
+    assert html_consensus.extract(html_consensus.parse(page), None) == "link some long article text here which is fine, quoted tail\nEnergy E ok\nseen"
+    for tag in ("<a b='c>d' e=\"f>g\">", "<a b=c\"d e>", "<a 'b>", "<a b = 'c>' d>"):
+        assert [b.text for b in html_consensus.parse(f"<p>{tag}x</a> y</p>").blocks] == ["x y"], tag
+
+
+def test_html_of_deep_stacks_and_long_names():
+    page = html_consensus.parse("<td><b>" + "<div>" * 20_000 + "</b>" * 20_000 + "end")
+    assert [b.text for b in page.blocks] == ["end"]
+    page = html_consensus.parse("".join(f"<div class='{'c' * 50_000}'>" for _ in range(200)) + "x")
+    assert sum(map(len, page.paths)) < 100_000
+
+
 def test_html_consensus_of_a_host(spark):
     page = lambda body: f"<html><body><div class='t{{}}'>menu item</div>{body}</body></html>"
     rows = [(i, f"http://h.org/{i}", page(f"<div class='body{i}'>" + "<p>long running text here</p>" * 5 + "</div><div class='extra'><p>see this</p></div>")) for i in range(8)]
@@ -403,6 +571,33 @@ def test_html_title_and_lead_beside_the_winner(spark):
     assert len(got) == 12 and {r["text"] for r in got} == {f"title\n{lead.strip()}\n{text[3:-4].strip()}"}
 
 
+# ---------------------------------------------------------------- very long texts
+
+
+def test_texts_of_a_million_words():
+    r = random.Random(13)
+    words = [f"w{r.randrange(50_000)}" for _ in range(1_000_000)]
+    long = "\n".join(" ".join(words[i : i + 20]) for i in range(0, len(words), 20)) + "\nReleased under the MIT License. x.y@z.org"
+    assert [x[2] for x in license_scan.Scanner().scan(long)] == ["mit"]
+    got = quality_rules.judge([long, "again and again " * 333_333])
+    assert got["n_words"][0] == 1_000_006 and got["base_failed"] == [False, True] and got["longest_repeat"][1] > 999_990
+    assert len(jaccard_join.shingle_set(long, 5)) > 990_000
+    stream = mpeg_audio.write_stream(mpeg_audio.pad(long.encode()))
+    assert mpeg_audio.read_payload(stream) == mpeg_audio.pad(long.encode())
+    field = pii_crf.Field(*pii_crf.default_field())
+    odd = " ".join("".join(r.choice("aA0.-=/:") for _ in range(16)) for _ in range(300_000))
+    (base, spans), (_, more) = pii_crf.find([long, odd + " x.y@z.org"], field)
+    assert len(base) == 1 and set(base) <= set(spans) and any(pii_crf.KINDS[k] == "email" for _, k, _ in more)
+    page = html_consensus.parse("<article>" + "".join(f"<p>{x}</p>" for x in long.split("\n")) + "</article>")
+    assert html_consensus.extract(page, None) == long
+
+
+def test_line_dedup_of_a_long_text(spark):
+    long = "\n".join(f"line {i} " + "w " * 20 for i in range(50_000))
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, long), (2, "x\n" + long)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["text"] == "x") for r in got) == [(1, 0, False), (2, 50_000, True)]
+
+
 # ---------------------------------------------------------------- shared
 
 
