@@ -34,23 +34,24 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one row stays.
     """
     docs = docs.select(*COLUMNS)
-    links = jaccard_join.link_documents(docs, k=jaccard_join.SHINGLE, percent=jaccard_join.SIMILARITY)
-    gone = links.filter("component_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = cut(stay.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"))
-    single = stay.join(repeated, "doc_id", "left_anti").select(*COLUMNS)
-    one = stay.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", *(F.col(f"row.{c}") for c in COLUMNS[1:]))
+    links = cut(jaccard_join.link_documents(docs, k=jaccard_join.SHINGLE, percent=jaccard_join.SIMILARITY).select("doc_id", "component_id").filter("doc_id is not null"))
+    # what is decided about an id, from ids alone: texts meet these marks once, and only if any id goes or repeats
+    decided = links.groupBy("doc_id").agg(F.min("component_id").alias("stays"), F.count("*").alias("n"))
+    marks = cut(decided.filter("stays <> doc_id or n > 1").select("doc_id", (F.col("stays") != F.col("doc_id")).alias("goes")))
+    if marks.count() <= jaccard_join.BROADCAST_ROWS:
+        marks = F.broadcast(marks)
+    stay = docs.join(marks, "doc_id", "left").filter("goes is null or not goes")
+    single = stay.filter("goes is null").select(*COLUMNS)
+    one = stay.filter("not goes").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", *(F.col(f"row.{c}") for c in COLUMNS[1:]))
     return single.unionByName(one)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in target weights: a document comes as often as the mix takes it, and not at all if that is never.
 
-    Rows that repeat an id (for null ids: a text) come equally often.
+    Rows that repeat an id (for null ids: a text), size and source come equally often. An empty table gives no row.
     """
-    docs = docs.select(*COLUMNS).withColumn("mix_key", mixing.mix_key(F.col("doc_id"), F.col("text")))
-    taken = cut(mixing.mix(docs).filter("copies > 0").groupBy("mix_key").agg(F.max("copies").alias("copies")))
-    return docs.join(taken, "mix_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    return mixing.take(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
