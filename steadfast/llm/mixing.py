@@ -185,8 +185,8 @@ def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     per, _ = _plan(cut(_numbered(docs, seed, id_col, text_col, source_col)), weights, most)
     per = per.select(F.struct(*per.columns).alias("plan of the source"))
     key = mix_key(F.col(f"row.{id_col}"), F.col(f"row.{text_col}"))
-    rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", key.alias("key"), F.col(f"row.{source_col}").cast("string").alias("source"), word_count(F.col(f"row.{text_col}")).alias("size"), F.lit(1).alias("copy_of"))
-    rows = rows.join(_bounded(per), F.col("source").eqNullSafe(F.col("plan of the source.source"))).select("row", "key", "size", "copy_of", uniform(F.col("key"), seed).alias("u"), *(F.col(f"plan of the source.{c}").alias(c) for c in ("whole", "missing", "scale", "lo", "last", "closing")))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", key.alias("key"), F.col(f"row.{source_col}").cast("string").alias("source"), word_count(F.col(f"row.{text_col}")).alias("size"), F.lit(1).alias("copy_of"), uniform(key, seed).alias("u"))
+    rows = rows.join(_bounded(per), F.col("source").eqNullSafe(F.col("plan of the source.source"))).select("row", "key", "size", "copy_of", "u", *(F.col(f"plan of the source.{c}").alias(c) for c in ("whole", "missing", "scale", "lo", "last", "closing")))
     copies = F.col("whole") + F.when(_sampled(), 1).otherwise(0)
     rows = _drawn(rows).select("row", copies.cast("int").alias("copies")).filter("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
