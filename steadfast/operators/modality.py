@@ -5,11 +5,12 @@ The density is made natively for every group; only its few hundred bins go to a
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steadfast.functions.weights import HD, Method
@@ -19,49 +20,60 @@ from steadfast.operators.samples import join_groups, sample
 SENSITIVITY, PRECISION = 0.5, 1 / 101
 
 
-def _lowland(left: np.ndarray, right: np.ndarray, height: np.ndarray, area: float, sensitivity: float, p0: int, p1: int, p2: int) -> int | None:
-    """The bin at which peaks p1 and p2 are cut, the lowest between them, if there is a lowland under the water level."""
-    level = min(height[p1], height[p2])
-    a, b = p1, p2
-    while a < p2 and height[a] > level:
-        a += 1
-    while b > p1 and height[b] > level:
-        b -= 1
-    water = (right[b] - left[a]) * level
-    share = (b - a + 1) * area / water if water > 0 else 0.0
-    return p1 + int(np.argmin(height[p1 : p2 + 1])) if share < sensitivity and b >= a else None
+class Terrain:
+    """A histogram whose bins hold equal shares, seen as hills and valleys."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, height: np.ndarray):
+        self.left, self.right, self.height = left, right, height
+        self.centre = (left + right) / 2
+        inner = height[1:-1]
+        self.hills = 1 + np.flatnonzero((inner > height[:-2]) & (inner >= height[2:]))
+
+    def valley(self, hill: int, other: int, sensitivity: float) -> int | None:
+        """The lowest bin between two hills, if it is a lowland: if the valley, filled up to the lower hill, is mostly water.
+
+        Where it is filled, from the first to the last bin that isn't above the level, the bins' shares are the ground.
+        """
+        between = self.height[hill : other + 1]
+        level = min(between[0], between[-1])
+        under = hill + np.flatnonzero(between <= level)
+        filled = (self.right[under[-1]] - self.left[under[0]]) * level
+        ground = (under[-1] - under[0] + 1) / len(self.height)
+        dry = ground / filled if filled > 0 else 0.0
+        return hill + int(between.argmin()) if dry < sensitivity else None
+
+    def density_at(self, x: float) -> float:
+        """Of the first bin that reaches x."""
+        return float(self.height[min(int(np.searchsorted(self.right, x, side="left")), len(self.height) - 1)])
 
 
 def find_modes(left: np.ndarray, right: np.ndarray, height: np.ndarray, sensitivity: float = SENSITIVITY) -> list[tuple[float, float, float, float]]:
-    """(location, left bound, right bound, height) of each mode of a histogram whose bins hold equal shares."""
-    k = len(height)
-    centre = (left + right) / 2
-    peaks = [i for i in range(1, k - 1) if height[i] > height[i - 1] and height[i] >= height[i + 1]]
-    if len(peaks) < 2:
-        at = peaks[0] if peaks else int(np.argmax(height))
-        return [(float(centre[at]), float(left[0]), float(right[-1]), float(height[peaks[0] if peaks else 0]))]
-    modes, cuts, before = [], [], [peaks[0]]
-    split = lambda p0, p1, p2: _lowland(left, right, height, 1 / k, sensitivity, p0, p1, p2)
-    for c in peaks[1:]:
-        while before and height[before[-1]] < height[c]:
-            cut = split(before[0], before[-1], c)
-            if cut is None:
-                before.pop()
-            else:
-                modes.append(before[0])
-                cuts.append(cut)
-                before = []
-        if before and height[before[-1]] > height[c]:
-            cut = split(before[0], before[-1], c)
-            if cut is not None:
-                modes.append(before[0])
-                cuts.append(cut)
-                before = []
-        before.append(c)
-    modes.append(before[0])
-    bounds = [float(left[0]), *(float(centre[c]) for c in cuts), float(right[-1])]
-    place = lambda x: height[int(np.clip(np.searchsorted(right, x, side="left"), 0, k - 1))]
-    return [(float(centre[m]), bounds[i], bounds[i + 1], float(place(centre[m]))) for i, m in enumerate(modes)]
+    """(location, left bound, right bound, height) of each mode of a histogram whose bins hold equal shares.
+
+    From left to right a range of hills is open, from high to low, and its first hill names it. The next hill looks back over
+    those lower than itself, the last one first, and at the first that is higher. A lowland on that way ends the range: a
+    mode. Without one the lower hills are its slopes, and it joins the range.
+    """
+    land = Terrain(left, right, height)
+    if len(land.hills) < 2:
+        top = int(land.hills[0]) if len(land.hills) else int(height.argmax())
+        first = top if len(land.hills) else 0
+        return [(float(land.centre[top]), float(left[0]), float(right[-1]), float(height[first]))]
+    summits, borders = [], []
+    ridge: list[int] = []
+    for hill in land.hills.tolist():
+        stay = bisect.bisect_right(ridge, -height[hill], key=lambda h: -height[h])  # so many are as high or higher
+        view = ridge[stay:][::-1] + [h for h in ridge[:stay][-1:] if height[h] > height[hill]]
+        border = next((v for h in view if (v := land.valley(h, hill, sensitivity)) is not None), None)
+        if border is None:
+            ridge = [*ridge[:stay], hill]
+        else:
+            summits.append(ridge[0])
+            borders.append(float(land.centre[border]))
+            ridge = [hill]
+    summits.append(ridge[0])
+    edges = [float(left[0]), *borders, float(right[-1])]
+    return [(float(x := land.centre[m]), a, b, land.density_at(x)) for m, a, b in zip(summits, edges, edges[1:], strict=False)]
 
 
 def lowland_modes(df: DataFrame, column: str, groups: Sequence[str] = (), *, sensitivity: float = SENSITIVITY, precision: float = PRECISION, method: Method = HD, steps: Callable[[int], Sequence[float]] = uniform_steps) -> DataFrame:
@@ -90,11 +102,39 @@ def lowland_modes(df: DataFrame, column: str, groups: Sequence[str] = (), *, sen
     return one.groupBy(*(groups or ["_all"])).applyInPandas(walk, schema)
 
 
-def assign_modes(df: DataFrame, column: str, modes: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """df with the mode whose bounds hold the value, the first of two that share a bound; null outside."""
+def mode_contains(value: Column, left_bound: Column, right_bound: Column) -> Column:
+    """Whether a value lies within a mode's bounds, both included."""
+    return value.between(left_bound, right_bound)
+
+
+def relative_position(value: Column, left_bound: Column, right_bound: Column) -> Column:
+    """Where a value lies between a mode's bounds: 0 at the left one, 1 at the right one; 0.5 in a mode without width, null outside."""
+    width = right_bound - left_bound
+    inside = F.when(width > 0, (value - left_bound) / F.when(width > 0, width)).otherwise(F.lit(0.5))
+    return F.when(mode_contains(value, left_bound, right_bound), inside)
+
+
+def assign_modes(df: DataFrame, column: str, modes: DataFrame, groups: Sequence[str] = (), *, position: bool = False) -> DataFrame:
+    """df with the mode whose bounds hold the value, the first of two that share a bound; null outside.
+
+    With position, also relative_position within it.
+    """
     bounds = modes.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("mode", "left_bound", "right_bound"))).alias("_modes"))
-    found = F.filter("_modes", lambda m: F.col(column).between(m["left_bound"], m["right_bound"]))
-    return join_groups(df, bounds, groups, "left").withColumn("mode", F.try_element_at(found, F.lit(1))["mode"]).drop("_modes")
+    found = F.filter("_modes", lambda m: mode_contains(F.col(column), m["left_bound"], m["right_bound"]))
+    out = join_groups(df, bounds, groups, "left").withColumn("_mode", F.try_element_at(found, F.lit(1)))
+    out = out.withColumn("mode", F.col("_mode.mode"))
+    if position:
+        out = out.withColumn("relative_position", relative_position(F.col(column).cast("double"), F.col("_mode.left_bound"), F.col("_mode.right_bound")))
+    return out.drop("_modes", "_mode")
+
+
+def find_mode(modes: DataFrame, value: float, groups: Sequence[str] = ()) -> DataFrame:
+    """The mode that holds a value in each group, the first of two that share a bound, with its width and the value's place in it."""
+    bounds = F.col("left_bound"), F.col("right_bound")
+    hits = modes.filter(mode_contains(F.lit(float(value)), *bounds))
+    fields = [c for c in modes.columns if c not in groups and c != "mode"]
+    first = hits.groupBy(*groups).agg(F.min(F.struct("mode", *fields)).alias("_m")).filter("_m is not null")
+    return first.select(*groups, "_m.*").withColumn("width", bounds[1] - bounds[0]).withColumn("relative_position", relative_position(F.lit(float(value)), *bounds))
 
 
 def mode_summary(modes: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
