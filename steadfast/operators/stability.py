@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from steadfast.functions.expressions import erf
 from steadfast.functions.weights import THD_SQRT, Method
 from steadfast.operators.changepoint import series
+from steadfast.operators.quantiles import plain_median
 from steadfast.operators.samples import join_groups
 from steadfast.operators.signal import analytic
 from steadfast.operators.spread import STABILITY_FACTOR, deviation_quantile
 
 
+#: Bits of the ranks that one pass of mann_kendall takes.
+DIGIT = 3
+
+
 @dataclass(frozen=True)
 class Parameters:
     min_samples: int = 50
@@ -38,19 +43,21 @@ RELAXED = Parameters(30, 0.3, 0.02, 0.2, 0.4, 3, 0.1)
 def mann_kendall(df: DataFrame, column: str, order: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """groups, n, s, z, p (2 (1 - erf(|z| / sqrt 2)), from 0 to 2) and p_two_sided, half of that.
 
-    S counts, of all pairs of points, those that rise less those that fall. It is added up over the bits of the values'
-    ranks: pairs that first differ in a bit are in one block of the ranks' higher bits, and there a running count along
-    the series tells how many zeros came before each one. So the work is n log n, in window functions over blocks.
+    S counts, of all pairs of points, those that rise less those that fall. It is added up over the digits, of DIGIT bits, of
+    the values' ranks: pairs that first differ in a digit are in one block of the ranks' higher digits, and there running counts
+    along the series tell how many lower and higher digits came before each one. So the work is n log n, in window functions.
     """
     s = series(df, column, order, groups)
     r = s.withColumn("_r", F.dense_rank().over(Window.partitionBy(*groups).orderBy("x")))
     counts = r.groupBy(*groups).agg(F.count("*").alias("n"), F.max("_r").alias("_most"))
-    bits = max(1, int(counts.agg(F.max("_most")).first()[0] or 1).bit_length())
-    each = r.select(*groups, "idx", F.col("_r"), F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("_bit"))
-    each = each.select(*groups, "idx", "_bit", F.expr("shiftright(_r, _bit + 1)").alias("_block"), F.expr("shiftright(_r, _bit) & 1").alias("_one"))
-    upto = Window.partitionBy(*groups, "_bit", "_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    zeros, ones = F.coalesce(F.sum(1 - F.col("_one")).over(upto), F.lit(0)), F.coalesce(F.sum("_one").over(upto), F.lit(0))
-    step = F.when(F.col("_one") == 1, zeros).otherwise(-ones)
+    digits = max(1, -(-int(counts.agg(F.max("_most")).first()[0] or 1).bit_length() // DIGIT))
+    each = r.select(*groups, "idx", F.col("_r"), F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("_place"))
+    each = each.select(*groups, "idx", "_place", F.expr(f"shiftright(_r, {DIGIT} * (_place + 1))").alias("_block"), F.expr(f"shiftright(_r, {DIGIT} * _place) & {2**DIGIT - 1}").alias("_digit"))
+    before = Window.partitionBy(*groups, "_place", "_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.lit(0)
+    for d in range(2**DIGIT):
+        seen = F.coalesce(F.sum(F.when(F.col("_digit") == d, 1).otherwise(0)).over(before), F.lit(0))
+        step = step + F.when(F.col("_digit") > d, seen).when(F.col("_digit") < d, -seen).otherwise(0)
     total = each.withColumn("_step", step).groupBy(*groups).agg(F.sum("_step").alias("s"))
     found = join_groups(counts.drop("_most"), total, groups)
     n, sd = F.col("n").cast("double"), F.col("s").cast("double")
@@ -64,7 +71,8 @@ def levene_score(df: DataFrame, column: str, order: Sequence[str], groups: Seque
     """groups, n, f, levene_score: F of the deviations from the medians of consecutive parts, and 1 - F / (F + df_within / df_between); 1 below 2 values a part."""
     s = series(df, column, order, groups).withColumn("_n", F.count("*").over(Window.partitionBy(*groups)))
     s = s.withColumn("_part", F.least(F.floor(F.col("idx") / F.floor(F.col("_n") / parts)), F.lit(parts - 1)))
-    s = s.withColumn("_d", F.abs(F.col("x") - F.median("x").over(Window.partitionBy(*groups, "_part"))))
+    parts_of = [*groups, "_part"]
+    s = join_groups(s, plain_median(s, parts_of, "_center"), parts_of).withColumn("_d", F.abs(F.col("x") - F.col("_center")))
     by_part = s.groupBy(*groups, "_part").agg(F.count("*").cast("double").alias("c"), F.avg("_d").alias("m"), F.var_pop("_d").alias("v"))
     total = by_part.groupBy(*groups).agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("m")) / F.sum("c")).alias("grand"), F.sum(F.col("c") * F.col("v")).alias("ssw"), F.collect_list(F.struct("c", "m")).alias("_parts"))
     ssb = F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x["c"] * (x["m"] - F.col("grand")) * (x["m"] - F.col("grand")))
@@ -152,20 +160,24 @@ def _verdict(n: Column, cv: Column, trend: Column, p: Parameters, good: Column)
 def windows(df: DataFrame, column: str, order: Sequence[str], groups: Sequence[str] = (), *, window: int = 50, step: int = 1, parameters: Parameters = DEFAULT, method: Method = THD_SQRT) -> DataFrame:
     """groups, i, mean, median, spread, cv, trend, is_stable, status, reason, severity of the windows that begin at 0, step, 2 step and so on.
 
-    A window's values are collected and sorted as an array; the median and MAD are weighted sums with the fixed weights of the window's length.
+    Rows are collected by blocks of step first, so that values are gathered for the windows asked for only. A window's values are
+    sorted as an array; the median and MAD are weighted sums with the fixed weights of the window's length.
     """
     s = series(df, column, order, groups)
-    over = Window.partitionBy(*groups).orderBy("idx").rowsBetween(1 - window, 0)
     first, w = method.weights(window, 0.5)
-    weights = F.array(*[F.lit(float(v)) for v in w])
-    middle = lambda a: F.aggregate(F.zip_with(F.slice(F.sort_array(a), first, len(w)), weights, lambda x, k: x * k), F.lit(0.0), lambda t, v: t + v)
-    s = s.select(*groups, "idx", F.collect_list("x").over(over).alias("_v"), F.avg("x").over(over).alias("mean"), F.regr_slope("x", F.col("idx").cast("double")).over(over).alias("_slope"))
-    s = s.filter((F.col("idx") >= window - 1) & ((F.col("idx") - (window - 1)) % step == 0))
+    dot = lambda a, weights: F.aggregate(F.zip_with(a, F.array(*[F.lit(float(v)) for v in weights]), lambda x, k: x * k), F.lit(0.0), lambda t, v: t + v)
+    middle = lambda a: dot(F.slice(F.sort_array(a), first, len(w)), w)
+    blocks = s.groupBy(*groups, F.floor(F.col("idx") / step).alias("_b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "x"))), lambda r: r["x"]).alias("_x"))
+    over = Window.partitionBy(*groups).orderBy("_b").rowsBetween(0, -(-window // step) - 1)
+    s = blocks.select(*groups, (F.col("_b") * step).alias("i"), F.slice(F.flatten(F.collect_list("_x").over(over)), 1, window).alias("_v")).filter(F.size("_v") == window)
+    apart = [k - (window - 1) / 2 for k in range(window)]
+    square = sum(k * k for k in apart)
+    s = s.withColumn("mean", F.aggregate("_v", F.lit(0.0), lambda t, v: t + v) / window).withColumn("_slope", dot(F.col("_v"), [k / square for k in apart]) if square else F.lit(0.0))
     s = s.withColumn("median", middle(F.col("_v")))
     s = s.withColumn("spread", STABILITY_FACTOR * middle(F.transform("_v", lambda x: F.abs(x - F.col("median")))))
-    s = s.withColumn("cv", _cv(F.col("spread"), F.col("median"))).withColumn("trend", F.abs(F.coalesce("_slope", F.lit(0.0))))
+    s = s.withColumn("cv", _cv(F.col("spread"), F.col("median"))).withColumn("trend", F.abs("_slope"))
     good = (F.lit(window) >= parameters.min_samples) & (F.col("cv") <= parameters.max_cv) & (F.col("trend") <= parameters.max_trend)
-    return s.select(*groups, (F.col("idx") - window + 1).alias("i"), "mean", "median", "spread", "cv", "trend", *_verdict(F.lit(window), F.col("cv"), F.col("trend"), parameters, good))
+    return s.select(*groups, "i", "mean", "median", "spread", "cv", "trend", *_verdict(F.lit(window), F.col("cv"), F.col("trend"), parameters, good))
 
 
 def track(found: DataFrame, groups: Sequence[str] = (), parameters: Parameters = DEFAULT) -> DataFrame:
