@@ -1,7 +1,7 @@
 """Changepoints of series. A series is the values of a column in the order of other columns, for each group.
 
-Recursions are written as window functions: CUSUM by the Lindley identity, EWMA and polynomial slopes as fixed filters
-over the last rows. Series are independent; one series is walked in one task, as its order demands.
+Recursions are written as window functions: CUSUM by the Lindley identity, EWMA by running sums of scaled blocks, slopes as
+fixed filters over the last rows. Series are independent; one series is walked in one task, as its order demands.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from steadfast.errors import InvalidParameter
 from steadfast.functions.weights import HD, Method
-from steadfast.operators.quantiles import estimate
+from steadfast.operators.quantiles import estimate, plain_median
 from steadfast.operators.samples import join_groups, sample
 from steadfast.operators.spread import deviation_quantile
 
@@ -70,8 +70,10 @@ def _positive(value: float, name: str) -> float:
 def cusum_statistics(df: DataFrame, column: str, order: Sequence[str], groups: Sequence[str] = (), *, target: float | None = None, drift: float = 0.5) -> DataFrame:
     """groups, idx, x, up, down: the sums of what exceeds the reference by drift, never below 0. Reference: target, or the series' median."""
     s = series(df, column, order, groups)
-    ref = F.lit(float(target)) if target is not None else F.median("x").over(Window.partitionBy(*groups))
-    s = s.withColumn("_ref", ref)
+    if target is not None:
+        s = s.withColumn("_ref", F.lit(float(target)))
+    else:
+        s = join_groups(s, plain_median(sample(df, column, groups), groups, "_ref"), groups)
     over = _upto(groups)
     for name, step in (("up", F.col("x") - F.col("_ref") - drift), ("down", F.col("_ref") - F.col("x") - drift)):
         s = s.withColumn("_s", F.sum(step).over(over))
@@ -111,18 +113,26 @@ def _dot(window: Window, coefficients: Sequence[float]) -> Column:
 def ewma_statistics(df: DataFrame, column: str, order: Sequence[str], groups: Sequence[str] = (), *, lam: float = 0.2, warmup: int = 20, target: float | None = None, method: Method = HD) -> DataFrame:
     """groups, idx, x, ewma, deviation, reference, spread: the average over all points from the reference on.
 
-    Reference: target, or the median of the first `warmup` points; spread: their raw MAD. Terms below 1e-16 of the sum are left out.
+    Reference: target, or the median of the first `warmup` points; spread: their raw MAD. Rows are cut into blocks so long that
+    (1 - lam) ** length is under 1e-200. Within a block the average is one running sum of values scaled up by their
+    age, scaled down again; of all before, only what the block before ended with is more than 1e-200 of the sum.
     """
     lam = min(max(lam, 0.001), 1.0)
     s = series(df, column, order, groups)
     first = s.filter(F.col("idx") < warmup).select(*groups, "x")
     center = deviation_quantile(first, groups, 0.5, method).select(*groups, (F.lit(float(target)) if target is not None else F.col("center")).alias("reference"), F.col("value").alias("spread"))
-    terms = 1 if lam == 1 else min(40_000, math.ceil(math.log(1e-16) / math.log(1 - lam)))
-    weights = [lam * (1 - lam) ** k for k in range(terms - 1, -1, -1)]
-    s = s.withColumn("_sum", _dot(_walk(groups).rowsBetween(1 - terms, 0), weights))
+    keep = 1 - lam
+    length = 1 if lam == 1 else math.ceil(-200 * math.log(10) / math.log(keep))
+    at = (F.col("idx") % length).cast("double")
+    s = s.withColumn("_block", F.floor(F.col("idx") / length))
+    block = Window.partitionBy(*groups, "_block").orderBy("idx")
+    upto = block.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_sum", F.sum(lam * F.col("x") * F.pow(F.lit(keep), -at)).over(upto) * F.pow(F.lit(keep), at) if lam < 1 else F.col("x"))
+    before = Window.partitionBy(*groups).orderBy("_block", "idx").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_carry", F.last(F.when(at == length - 1, F.col("_sum")), ignorenulls=True).over(before))
     s = join_groups(s, center, groups)
-    value = F.col("_sum") + F.pow(F.lit(1 - lam), (F.col("idx") + 1).cast("double")) * F.col("reference")
-    return s.withColumn("ewma", value).withColumn("deviation", F.abs(F.col("x") - F.col("ewma"))).drop("_sum")
+    value = F.col("_sum") + F.pow(F.lit(keep), at + 1) * F.coalesce("_carry", "reference")
+    return s.withColumn("ewma", value).withColumn("deviation", F.abs(F.col("x") - F.col("ewma"))).drop("_sum", "_carry", "_block")
 
 
 def ewma(df: DataFrame, column: str, order: Sequence[str], groups: Sequence[str] = (), *, lam: float = 0.2, multiplier: float = 3.0, warmup: int = 20, target: float | None = None, method: Method = HD) -> DataFrame:
