@@ -56,6 +56,15 @@ def is_practically_significant(value: Column, kind: str) -> Column:
     return interpret(value, kind).isin("Medium", "Large")
 
 
+def typical_range(kind: str) -> tuple[float, float]:
+    """Where values of a kind of effect size usually are."""
+    return TYPICAL_RANGE[kind]
+
+
+def in_typical_range(value: Column, kind: str) -> Column:
+    return value.between(*TYPICAL_RANGE[kind])
+
+
 def favors_second(value: Column) -> Column:
     return value > 0
 

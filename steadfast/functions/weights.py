@@ -18,19 +18,30 @@ LEAST = 1e-12
 
 @dataclass(frozen=True)
 class Method:
-    """How order statistics are weighted. kind: hd, thd_sqrt, thd_linear, thd_constant (with width), simple, or custom (with a function of n and p)."""
+    """How order statistics are weighted.
+
+    kind: hd, thd_sqrt, thd_linear, thd_constant (with width), thd (with width, a function of n), simple, or custom (with a function of n and p).
+    """
 
     kind: str = "hd"
-    width: float | None = None
+    width: float | Callable[[int], float] | None = None
     custom: Callable[[int, float], np.ndarray] | None = None
 
     def __post_init__(self):
-        if self.kind not in ("hd", "thd_sqrt", "thd_linear", "thd_constant", "simple", "custom"):
+        if self.kind not in ("hd", "thd_sqrt", "thd_linear", "thd_constant", "thd", "simple", "custom"):
             raise InvalidWidth(f"unknown quantile method {self.kind!r}")
-        if (self.kind == "thd_constant") != (self.width is not None) or self.width is not None and not 0 < self.width <= 1:
+        if self.kind == "thd":
+            if not callable(self.width):
+                raise InvalidWidth("thd needs a width that is a function of n")
+        elif (self.kind == "thd_constant") != (self.width is not None) or self.width is not None and not 0 < self.width <= 1:
             raise InvalidWidth("thd_constant needs a width in (0, 1], other methods none")
 
     def width_for(self, n: int) -> float | None:
+        if self.kind == "thd":
+            width = float(self.width(n))
+            if not 0 < width:
+                raise InvalidWidth(f"the width for {n} values is {width}")
+            return min(1.0, width)
         return {"thd_sqrt": min(1.0, 1 / math.sqrt(n)), "thd_linear": min(1.0, 1 / n), "thd_constant": self.width}.get(self.kind)
 
     def weights(self, n: int, p: float) -> tuple[int, np.ndarray]:
@@ -41,6 +52,11 @@ class Method:
 HD, THD_SQRT, THD_LINEAR, SIMPLE = Method("hd"), Method("thd_sqrt"), Method("thd_linear"), Method("simple")
 
 
+def thd_function(width: Callable[[int], float]) -> Method:
+    """Trimmed weights whose width is a function of the number of values; more than 1 counts as 1."""
+    return Method("thd", width)
+
+
 def thd_constant(width: float) -> Method:
     return Method("thd_constant", width)
 

@@ -164,8 +164,25 @@ def replicates(df: DataFrame, group: str, column: str, groups: tuple, statistic:
     return spark.range(0, resamples, 1, parts).mapInPandas(run, "b long, k long, value double, original double")
 
 
-def interval(reps: DataFrame, groups: Sequence[str], method: str = "percentile", *, level: float = 0.95) -> DataFrame:
-    """groups, estimate, lower, upper from replicates (groups, value, original): percentile, basic, bca or student. NaN replicates are left out."""
+def _own_interval(reps: DataFrame, groups: Sequence[str], method: Callable[[np.ndarray, float, float], tuple[float, float]], level: float) -> DataFrame:
+    fields = ", ".join(f"`{g}` {reps.schema[g].dataType.simpleString()}" for g in groups)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        theta = float(pdf["original"].iloc[0])
+        lo, hi = method(np.sort(pdf["value"].to_numpy()), theta, level)
+        return pd.DataFrame({**{g: [pdf[g].iloc[0]] for g in groups}, "estimate": [theta], "lower": [float(lo)], "upper": [float(hi)]})
+
+    good = reps.filter(~F.isnan("value")).withColumn("_all", F.lit(1))
+    return good.groupBy(*(groups or ["_all"])).applyInPandas(one, f"{fields}{', ' if groups else ''}estimate double, lower double, upper double")
+
+
+def interval(reps: DataFrame, groups: Sequence[str], method: str | Callable = "percentile", *, level: float = 0.95) -> DataFrame:
+    """groups, estimate, lower, upper from replicates (groups, value, original): percentile, basic, bca or student. NaN replicates are left out.
+
+    method may also be a function of (sorted replicates, estimate, level) that gives (lower, upper).
+    """
+    if callable(method):
+        return _own_interval(reps, groups, method, _level(level))
     if method not in ("percentile", "basic", "bca", "student"):
         raise InvalidParameter(f"unknown bootstrap interval {method!r}")
     alpha = 1 - _level(level)
@@ -194,6 +211,45 @@ def bootstrap(df: DataFrame, group: str, column: str, groups: tuple, statistic:
     return interval(reps.filter("k = 0"), [], method, level=level)
 
 
+def one_sample_bootstrap(df: DataFrame, column: str, groups: Sequence[str] = (), statistic: Statistic | None = None, *, method: str | Callable = "percentile", level: float = 0.95, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """groups, estimate, lower, upper of a statistic (the Harrell-Davis median if none is given) of each group, by resamples of its own.
+
+    A group's resamples are drawn in one task, in blocks; it is for groups that fit a worker. Empty groups have no row.
+    """
+    statistic = statistic or quantile_statistic(0.5)
+    fields = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(pdf["x"].to_numpy())
+        value = _replicates(x, statistic, seed, np.arange(resamples))[:, 0]
+        original = float(np.asarray(statistic(x[None]), float).ravel()[0])
+        return pd.DataFrame({**{g: [pdf[g].iloc[0]] * resamples for g in groups}, "value": value, "original": original})
+
+    s = sample(df, column, groups).withColumn("_all", F.lit(1))
+    reps = s.groupBy(*(groups or ["_all"])).applyInPandas(one, f"{fields}{', ' if groups else ''}value double, original double")
+    return interval(reps, groups, method, level=level)
+
+
+def for_quantile(found: DataFrame, p: float) -> DataFrame:
+    """Of a quantile bootstrap's rows, those of one quantile."""
+    return found.filter(F.abs(F.col("p") - F.lit(float(p))) < 1e-10)
+
+
+def median_interval(found: DataFrame) -> DataFrame:
+    return for_quantile(found, 0.5)
+
+
+def quartile_intervals(found: DataFrame) -> DataFrame:
+    """The rows of the quartiles there are."""
+    wanted = F.least(*(F.abs(F.col("p") - F.lit(q)) for q in (0.25, 0.5, 0.75)))
+    return found.filter(wanted < 1e-10)
+
+
+def bootstrap_summary(found: DataFrame) -> DataFrame:
+    """p, estimate, lower, upper and width, by p."""
+    return found.select("p", "estimate", "lower", "upper", (F.col("upper") - F.col("lower")).alias("width")).orderBy("p")
+
+
 def quantile_bootstrap(df: DataFrame, group: str, column: str, groups: tuple, ps: Sequence[float], *, compare: Callable = shift, quantile_method: Method = HD, method: str = "percentile", level: float = 0.95, resamples: int = FAST, seed: int = 42) -> DataFrame:
     """p, estimate, lower, upper of the shift (or ratio) of each quantile."""
     ps = [check_probability(p) for p in ps]

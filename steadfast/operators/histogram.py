@@ -87,7 +87,11 @@ def with_edges(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method:
     kept = F.aggregate("e", F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) > 0) & (x - F.element_at(a, -1) < EDGE), a).otherwise(F.concat(a, F.array(x))))
     edges = edges.withColumn("e", kept).withColumn("e", F.when(F.size("e") == 1, F.array(F.col("e")[0], F.col("e")[0] + 1)).otherwise(F.col("e")))
     k = F.size("e") - 1
-    below = F.size(F.filter("e", lambda x: x <= F.col("x"))) - 1
+    # how many edges are not above a value: first among every stride-th of them, then within one stride
+    stride = max(1, math.isqrt(len(ps)))
+    edges = edges.withColumn("rough", F.transform(F.sequence(F.lit(1), F.size("e"), F.lit(stride)), lambda i: F.element_at("e", i)))
+    jump = F.greatest(F.lit(0), F.size(F.filter("rough", lambda x: x <= F.col("x"))) - 1) * stride
+    below = jump + F.size(F.filter(F.slice("e", jump + 1, F.lit(stride)), lambda x: x <= F.col("x"))) - 1
     counts = join_groups(s.groupBy(*groups, "x").agg(F.count("*").alias("c")), edges, groups)
     counts = counts.select(*groups, F.greatest(F.lit(0), F.least(below, k - 1)).alias("bin"), "c").groupBy(*groups, "bin").agg(F.sum("c").alias("count"))
     bins = edges.select(*groups, "n", F.posexplode(F.transform(F.sequence(F.lit(1), k), lambda i: F.struct(F.element_at("e", i).alias("left"), F.element_at("e", i + 1).alias("right")))).alias("bin", "b"))
@@ -127,6 +131,15 @@ def accessors(hist: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def bin_values(hist: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """hist with center, width, frequency (the share of the group's values) and normalized (the density over the group's highest)."""
+    whole = hist.groupBy(*groups).agg(F.sum("count").alias("_total"), F.max("density").alias("_most"))
+    out = join_groups(hist, whole, groups)
+    out = out.withColumn("center", (F.col("left") + F.col("right")) / 2).withColumn("width", F.col("right") - F.col("left"))
+    out = out.withColumn("frequency", F.when(F.col("_total") > 0, F.col("count") / F.col("_total"))).withColumn("normalized", F.when(F.col("_most") > 0, F.col("density") / F.col("_most")))
+    return out.drop("_total", "_most")
+
+
 def find_bin(hist: DataFrame, values: DataFrame, column: str, groups: Sequence[str] = ()) -> DataFrame:
     """values with the bin that holds them: left <= value < right, the last bin closed; null outside."""
     edges = hist.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("left", "right", "bin"))).alias("_bins"))

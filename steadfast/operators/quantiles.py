@@ -6,7 +6,7 @@ an equi-join, so any number of ps costs one ranking of the data, and the sums ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steadfast.errors import InvalidParameter
-from steadfast.functions.weights import HD, Method, check_probability
+from steadfast.functions.weights import HD, SIMPLE, Method, check_probability
 from steadfast.operators import samples
 from steadfast.operators.samples import _all, join_groups, ranked, sample, sizes
 
@@ -28,11 +28,11 @@ DECILES = tuple(k / 10 for k in range(1, 10))
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def _rows(method: Method, ns: Sequence[int], ps: Sequence[float]) -> pd.DataFrame:
+def _rows(weights: Callable[[int, float], tuple[int, np.ndarray]], ns: Sequence[int], ps: Sequence[float]) -> pd.DataFrame:
     parts = []
     for n in ns:
         for p in ps:
-            first, w = method.weights(int(n), float(p))
+            first, w = weights(int(n), float(p))
             parts.append(pd.DataFrame({"n": int(n), "p": float(p), "rank": np.arange(first, first + len(w)), "w": w}))
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"n": [], "p": [], "rank": [], "w": []}).astype({"n": "int64", "p": "float64", "rank": "int64", "w": "float64"})
 
@@ -54,27 +54,27 @@ def measure(s: DataFrame, groups: Sequence[str]) -> Measured:
     return Measured(n_of, n_of.agg(F.max("n")).first()[0], None)
 
 
-def weight_table(spark: SparkSession, measured: Measured, ps: Sequence[float], method: Method = HD) -> DataFrame:
-    """(n, p, rank, w) for the sizes of groups. Broadcast only if the driver made it within its bounds."""
+def weight_table(spark: SparkSession, measured: Measured, ps: Sequence[float], method: Method = HD, weights: Callable[[int, float], tuple[int, np.ndarray]] | None = None) -> DataFrame:
+    """(n, p, rank, w) for the sizes of groups. Broadcast only if the driver made it within its bounds, from `weights` if given."""
     ps = [check_probability(p) for p in ps]
     known = measured.known
     # a weight band is some 20 standard deviations of a rank wide at most
     if known is not None and sum(min(n, 20 * int(max(n, 1) ** 0.5) + 120) for n in known) * len(ps) <= DRIVER_ROWS:
-        return F.broadcast(spark.createDataFrame(_rows(method, known, ps), "n long, p double, rank long, w double"))
+        return F.broadcast(spark.createDataFrame(_rows(weights or method.weights, known, ps), "n long, p double, rank long, w double"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in batch.column(0).to_pylist():
                 for p in ps:
-                    yield pa.RecordBatch.from_pandas(_rows(method, [n], [p]), preserve_index=False)
+                    yield pa.RecordBatch.from_pandas(_rows(method.weights, [n], [p]), preserve_index=False)
 
     return measured.sizes.select("n").distinct().mapInArrow(make, "n long, p double, rank long, w double")
 
 
-def estimate(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: Method = HD, measured: Measured | None = None) -> DataFrame:
+def estimate(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: Method = HD, measured: Measured | None = None, weights: Callable[[int, float], tuple[int, np.ndarray]] | None = None) -> DataFrame:
     """groups, n, p, q (the quantile) and m2 (the weighted second moment) for a sample (groups, x). Groups without values have no row.
 
-    measured: the sizes, if a sample of the same sizes was measured before.
+    measured: the sizes, if a sample of the same sizes was measured before; weights: where the driver gets those of (n, p).
     """
     measured = measured or measure(s, groups)
     r = ranked(s, groups, measured.most)
@@ -84,27 +84,33 @@ def estimate(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: M
         r = r.withColumn("n", F.count("*").over(Window.partitionBy(*groups)))
     else:
         r = join_groups(r, measured.sizes, groups)
-    weights = weight_table(s.sparkSession, measured, ps, method)
-    weighted = r.join(weights, (r["n"] == weights["n"]) & (r["rank"] == weights["rank"])).select(*(r[g] for g in groups), r["n"], "p", "w", "x")
+    table = weight_table(s.sparkSession, measured, ps, method, weights)
+    weighted = r.join(table, (r["n"] == table["n"]) & (r["rank"] == table["rank"])).select(*(r[g] for g in groups), r["n"], "p", "w", "x")
     return weighted.groupBy(*groups, "n", "p").agg(F.sum(F.col("w") * F.col("x")).alias("q"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("m2"))
 
 
-def wide(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: Method = HD, names: Sequence[str] | None = None) -> DataFrame:
+def wide(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: Method = HD, names: Sequence[str] | None = None, **known) -> DataFrame:
     """groups, n and a column for each p: one row for each group."""
     names = names or [f"q{k}" for k in range(len(ps))]
-    long = estimate(s, groups, list(dict.fromkeys(ps)), method)
+    long = estimate(s, groups, list(dict.fromkeys(ps)), method, **known)
     return long.groupBy(*groups, "n").agg(*(F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(name) for p, name in zip(ps, names, strict=True)))
 
 
+def plain_median(s: DataFrame, groups: Sequence[str], name: str = "median") -> DataFrame:
+    """groups and the sample median, by ranks as all quantiles: no group has to fit into a task's memory."""
+    return estimate(s.select(*groups, "x"), groups, [0.5], SIMPLE).select(*groups, F.col("q").alias(name))
+
+
 def one_row(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """Of an ungrouped result with a row or none: one row, NaN where there was none."""
     return df.agg(*(F.coalesce(F.first(f"`{v}`"), F.lit(float("nan"))).alias(v) for v in values))
 
 
-def quantiles(df: DataFrame, columns: str | Sequence[str], ps: Sequence[float], method: Method = HD, groups: Sequence[str] = (), nan_policy: str = "raise") -> DataFrame:
+def quantiles(df: DataFrame, columns: str | Sequence[str], ps: Sequence[float], method: Method = HD, groups: Sequence[str] = (), nan_policy: str = "raise", cache=None) -> DataFrame:
     """One row for each group with a column {column}_q{p} for each column and p, p to two places.
 
-    Nulls are dropped. Without groups an empty sample gives NaN; a group without values gives null.
+    Nulls are dropped. Without groups an empty sample gives NaN; a group without values gives null. cache: a QuantileCache
+    whose weights are taken, and which keeps those that are new.
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
     ps = [check_probability(p) for p in ps]
@@ -113,7 +119,8 @@ def quantiles(df: DataFrame, columns: str | Sequence[str], ps: Sequence[float],
     names = {p: f"q{p:.2f}" if len({f"{x:.2f}" for x in ps}) == len(set(ps)) else f"q{p:g}" for p in ps}
     out = None
     for c in columns:
-        found = wide(sample(df, c, groups, nan_policy=nan_policy), groups, ps, method, [f"{c}_{names[p]}" for p in ps]).drop("n")
+        x = sample(df, c, groups, nan_policy=nan_policy)
+        found = wide(x, groups, ps, method, [f"{c}_{names[p]}" for p in ps], weights=cache.weights if cache is not None else None).drop("n")
         if not groups:
             found = one_row(found, [f"{c}_{names[p]}" for p in ps])
         out = found if out is None else join_groups(out, found, groups, "left" if groups else "inner")
@@ -125,4 +132,4 @@ def quantile_table(df: DataFrame, column: str, ps: Sequence[float], method: Meth
     return estimate(sample(df, column, groups, nan_policy=nan_policy), groups, ps, method).withColumnsRenamed({"q": "value", "m2": "second_moment"})
 
 
-__all__ = ["DECILES", "PERCENTILES", "QUARTILES", "_all", "estimate", "measure", "quantile_table", "quantiles", "weight_table", "wide"]
+__all__ = ["DECILES", "PERCENTILES", "QUARTILES", "_all", "estimate", "measure", "plain_median", "quantile_table", "quantiles", "weight_table", "wide"]

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steadfast.errors import InvalidParameter
 from steadfast.functions.weights import HD, Method
-from steadfast.operators.quantiles import estimate, measure, one_row, wide
+from steadfast.operators.quantiles import estimate, measure, one_row, plain_median, wide
 from steadfast.operators.samples import join_groups, ranked, sample, sizes
 
 #: Factors that make MAD and IQR estimate a normal's standard deviation, and 1.4826 as stability uses it.
@@ -74,12 +74,12 @@ def k_optimal(n: Column) -> Column:
     return _table(K_OPTIMAL, n, 0.6747309 * (1.0 + 1.047 / n + 1.193 / (n * n)))
 
 
-def deviation_quantile(s: DataFrame, groups: Sequence[str], p: float, method: Method = HD) -> DataFrame:
+def deviation_quantile(s: DataFrame, groups: Sequence[str], p: float, method: Method = HD, cache=None) -> DataFrame:
     """groups, n, center, value: the p-quantile of absolute deviations from the median, for a sample (groups, x)."""
-    measured = measure(s, groups)
-    center = estimate(s, groups, [0.5], method, measured).select(*groups, F.col("q").alias("center"))
+    measured, weights = measure(s, groups), cache.weights if cache is not None else None
+    center = estimate(s, groups, [0.5], method, measured, weights).select(*groups, F.col("q").alias("center"))
     away = join_groups(s, center, groups).select(*groups, F.abs(F.col("x") - F.col("center")).alias("x"))
-    return join_groups(estimate(away, groups, [p], method, measured).select(*groups, "n", F.col("q").alias("value")), center, groups)
+    return join_groups(estimate(away, groups, [p], method, measured, weights).select(*groups, "n", F.col("q").alias("value")), center, groups)
 
 
 def _result(df: DataFrame, groups: Sequence[str], value: Column, name: str) -> DataFrame:
@@ -87,32 +87,32 @@ def _result(df: DataFrame, groups: Sequence[str], value: Column, name: str) -> D
     return out if groups else one_row(out, [name])
 
 
-def mad(df: DataFrame, column: str, groups: Sequence[str] = (), *, factor: float = 1.0, method: Method = HD, name: str | None = None, nan_policy: str = "raise") -> DataFrame:
+def mad(df: DataFrame, column: str, groups: Sequence[str] = (), *, factor: float = 1.0, method: Method = HD, name: str | None = None, nan_policy: str = "raise", cache=None) -> DataFrame:
     """Median absolute deviation from the median, times a factor (MAD_FACTOR standardises)."""
-    return qad(df, column, 0.5, groups, factor=factor, method=method, name=name or f"{column}_mad", nan_policy=nan_policy)
+    return qad(df, column, 0.5, groups, factor=factor, method=method, name=name or f"{column}_mad", nan_policy=nan_policy, cache=cache)
 
 
-def qad(df: DataFrame, column: str, p: float, groups: Sequence[str] = (), *, factor: float = 1.0, method: Method = HD, name: str | None = None, nan_policy: str = "raise") -> DataFrame:
+def qad(df: DataFrame, column: str, p: float, groups: Sequence[str] = (), *, factor: float = 1.0, method: Method = HD, name: str | None = None, nan_policy: str = "raise", cache=None) -> DataFrame:
     """factor times the p-quantile of absolute deviations from the median."""
     if not 0 <= p <= 1 or factor <= 0:
         raise InvalidParameter("qad needs p in [0, 1] and a positive factor")
-    found = deviation_quantile(sample(df, column, groups, nan_policy=nan_policy), groups, p, method)
+    found = deviation_quantile(sample(df, column, groups, nan_policy=nan_policy), groups, p, method, cache)
     return _result(found, groups, F.col("value") * factor, name or f"{column}_qad")
 
 
-def standard_qad(df: DataFrame, column: str, groups: Sequence[str] = (), *, method: Method = HD, name: str | None = None, nan_policy: str = "raise") -> DataFrame:
-    found = deviation_quantile(sample(df, column, groups, nan_policy=nan_policy), groups, P_STANDARD, method)
+def standard_qad(df: DataFrame, column: str, groups: Sequence[str] = (), *, method: Method = HD, name: str | None = None, nan_policy: str = "raise", cache=None) -> DataFrame:
+    found = deviation_quantile(sample(df, column, groups, nan_policy=nan_policy), groups, P_STANDARD, method, cache)
     return _result(found, groups, F.col("value") * k_standard(F.col("n")), name or f"{column}_sqad")
 
 
-def optimal_qad(df: DataFrame, column: str, groups: Sequence[str] = (), *, method: Method = HD, name: str | None = None, nan_policy: str = "raise") -> DataFrame:
-    found = deviation_quantile(sample(df, column, groups, nan_policy=nan_policy), groups, P_OPTIMAL, method)
+def optimal_qad(df: DataFrame, column: str, groups: Sequence[str] = (), *, method: Method = HD, name: str | None = None, nan_policy: str = "raise", cache=None) -> DataFrame:
+    found = deviation_quantile(sample(df, column, groups, nan_policy=nan_policy), groups, P_OPTIMAL, method, cache)
     return _result(found, groups, F.col("value") * k_optimal(F.col("n")), name or f"{column}_oqad")
 
 
-def iqr(df: DataFrame, column: str, groups: Sequence[str] = (), *, factor: float = 1.0, method: Method = HD, name: str | None = None, nan_policy: str = "raise") -> DataFrame:
+def iqr(df: DataFrame, column: str, groups: Sequence[str] = (), *, factor: float = 1.0, method: Method = HD, name: str | None = None, nan_policy: str = "raise", cache=None) -> DataFrame:
     """Interquartile range times a factor (IQR_FACTOR standardises); null for fewer than 4 values."""
-    found = wide(sample(df, column, groups, nan_policy=nan_policy), groups, [0.25, 0.75], method)
+    found = wide(sample(df, column, groups, nan_policy=nan_policy), groups, [0.25, 0.75], method, weights=cache.weights if cache is not None else None)
     return _result(found, groups, F.when(F.col("n") >= 4, (F.col("q1") - F.col("q0")) * factor), name or f"{column}_iqr")
 
 
@@ -150,7 +150,7 @@ def standardize(df: DataFrame, column: str, groups: Sequence[str] = (), *, metho
 def plain_deviations(df: DataFrame, column: str, groups: Sequence[str] = ()) -> DataFrame:
     """groups and deviation: each value's absolute distance from the plain sample median of its group."""
     s = sample(df, column, groups)
-    return s.withColumn("deviation", F.abs(F.col("x") - F.median("x").over(Window.partitionBy(*groups)))).drop("x")
+    return join_groups(s, plain_median(s, groups, "_center"), groups).withColumn("deviation", F.abs(F.col("x") - F.col("_center"))).drop("x", "_center")
 
 
 METHODS = {

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import logging
 import time
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,28 +22,40 @@ from steadfast.operators.samples import check_column
 LOG = logging.getLogger("steadfast")
 
 
-@dataclass
 class QuantileCache:
-    """Weights of one method (and, if given, for columns of one type), with counts of what was there and what was made."""
-
-    method: Method = HD
-    dtype: str | None = None
-    hits: int = 0
-    misses: int = 0
-    _known: set = field(default_factory=set)
-
-    def note(self, sizes: Sequence[int], ps: Sequence[float]) -> None:
-        for n in sizes:
-            for p in ps:
-                if (n, p) in self._known:
-                    self.hits += 1
-                else:
-                    self.misses += 1
-                    self.method.weights(n, p)  # memoised on the driver by (method, n, p)
-                    self._known.add((n, p))
+    """Weights of one method (and, if given, for columns of one type), kept by (n, p), with counts of what was there and what was made.
+
+    most: how many to keep; those not used for longest go first. None keeps all, 0 none. It holds bands of weights on the
+    driver, some 20 sqrt(n) numbers each; the weights of very many sizes are made by executors and not kept.
+    """
+
+    def __init__(self, method: Method = HD, dtype: str | None = None, most: int | None = 4096):
+        self.method, self.dtype, self.most = method, dtype, most
+        self.hits = self.misses = 0
+        self._kept: OrderedDict = OrderedDict()
+
+    def weights(self, n: int, p: float) -> tuple[int, np.ndarray]:
+        key = int(n), float(p)
+        if key in self._kept:
+            self.hits += 1
+            self._kept.move_to_end(key)
+            return self._kept[key]
+        self.misses += 1
+        made = self.method.weights(*key)
+        self._kept[key] = made
+        while self.most is not None and len(self._kept) > self.most:
+            self._kept.popitem(last=False)
+        return made
+
+    def __len__(self) -> int:
+        return len(self._kept)
+
+    @property
+    def hit_rate(self) -> float:
+        return self.hits / max(1, self.hits + self.misses)
 
     def clear(self) -> None:
-        self._known.clear()
+        self._kept.clear()
         self.hits = self.misses = 0
 
 
@@ -57,7 +70,7 @@ class Robust:
     def quantiles(self, columns, ps: Sequence[float], method: Method = HD, **options) -> DataFrame:
         return quantiles.quantiles(self.df, columns, ps, method, self.groups, **options)
 
-    def _cached(self, columns, method: Method, cache: QuantileCache, ps: Sequence[float]) -> None:
+    def _fits(self, columns, method: Method, cache: QuantileCache) -> None:
         if cache.method != method:
             raise InvalidParameter(f"the cache is for {cache.method}, not {method}")
         for c in [columns] if isinstance(columns, str) else columns:
@@ -65,31 +78,32 @@ class Robust:
             kind = self.df.schema[c].dataType.simpleString()
             if cache.dtype not in (None, kind):
                 raise TypeMismatch(f"the cache is for {cache.dtype}, column {c!r} is {kind}")
-            ns = self.df.filter(F.col(c).isNotNull()).groupBy(*self.groups).count().select("count").distinct().limit(quantiles.DRIVER_SIZES)
-            cache.note([r[0] for r in ns.collect()], [check_probability(p) for p in ps])
 
     def quantiles_cached(self, columns, ps: Sequence[float], method: Method, cache: QuantileCache) -> DataFrame:
-        self._cached(columns, method, cache, ps)
-        return self.quantiles(columns, ps, method)
+        """quantiles() with the cache's weights, which keeps the new ones."""
+        self._fits(columns, method, cache)
+        return self.quantiles(columns, ps, method, cache=cache)
 
     def spread(self, columns, kind: str, **options) -> DataFrame:
         return spread.spread(self.df, columns, kind, self.groups, **options)
 
     def spread_cached(self, columns, kind: str, cache: QuantileCache) -> DataFrame:
-        """Spread with the cache's method for the quantiles inside."""
-        self._cached(columns, cache.method, cache, [0.25, 0.75] if "iqr" in kind else [0.5])
-        return self.spread(columns, kind, **({} if kind.endswith("std") else {"method": cache.method}))
+        """Spread with the cache's method and weights for the quantiles inside; standard deviations have none."""
+        self._fits(columns, cache.method, cache)
+        return self.spread(columns, kind, **({} if kind.endswith("std") else {"method": cache.method, "cache": cache}))
 
-    def confidence(self, columns, level: float = 0.95, method: str = "maritz_jarrett", p: float = 0.5) -> DataFrame:
-        """{column}_lower and {column}_upper: maritz_jarrett, asymptotic, or student."""
+    def confidence(self, columns, level: float = 0.95, method: str = "maritz_jarrett", p: float = 0.5, *, resamples: int = 1000, kind: str | Callable = "percentile", seed: int = 42) -> DataFrame:
+        """{column}_lower and {column}_upper: maritz_jarrett, asymptotic, student, or bootstrap (of the p-quantile, with resamples and a kind of interval)."""
         out = None
         for c in [columns] if isinstance(columns, str) else columns:
             if method == "maritz_jarrett":
                 found = confidence.maritz_jarrett(self.df, c, p, self.groups, level=level)
             elif method in ("asymptotic", "student"):
                 found = confidence.asymptotic(self.df, c, self.groups, level=level, student=method == "student")
+            elif method == "bootstrap":
+                found = confidence.one_sample_bootstrap(self.df, c, self.groups, confidence.quantile_statistic(check_probability(p)), method=kind, level=level, resamples=resamples, seed=seed)
             else:
-                raise InvalidParameter(f"unknown interval {method!r}; bootstrap() compares two groups")
+                raise InvalidParameter(f"unknown interval {method!r}")
             found = found.select(*self.groups, F.col("lower").alias(f"{c}_lower"), F.col("upper").alias(f"{c}_upper"))
             out = found if out is None else quantiles.join_groups(out, found, self.groups)
         return out

@@ -2,11 +2,13 @@
 
 Rows of a key are taken in the order of (order columns) within a micro-batch; what comes in a later batch comes later.
 A row whose control column is true resets its key's state. Watermarks, if the stream has them, bound nothing here: the
-state of a key is a few numbers, kept until it is reset or times out.
+state of a key is a few numbers, kept until it is reset or, with expire_ms, until the key has had no row for so many
+milliseconds; a row that comes later starts anew.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from steadfast.functions.weights import HD, Method
+from steadfast.functions.weights import HD, THD_SQRT, Method
+from steadfast.operators.spread import STABILITY_FACTOR
 from steadfast.operators.stability import DEFAULT, Parameters
 
 
@@ -81,12 +84,45 @@ class OnlineStability:
         return cv, trend, good, status
 
 
-def _stream(df: DataFrame, key: str, column: str, order: Sequence[str], reset: str | None, make, row, fields: str, state: str) -> DataFrame:
+class OnlineTracker:
+    """Verdicts of the last `window` values, after each one, and how many in a row are stable."""
+
+    def __init__(self, window: int = 50, parameters: Parameters = DEFAULT, method: Method = THD_SQRT, state: tuple | None = None):
+        self.window, self.p, self.method = window, parameters, method
+        self.run, values = state or (0, [])
+        self.values = deque(values, window)
+
+    def state(self) -> tuple:
+        return self.run, list(self.values)
+
+    def add(self, x: float) -> tuple[bool, int, str]:
+        """Whether the window is stable, the run, and the status; Unknown until there is a whole window."""
+        self.values.append(x)
+        if len(self.values) < self.window:
+            return False, 0, "Unknown"
+        p, v = self.p, np.array(self.values)
+        center = _median(v, self.method)
+        spread = STABILITY_FACTOR * _median(np.abs(v - center), self.method)
+        cv = spread / abs(center) if abs(center) > 1e-10 else 0.0 if spread < 1e-10 else float("inf")
+        t = np.arange(self.window) - (self.window - 1) / 2
+        trend = abs(float(t @ v) / float(t @ t)) if self.window > 1 else 0.0
+        good = self.window >= p.min_samples and cv <= p.max_cv and trend <= p.max_trend
+        self.run = self.run + 1 if good else 0
+        if good:
+            return True, self.run, "Stable" if self.run >= p.min_stable_windows else "Transitioning"
+        return False, 0, "Unknown" if self.window < p.min_samples else "Unstable"
+
+
+def _stream(df: DataFrame, key: str, column: str, order: Sequence[str], reset: str | None, make, row, fields: str, state: str, expire_ms: int | None) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     orders = ", ".join(f"`{o}` {df.schema[o].dataType.simpleString()}" for o in order)
     out = f"`{key}` {kind}, {orders}, x double, {fields}"
 
     def step(k, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        names = [key, *order, "x", *(f.split()[0] for f in fields.split(", "))]
+        if group.hasTimedOut:
+            group.remove()
+            return
         pdf = pd.concat(list(parts)).sort_values(list(order))
         detector = make(group.get if group.exists else None)
         rows = []
@@ -100,20 +136,27 @@ def _stream(df: DataFrame, key: str, column: str, order: Sequence[str], reset: s
                 continue
             rows.append((k[0], *(got[o] for o in order), float(x), *row(detector, float(x))))
         group.update(detector.state())
-        names = [key, *order, "x", *(f.split()[0] for f in fields.split(", "))]
+        if expire_ms is not None:
+            group.setTimeoutDuration(expire_ms)
         yield pd.DataFrame(rows, columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def stream_ewma(df: DataFrame, key: str, column: str, order: Sequence[str], *, lam: float = 0.2, multiplier: float = 3.0, warmup: int = 20, reset: str | None = None, method: Method = HD) -> DataFrame:
+def stream_ewma(df: DataFrame, key: str, column: str, order: Sequence[str], *, lam: float = 0.2, multiplier: float = 3.0, warmup: int = 20, reset: str | None = None, method: Method = HD, expire_ms: int | None = None) -> DataFrame:
     """key, order columns, x, ewma, is_alarm for each row of a stream."""
     make = lambda s: OnlineEwma(lam, multiplier, warmup, method, s)
     row = lambda d, x: ((a := d.add(x)), d.average)[::-1]
-    return _stream(df, key, column, order, reset, make, row, "ewma double, is_alarm boolean", "n long, average double, reference double, threshold double, first array<double>")
+    return _stream(df, key, column, order, reset, make, row, "ewma double, is_alarm boolean", "n long, average double, reference double, threshold double, first array<double>", expire_ms)
 
 
-def stream_stability(df: DataFrame, key: str, column: str, order: Sequence[str], *, parameters: Parameters = DEFAULT, reset: str | None = None) -> DataFrame:
+def stream_stability(df: DataFrame, key: str, column: str, order: Sequence[str], *, parameters: Parameters = DEFAULT, reset: str | None = None, expire_ms: int | None = None) -> DataFrame:
     """key, order columns, x, cv, trend, is_stable, status for each row of a stream."""
     make = lambda s: OnlineStability(parameters, s)
-    return _stream(df, key, column, order, reset, make, lambda d, x: d.add(x), "cv double, trend double, is_stable boolean, status string", "n long, mean double, m2 double, sxy double, run long")
+    return _stream(df, key, column, order, reset, make, lambda d, x: d.add(x), "cv double, trend double, is_stable boolean, status string", "n long, mean double, m2 double, sxy double, run long", expire_ms)
+
+
+def stream_tracker(df: DataFrame, key: str, column: str, order: Sequence[str], *, window: int = 50, parameters: Parameters = DEFAULT, reset: str | None = None, method: Method = THD_SQRT, expire_ms: int | None = None) -> DataFrame:
+    """key, order columns, x, is_stable, run, status for each row of a stream: of the window that ends with it."""
+    make = lambda s: OnlineTracker(window, parameters, method, s)
+    return _stream(df, key, column, order, reset, make, lambda d, x: d.add(x), "is_stable boolean, run long, status string", "run long, values array<double>", expire_ms)
