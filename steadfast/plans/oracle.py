@@ -48,6 +48,41 @@ def deviation(source: str, p: float, key: str = "g", alias: str = "d") -> str:
 {alias} as (select a.{key}, a.n, b.q as center, a.q from {alias}q a join {alias}m b on a.{key} = b.{key})"""
 
 
+def thd_weights(n: int, width: float) -> list[float]:
+    """The weights of a trimmed Harrell-Davis median of n values, by the same sums as thd_median."""
+    a = (n + 1) / 2
+    lo, hi = np.maximum(np.arange(n) / n, 0.5 - width / 2), np.minimum(np.arange(1, n + 1) / n, 0.5 + width / 2)
+    u = lo[:, None] + (hi - lo)[:, None] * (_X + 1)[None, :] / 2
+    w = np.where(hi > lo, (hi - lo) * (np.where(hi[:, None] > lo[:, None], 4 * u * (1 - u), 0) ** (a - 1) * _W / 2).sum(1), 0.0)
+    return (w / w.sum()).tolist()
+
+
+def student_quantile(df: int, p: float) -> float:
+    """Of Student's t, by halving: with t = sqrt(df) tan(y) its density is a power of cos(y)."""
+    x, w = np.polynomial.legendre.leggauss(300)
+    area = lambda y: float((w * np.cos((x + 1) / 2 * y) ** (df - 1)).sum() * y / 2)
+    lo, hi, half = 0.0, np.pi / 2, area(np.pi / 2)
+    for _ in range(60):
+        y = (lo + hi) / 2
+        lo, hi = (y, hi) if area(y) < (2 * p - 1) * half else (lo, y)
+    return float(np.sqrt(df) * np.tan(lo))
+
+
+def thinned(alarms: str, tolerance: int, source: str = "al", alias: str = "kept") -> str:
+    """CTEs ending in {alias}(g, i): of alarms (g, i) those kept in order, the next one being the first beyond the tolerance."""
+    return f"""{source} as ({alarms}), {alias}_n as materialized (select a.g, a.i, min(b.i) as j from {source} a asof join {source} b on a.g = b.g and a.i + {tolerance} < b.i group by a.g, a.i),
+{alias} as (with recursive t as (select g, min(i) as i from {source} group by g union all select n.g, n.j from t join {alias}_n n on n.g = t.g and n.i = t.i) select * from t)"""
+
+
+def thinned_lists(source: str, tolerance: int, alias: str = "kept") -> str:
+    """CTEs ending in {alias}(g, l, i): as thinned(), for alarms (g, l, i) in two lists, the second after the first."""
+    return f"""{alias}_n as materialized (select a.g, a.l, a.i, min(b.i) filter (where b.l = a.l and b.i > a.i + {tolerance}) as j, min(b.i) filter (where b.l > a.l and abs(b.i - a.i) > {tolerance}) as k
+  from {source} a join {source} b on a.g = b.g group by a.g, a.l, a.i),
+{alias} as (with recursive t as (
+  select g, min(l) as l, arg_min(i, (l, i)) as i from {source} group by g
+  union all select n.g, case when n.j is null then 1 else n.l end, coalesce(n.j, n.k) from t join {alias}_n n on n.g = t.g and n.l = t.l and n.i = t.i where coalesce(n.j, n.k) is not null) select * from t)"""
+
+
 EVENTS = "s as (select event_type as g, value::double as x from events)"
 ORDERS = "s as (select o_orderpriority as g, o_totalprice::double as x from orders)"
 SERIES = "s as (select event_type as g, row_number() over (partition by event_type order by ts, event_id) - 1 as i, value::double as x from events)"

@@ -5,9 +5,11 @@ Doubles are rounded on both sides, and a query gives null where a value would no
 
 from __future__ import annotations
 
+import statistics
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,7 @@ from steadfast.functions.special import normal_ppf as z_of
 from steadfast.functions.weights import HD, SIMPLE, THD_LINEAR, THD_SQRT, thd_constant
 from steadfast.operators import changepoint, compare, confidence, effect, histogram, modality, quantiles, samples, shape, signal, spread, stability
 from steadfast.plans import oracle as o
+from steadfast.plans.frame import QuantileCache, Robust
 from steadfast.sources.tables import load_table
 from steadfast.streaming import detectors
 from steadfast.streaming.run import available_now, read_stream
@@ -184,7 +187,10 @@ def dot_product(spark, folder):
     return shape.dot_product(load_table(spark, folder, "lineitem", "l_returnflag", "l_extendedprice", "l_discount"), "l_extendedprice", "l_discount", ["l_returnflag"])
 
 
-@query()
+@query(f"""with s as (select s_nationkey as g, s_acctbal::double as x from supplier), {o.hd("s", [0.5])}, c as (select s.g, any_value(n) as n, any_value(q) as m from s join h on s.g = h.g group by s.g),
+k as (select a.g, ((b.x - m) - (m - a.x)) / (b.x - a.x) as x from s a join c on a.g = c.g join s b on a.g = b.g where a.x < m and b.x > m and n >= 3),
+kn as (select g, count(*) as kn, any_value(x) as one from k group by g), ks as (select k.* from k join kn on k.g = kn.g where kn > 1), {o.hd("ks", [0.5], alias="kh")}
+select c.g as s_nationkey, case when c.n >= 3 then {_r("case when kn is null then 0 when kn = 1 then one else kh.q end")} end as s_acctbal_medcouple from c left join kn on c.g = kn.g left join kh on c.g = kh.g""")
 def medcouple(spark, folder):
     return shape.medcouple(load_table(spark, folder, "supplier", "s_nationkey", "s_acctbal"), "s_acctbal", ["s_nationkey"])
 
@@ -252,15 +258,15 @@ def effect_conversions(spark, folder):
     return load_table(spark, folder, "part", "p_partkey", "p_size").select("p_partkey", e.alias("delta"), cles_from_delta(e).alias("cles"), delta_from_cles(cles_from_delta(e)).alias("back"), d_from_eta(e).alias("d"), eta_from_d(d).alias("eta"))
 
 
-@query("""with a as (select event_id, (value - 50.0) / 25.0 as z from events where value < 250), e as (select event_id, z, abs(z) / sqrt(2.0) as y, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) as t from a),
+@query("""with a as (select event_id, (value - 50.0) / 25.0 as z from events), e as (select event_id, z, abs(z) / sqrt(2.0) as y, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) as t from a),
 c as (select event_id, case when z < -8 then 0 when z > 8 then 1 else 0.5 * (1 + sign(z) * (1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-y * y))) end as cdf from e)
 select event_id, """ + _r("cdf") + " as cdf from c")
 def normal_distribution(spark, folder):
     z = (F.col("value") - 50.0) / 25.0
-    return load_table(spark, folder, "events", "event_id", "value").filter("value < 250").select("event_id", normal_cdf(z).alias("cdf"))
+    return load_table(spark, folder, "events", "event_id", "value").select("event_id", normal_cdf(z).alias("cdf"))
 
 
-@query()
+@query(f"""with z(k, z) as (values {", ".join(f"({k}, {statistics.NormalDist().inv_cdf(k / 51)!r}::double)" for k in range(1, 51))}) select p_partkey, {_r("z", 5)} as z from part join z on p_size = k""", 5)
 def normal_quantiles(spark, folder):
     p = F.col("p_size").cast("double") / 51.0
     return load_table(spark, folder, "part", "p_partkey", "p_size").select("p_partkey", normal_ppf(p).alias("z"))
@@ -294,7 +300,9 @@ def asymptotic_interval(spark, folder):
     return confidence.asymptotic(events(spark, folder), "value", E)
 
 
-@query()
+@query(f"""with t(n, t) as (values {", ".join(f"({n}, {o.student_quantile(n - 1, 0.975)!r}::double)" for n in range(2, 301))}),
+a as (select s_nationkey, count(*) as n, avg(s_acctbal) as e, stddev_samp(s_acctbal) as sd from supplier group by 1)
+select s_nationkey, a.n, {_r("e")} as estimate, {_r("e - t * sd / sqrt(a.n)")} as lower, {_r("e + t * sd / sqrt(a.n)")} as upper from a left join t on a.n = t.n""")
 def student_interval(spark, folder):
     return confidence.asymptotic(load_table(spark, folder, "supplier", "s_nationkey", "s_acctbal"), "s_acctbal", ["s_nationkey"], student=True)
 
@@ -369,16 +377,21 @@ _hist("hist_scott", lambda s, d: histogram.scott(events(s, d), "value", E), "cei
 _hist("hist_freedman_diaconis", lambda s, d: histogram.freedman_diaconis(events(s, d), "value", E), "ceil((max(x) - min(x)) / (2 * (list(x order by x)[(3 * count(*) // 4)::int + 1] - list(x order by x)[(count(*) // 4)::int + 1]) * pow(count(*), -1.0 / 3)))")
 
 
-@query(f"""with {o.EVENTS}, {o.hd("s", [k / 8 for k in range(1, 8)])}, ends as (select g, min(x) as lo, max(x) as hi, count(*) as n from s group by g),
+def _between(inner: list[float]) -> str:
+    """A histogram between the quantiles at inner and the ends."""
+    return f"""with {o.EVENTS}, {o.hd("s", inner)}, ends as (select g, min(x) as lo, max(x) as hi, count(*) as n from s group by g),
 ed as (select g, list_sort(list(q) || [any_value(lo), any_value(hi)]) as e, any_value(nn) as n from (select h.g, h.q, ends.lo, ends.hi, ends.n as nn from h join ends on h.g = ends.g) group by g),
 b as (select g, n, e, unnest(range(0, len(e) - 1)) as bin from ed),
 c as (select b.g, b.bin, count(*) as c from s join b on s.g = b.g and (s.x >= e[bin + 1] or bin = 0) and (s.x < e[bin + 2] or bin = len(e) - 2) group by 1, 2)
-select b.g as event_type, b.bin::bigint as bin, {_r("e[b.bin + 1]")} as "left", {_r("e[b.bin + 2]")} as "right", coalesce(c, 0) as "count", {_r("coalesce(c, 0) / (n * (e[b.bin + 2] - e[b.bin + 1]))")} as density from b left join c on b.g = c.g and b.bin = c.bin""")
+select b.g as event_type, b.bin::bigint as bin, {_r("e[b.bin + 1]")} as "left", {_r("e[b.bin + 2]")} as "right", coalesce(c, 0) as "count", {_r("coalesce(c, 0) / (n * (e[b.bin + 2] - e[b.bin + 1]))")} as density from b left join c on b.g = c.g and b.bin = c.bin"""
+
+
+@query(_between([k / 8 for k in range(1, 8)]))
 def hist_quantile(spark, folder):
     return histogram.quantile_bins(events(spark, folder), "value", 8, E)
 
 
-@query()
+@query(_between(histogram.exponential_steps(20)[1:-1]))
 def hist_qrde_exponential(spark, folder):
     return histogram.qrde(events(spark, folder), "value", histogram.exponential_steps, E, bins=20)
 
@@ -431,20 +444,14 @@ def cusum_statistics(spark, folder):
     return changepoint.cusum_statistics(series(spark, folder), "value", S, E).drop("x")
 
 
-def _thinned(alarms: str, tolerance: int) -> str:
-    """Counts and sums of alarms (g, i) thinned in order: the next kept one is the first beyond the tolerance."""
-    return f"""al as ({alarms}), nx as materialized (select a.g, a.i, min(b.i) as j from al a asof join al b on a.g = b.g and a.i + {tolerance} < b.i group by a.g, a.i),
-kept as (with recursive t as (select g, min(i) as i from al group by g union all select nx.g, nx.j from t join nx on nx.g = t.g and nx.i = t.i) select * from t)
-select g as event_type, count(*) as n, sum(i)::bigint as total, min(i) as first, max(i) as last from kept group by g"""
-
-
-def _count(alarms: DataFrame) -> DataFrame:
-    return alarms.groupBy(*E).agg(F.count("*").alias("n"), F.sum("idx").alias("total"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+def _kept(alarms: str, tolerance: int, kind: str) -> str:
+    """Alarms (g, i, c), c being what confidence is made of, thinned."""
+    return f"""{o.thinned(alarms, tolerance)} select al.g as event_type, al.i as idx, {_r("least(1, al.c)")} as confidence, '{kind}' as change_type from kept join al on al.g = kept.g and al.i = kept.i"""
 
 
-@query(f"{_CUSUM}, {_thinned('select g, i from k where greatest(up, down) > 400', 1)}")
+@query(f"{_CUSUM}, {_kept('select g, i, greatest(up, down) / 800 as c from k where greatest(up, down) > 400', 1, 'MeanShift')}")
 def cusum(spark, folder):
-    return _count(changepoint.cusum(series(spark, folder), "value", S, E, threshold=400.0))
+    return changepoint.cusum(series(spark, folder), "value", S, E, threshold=400.0)
 
 
 _TERMS = 166
@@ -459,9 +466,12 @@ def ewma_statistics(spark, folder):
     return changepoint.ewma_statistics(series(spark, folder), "value", S, E).select("event_type", "idx", "ewma", "deviation")
 
 
-@query(f"{_EWMA}, {_thinned('select g, i from a where i >= 20 and abs(ew - center) > 1.5 * q', 3)}")
+_DRIFTS = "select g, i, abs(ew - center) / (3 * q) as c from a where i >= 20 and abs(ew - center) > 1.5 * q"
+
+
+@query(f"{_EWMA}, {_kept(_DRIFTS, 3, 'Drift')}")
 def ewma(spark, folder):
-    return _count(changepoint.ewma(series(spark, folder), "value", S, E, multiplier=1.5))
+    return changepoint.ewma(series(spark, folder), "value", S, E, multiplier=1.5)
 
 
 def _slopes_sql(window: int) -> str:
@@ -474,19 +484,35 @@ def window_slopes(spark, folder):
     return changepoint.window_slopes(series(spark, folder), "value", S, E)
 
 
-@query(f"{_slopes_sql(10)}, {o.deviation('df', 0.5)}, {_thinned('select df.g, df.i + 10 as i from df join d on df.g = d.g where x > 3 * q and least(1, x / (6 * q)) >= 0.5', 2)}")
+@query(f"{_slopes_sql(10)}, {o.deviation('df', 0.5)}, {_kept('select df.g, df.i + 10 as i, x / (6 * q) as c from df join d on df.g = d.g where x > 3 * q and least(1, x / (6 * q)) >= 0.5', 2, 'TrendChange')}")
 def slopes(spark, folder):
-    return _count(changepoint.slopes(series(spark, folder), "value", S, E))
+    return changepoint.slopes(series(spark, folder), "value", S, E)
 
 
-@query()
+def _polynomial(degree: int) -> str:
+    """CTEs with the slopes sl(g, i, slope) of windows of 25 and the alarms pa(g, l, i, c, kind): trend changes, then steady states."""
+    t = np.linspace(-1, 1, 25)
+    row = np.linalg.pinv(np.vander(t, degree + 1, increasing=True))[1] * 12
+    return f"""with {o.SERIES}, sl as (select g, i - 24 as i, list_dot_product(v, {row.tolist()}::double[]) as slope from (select g, i, list(x) over (partition by g order by i rows between 24 preceding and current row) as v from s) where i >= 24),
+df as (select * from (select g, i, abs(lead(slope) over (partition by g order by i) - slope) as x from sl) where x is not null), {o.deviation("df", 0.5)},
+size as (select g, i, abs(slope) as x from sl), {o.deviation("size", 0.5, alias="e")},
+sm as (select size.g, i, x, 2 * q as lim, i - coalesce(max(case when x >= 2 * q then i end) over (partition by size.g order by i), -1) as run from size join e on size.g = e.g),
+pa as (select df.g, 0 as l, df.i + 25 as i, x / (6 * q) as c, 'TrendChange' as kind from df join d on df.g = d.g where x > 3 * q and least(1, x / (6 * q)) >= 0.5
+       union all select g, 1, i + 25, lim / (x + 1e-10), 'SteadyState' from sm where run >= 3), {o.thinned_lists("pa", 2, "pk")},
+base as (select pa.* from pa join pk on pa.g = pk.g and pa.l = pk.l and pa.i = pk.i)"""
+
+
+@query(f"""{_polynomial(2)} select g as event_type, i as idx, {_r("least(1, c)")} as confidence, kind as change_type from base""")
 def polynomial_slopes(spark, folder):
-    return _count(changepoint.polynomial_slopes(series(spark, folder), "value", S, E, degree=2))
+    return changepoint.polynomial_slopes(series(spark, folder), "value", S, E, degree=2)
 
 
-@query()
+@query(f"""{_polynomial(1)}, d2 as (select * from (select g, i, abs(lead(slope, 2) over w - 2 * lead(slope) over w + slope) as x from sl window w as (partition by g order by i)) where x is not null), {o.deviation("d2", 0.5, alias="f")},
+aa as (select g, 0 as l, i, m.c as c, m.k as kind from (select g, i, min(struct_pack(c := least(1, c), k := kind)) as m from base group by g, i)
+       union all select d2.g, 1, d2.i + 27, x / (5 * q), 'AccelerationChange' from d2 join f on d2.g = f.g where x > 2.5 * q and least(1, x / (5 * q)) >= 0.5), {o.thinned_lists("aa", 3, "ak")}
+select aa.g as event_type, aa.i as idx, {_r("least(1, c)")} as confidence, kind as change_type from aa join ak on aa.g = ak.g and aa.l = ak.l and aa.i = ak.i""")
 def adaptive_slopes(spark, folder):
-    return _count(changepoint.adaptive_slopes(series(spark, folder), "value", S, E))
+    return changepoint.adaptive_slopes(series(spark, folder), "value", S, E)
 
 
 @query(f"""with {o.SERIES} select g as event_type, i - 9 as i, {_r("m")} as mean, {_r("v")} as variance from (select g, i, avg(x) over w as m, var_pop(x) over w as v from s window w as (partition by g order by i rows between 9 preceding and current row)) where i >= 9""")
@@ -534,32 +560,65 @@ def stationarity_score(spark, folder):
     return stability.stationarity_score(series(spark, folder), "value", S, E)
 
 
-@query()
+def _whole(name: str) -> str:
+    """A query's SQL with its values to the last digit."""
+    return SQL[name].replace(f", {DIGITS}) + 0.0", ", 14) + 0.0")
+
+
+@query(f"""with {o.SERIES}, {o.thd_median("s", "(1 / sqrt(n))", alias="a1")}, x1 as (select s.g, abs(x - q) as x from s join a1 on s.g = a1.g), {o.thd_median("x1", "(1 / sqrt(n))", alias="a2")},
+tr as ({_whole("ols_trend")}), mk as ({_whole("mann_kendall")}), lv as ({_whole("levene_score")}), st as ({_whole("stationarity_score")}),
+v as (select tr.event_type, tr.n, a1.q as median, 1.4826 * a2.q as spread, 1.4826 * a2.q / abs(a1.q) as cv, slope, r2, p as mk_p, levene_score, stationarity
+  from tr join a1 on tr.event_type = a1.g join a2 on a1.g = a2.g join mk using (event_type) join lv using (event_type) join st using (event_type)),
+w as (select *, (cv > 0.25)::int + (mk_p < 0.05)::int + (levene_score < 0.05)::int + (stationarity < 0.7)::int as signs from v)
+select event_type, n, case when n < 50 then 'InsufficientData' when signs = 0 then 'Stable' when signs >= 3 then 'Unstable' else 'Unknown' end as status,
+  case when signs < 3 then null when cv > 0.25 then 'HighVariability' when mk_p < 0.05 then 'Trend' when levene_score < 0.05 then 'VarianceChange' else 'NonStationary' end as reason,
+  case when signs < 3 then null else {_r("case when cv > 0.25 then cv / 0.25 when mk_p < 0.05 then abs(slope) / 0.01 when levene_score < 0.05 then 1 - levene_score else 1 - stationarity end")} end as severity,
+  {_r("case when signs = 0 then 0.95 - cv / 0.25 * 0.2 when signs >= 3 then 0.9 + 0.1 * least(mk_p, levene_score, stationarity) else 0.5 + 0.2 * (2 - signs) end")} as confidence,
+  {", ".join(f"{_r(c)} as {c}" for c in ("median", "spread", "cv", "slope", "r2", "mk_p", "levene_score", "stationarity"))} from w""")
 def stability_statistical(spark, folder):
     return stability.statistical_verdict(series(spark, folder), "value", S, E)
 
 
-@query()
+def _stable_windows(window: int, step: int, p: stability.Parameters) -> str:
+    """CTEs ending in w, the windows with their verdicts."""
+    weights = o.thd_weights(window, window**-0.5)
+    middle = lambda v: f"list_dot_product(list_sort({v}), {weights}::double[])"
+    return f"""with {o.SERIES}, l as (select g, i - {window - 1} as i, list(x) over r as v, avg(x) over r as mean, abs(coalesce(regr_slope(x, i) over r, 0)) as trend from s window r as (partition by g order by i rows between {window - 1} preceding and current row)),
+l1 as (select *, {middle("v")} as median from l where i >= 0 and i % {step} = 0), l2 as (select *, 1.4826 * {middle("list_transform(v, lambda x: abs(x - median))")} as spread from l1),
+l3 as (select *, spread / abs(median) as cv from l2), l4 as (select *, {window} >= {p.min_samples} and cv <= {p.max_cv} and trend <= {p.max_trend} as ok from l3),
+w as (select *, case when {window} < {p.min_samples} then 'Unknown' when ok then 'Stable' else 'Unstable' end as status,
+  case when ok or {window} < {p.min_samples} then null when trend > {p.max_trend} then 'Trend' when cv > {p.max_cv} then 'VarianceChange' else 'NonStationary' end as reason,
+  case when ok or {window} < {p.min_samples} then null when trend > {p.max_trend} then least(1, trend / {p.max_trend}) when cv > {p.max_cv} then least(1, cv / {p.max_cv}) else 0.5 end as severity from l4)"""
+
+
+_WINDOW_ROWS = f"""select g as event_type, i, {", ".join(f"{_r(c)} as {c}" for c in ("mean", "median", "spread", "cv", "trend"))}, ok as is_stable, status, reason, case when severity is not null then {_r("severity")} end as severity from w"""
+
+
+@query(f"{_stable_windows(50, 10, stability.DEFAULT)} {_WINDOW_ROWS}")
 def stability_windows(spark, folder):
     return stability.windows(series(spark, folder), "value", S, E, window=50, step=10)
 
 
-@query()
+_LOOSE = stability.Parameters(max_cv=1.0, max_trend=0.3)
+
+
+@query(f"""{_stable_windows(50, 1, _LOOSE)}, t as (select *, row_number() over (partition by g order by i) as no from w), u as (select *, coalesce(max(case when not ok then no end) over (partition by g order by i), 0) as broken from t),
+k as (select *, no - broken as run from u)
+select g as event_type, i, ok as is_stable, run, case when run >= 5 then 'Stable' when run > 0 then 'Transitioning' else status end as tracker_status, case when run > 0 and run < 5 then {_r("run / 5.0")} end as progress, case when run >= 5 then broken + 5 end as stable_at from k""")
 def stability_tracker(spark, folder):
-    loose = stability.Parameters(max_cv=1.0, max_trend=0.3)
-    return stability.track(stability.windows(series(spark, folder), "value", S, E, window=50, parameters=loose), E, loose).select("event_type", "i", "is_stable", "run", "tracker_status", "progress", "stable_at")
+    return stability.track(stability.windows(series(spark, folder), "value", S, E, window=50, parameters=_LOOSE), E, _LOOSE).select("event_type", "i", "is_stable", "run", "tracker_status", "progress", "stable_at")
 
 
-_ONLINE = f"""with {o.SERIES}, a as (select g, i, avg(x) over w as m, coalesce(stddev_samp(x) over w, 0) as sd, abs(coalesce(regr_slope(x, i) over w, 0)) as t from s window w as (partition by g order by i)),
+_ONLINE = f"""with {o.SERIES}, a as (select g, i, avg(x) over w as m, coalesce(stddev_samp(x) over w, 0) as sd, case when i = 0 then 0 else abs(regr_slope(x, i) over w) end as t from s window w as (partition by g order by i)),
 b as (select *, sd / abs(m) as cv from a), c as (select *, i + 1 >= 50 and cv <= 0.6 and t <= 0.05 as ok from b),
 e as (select *, i - coalesce(max(case when not ok then i end) over (partition by g order by i), -1) as run from c)"""
 
 
-@query(f"""{_ONLINE} select g as event_type, i as idx, {_r("m + 1e-9")} as mean, {_r("cv")} as cv, ok as is_stable, run, case when run >= 5 then 'Stable' when run > 0 then 'Transitioning' when t > 0.05 or cv > 0.6 then 'Unstable' else 'Unknown' end as status from e where i >= 2""")
+@query(f"""{_ONLINE} select g as event_type, i as idx, {_r("m + 1e-9")} as mean, {_r("cv")} as cv, ok as is_stable, run, case when run >= 5 then 'Stable' when run > 0 then 'Transitioning' when t > 0.05 or cv > 0.6 then 'Unstable' else 'Unknown' end as status from e""")
 def stability_online_batch(spark, folder):
     p = stability.Parameters(max_cv=0.6, max_trend=0.05)
     # the shift keeps means that end in 5 from falling to either side
-    return stability.online(series(spark, folder), "value", S, E, p).filter("idx >= 2").select("event_type", "idx", (F.col("mean") + 1e-9).alias("mean"), "cv", "is_stable", "run", "status")
+    return stability.online(series(spark, folder), "value", S, E, p).select("event_type", "idx", (F.col("mean") + 1e-9).alias("mean"), "cv", "is_stable", "run", "status")
 
 
 @query()
@@ -572,9 +631,12 @@ def stability_composite(spark, folder):
     return stability.composite(series(spark, folder), "value", S, E)
 
 
-@query()
+_BROAD = stability.Parameters(max_cv=0.9, max_trend=0.3)
+
+
+@query(f"{_stable_windows(50, 1, _BROAD)} select g as event_type, min(i) as stable_from from w where ok group by g")
 def stability_index(spark, folder):
-    return stability.stability_index(series(spark, folder), "value", S, E, parameters=stability.Parameters(max_cv=0.9, max_trend=0.3))
+    return stability.stability_index(series(spark, folder), "value", S, E, parameters=_BROAD)
 
 
 @query()
@@ -591,34 +653,44 @@ def _events_stream(spark, folder):
 
 @query(f"""{_ONLINE}, n as (select event_id, event_type, row_number() over (partition by event_type order by ts, event_id) - 1 as i from events)
 select e.g as event_type, event_id, {_r("cv")} as cv, ok as is_stable, case when run >= 5 then 'Stable' when run > 0 then 'Transitioning' when t > 0.05 or cv > 0.6 then 'Unstable' else 'Unknown' end as status
-from e join n on e.g = n.event_type and e.i = n.i where e.i >= 2""")
+from e join n on e.g = n.event_type and e.i = n.i""")
 def stream_stability(spark, folder):
     p = stability.Parameters(max_cv=0.6, max_trend=0.05)
     rows = available_now(detectors.stream_stability(_events_stream(spark, folder), "event_type", "value", S, parameters=p))
-    first = F.row_number().over(Window.partitionBy("event_type").orderBy(*S))
-    return rows.withColumn("no", first).filter("no > 2").select("event_type", "event_id", "cv", "is_stable", "status")
+    return rows.select("event_type", "event_id", "cv", "is_stable", "status")
 
 
 @query(f"""with {o.SERIES}, f as (select g, x from s where i < 20), {o.deviation("f", 0.5)},
 l as (select g, i, list(x) over (partition by g order by i rows between {_TERMS - 1} preceding and current row) as v from s where i >= 20),
 a as (select l.g, i, center, q, list_dot_product(v, ({_W}::double[])[{_TERMS} - len(v) + 1:]) + pow(0.8, i - 19) * center as ew from l join d on l.g = d.g),
 n as (select event_id, event_type, row_number() over (partition by event_type order by ts, event_id) - 1 as i from events)
-select a.g as event_type, event_id, {_r("ew")} as ewma, abs(ew - center) > 3 * q as is_alarm from a join n on a.g = n.event_type and a.i = n.i""")
+select a.g as event_type, event_id, {_r("ew")} as ewma, abs(ew - center) > 3 * q as is_alarm from a join n on a.g = n.event_type and a.i = n.i
+union all select n.event_type, event_id, case when i = 19 then {_r("center")} else 0.0 end, false from n join d on n.event_type = d.g where i < 20""")
 def stream_ewma(spark, folder):
-    rows = available_now(detectors.stream_ewma(_events_stream(spark, folder), "event_type", "value", S))
-    first = F.row_number().over(Window.partitionBy("event_type").orderBy(*S))
-    return rows.withColumn("no", first).filter("no > 20").select("event_type", "event_id", "ewma", "is_alarm")
+    return available_now(detectors.stream_ewma(_events_stream(spark, folder), "event_type", "value", S)).select("event_type", "event_id", "ewma", "is_alarm")
+
+
+@query(f"""{_stable_windows(50, 1, _LOOSE)}, t as (select *, row_number() over (partition by g order by i) as no from w), u as (select *, no - coalesce(max(case when not ok then no end) over (partition by g order by i), 0) as run from t),
+n as (select event_id, event_type, row_number() over (partition by event_type order by ts, event_id) - 1 as i from events)
+select event_type, event_id, coalesce(ok, false) as is_stable, coalesce(run, 0) as run, case when run >= 5 then 'Stable' when run > 0 then 'Transitioning' else coalesce(status, 'Unknown') end as status
+from n left join u on u.g = n.event_type and u.i = n.i - 49""")
+def stream_tracker(spark, folder):
+    return available_now(detectors.stream_tracker(_events_stream(spark, folder), "event_type", "value", S, parameters=_LOOSE)).select("event_type", "event_id", "is_stable", "run", "status")
 
 
 # ------------------------------------------------------------------ accessors
 
 
 @query(f"""with {o.SERIES}, r(ref) as (values (20.0::double), (60.0::double)), c as (select g, i, ref, sum(x - ref - 0.5) over w as su, sum(ref - x - 0.5) over w as sd from s, r window w as (partition by g, ref order by i)),
-k as (select g, ref, su - least(0, min(su) over w) as up, sd - least(0, min(sd) over w) as down from c window w as (partition by g, ref order by i))
-select g as event_type, ref as reference, {_r("max(up)", 3)} as up, {_r("max(down)", 3)} as down from k group by g, ref""", 3)
+k as (select g, i, ref, su - least(0, min(su) over w) as up, sd - least(0, min(sd) over w) as down from c window w as (partition by g, ref order by i))
+select g as event_type, ref as reference, i as idx, {_r("up", 3)} as up, {_r("down", 3)} as down from k""", 3)
 def cusum_batch(spark, folder):
-    found = changepoint.cusum_batch(series(spark, folder), "value", S, [20.0, 60.0], E)
-    return found.groupBy("event_type", "reference").agg(F.max("up").alias("up"), F.max("down").alias("down"))
+    return changepoint.cusum_batch(series(spark, folder), "value", S, [20.0, 60.0], E).drop("x")
+
+
+@query(f"""with {o.EVENTS}, {_FIXED.format(k="12")} select g as event_type, bin::bigint as bin, {_r("(l + r) / 2")} as center, {_r("r - l")} as width, {_r("c / n")} as frequency, {_r("d / max(d) over (partition by g)")} as normalized from (select hist.*, sum(c) over (partition by g) as n from hist)""")
+def hist_bin_values(spark, folder):
+    return histogram.bin_values(histogram.fixed_width(events(spark, folder), "value", 12, E), E).select("event_type", "bin", "center", "width", "frequency", "normalized")
 
 
 @query(f"""with {o.EVENTS}, {_FIXED.format(k="12")} select hist.g as event_type, bin::bigint as bin, count(*) as n from s join hist on s.g = hist.g and x >= l and (x < r or (bin = 11 and x = r)) group by 1, 2""")
@@ -637,16 +709,30 @@ def effect_accessors(spark, folder):
     return found.select("group1", "group2", F.abs(m).alias("size"), is_practically_significant(m, "difference").alias("significant"), favors_second(m).alias("favors_second"))
 
 
-@query()
+@query(f"""{_EWMA}, {o.thinned(_DRIFTS, 3)}, c as (select al.g, al.i, least(1, al.c) as c from al join kept on al.g = kept.g and al.i = kept.i where least(1, al.c) >= 0.5)
+select g as event_type, max(struct_pack(c := c, i := i)).i as idx, {_r("max(c)")} as confidence, 'Drift' as change_type from c group by g""")
 def most_confident_change(spark, folder):
     return changepoint.most_confident(changepoint.confident(changepoint.ewma(series(spark, folder), "value", S, E, multiplier=1.5), 0.5), E)
 
 
-@query()
+@query(f"{_stable_windows(100, 50, stability.DEFAULT)} {_WINDOW_ROWS}")
 def stability_progression(spark, folder):
     return stability.progression(series(spark, folder), "value", S, E, window=100, step=50)
 
 
+@query(f"""with s as (select l_returnflag as g, l_extendedprice::double as x from lineitem), {o.hd("s", [0.25, 0.5])}
+select g as l_returnflag, {", ".join(f'{_r(f"max(case when p = {p} then q end)", 3)} as "l_extendedprice_q{p:.2f}"' for p in (0.25, 0.5))} from h group by g""", 3)
+def quantiles_cached(spark, folder):
+    lines, cache = Robust(load_table(spark, folder, "lineitem", "l_returnflag", "l_extendedprice"), ["l_returnflag"]), QuantileCache(HD, most=64)
+    lines.quantiles_cached("l_extendedprice", [0.5], HD, cache)
+    return lines.quantiles_cached("l_extendedprice", [0.25, 0.5], HD, cache)  # half of its weights are there
+
+
+@query(f"with {o.EVENTS}, {o.deviation('s', 0.5)} select g as event_type, {_r('q')} as value_mad from d")
+def spread_cached(spark, folder):
+    return Robust(events(spark, folder), E).spread_cached("value", "mad", QuantileCache(HD))
+
+
 @query(f"""with {o.EVENTS} select event_type, count(*) as n from (select g as event_type from s) group by 1""")
 def group_sizes(spark, folder):
     return samples.sizes(samples.sample(events(spark, folder), "value", E), E)
