@@ -71,10 +71,11 @@ def weight_table(spark: SparkSession, measured: Measured, ps: Sequence[float], m
     return measured.sizes.select("n").distinct().mapInArrow(make, "n long, p double, rank long, w double")
 
 
-def estimate(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: Method = HD, measured: Measured | None = None, weights: Callable[[int, float], tuple[int, np.ndarray]] | None = None) -> DataFrame:
+def estimate(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: Method = HD, measured: Measured | None = None, weights: Callable[[int, float], tuple[int, np.ndarray]] | None = None, table: DataFrame | None = None) -> DataFrame:
     """groups, n, p, q (the quantile) and m2 (the weighted second moment) for a sample (groups, x). Groups without values have no row.
 
-    measured: the sizes, if a sample of the same sizes was measured before; weights: where the driver gets those of (n, p).
+    measured: the sizes, if a sample of the same sizes was measured before; weights: where the driver gets those of (n, p);
+    table: the weight_table, if there is one already.
     """
     measured = measured or measure(s, groups)
     r = ranked(s, groups, measured.most)
@@ -84,7 +85,8 @@ def estimate(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: M
         r = r.withColumn("n", F.count("*").over(Window.partitionBy(*groups)))
     else:
         r = join_groups(r, measured.sizes, groups)
-    table = weight_table(s.sparkSession, measured, ps, method, weights)
+    if table is None:
+        table = weight_table(s.sparkSession, measured, ps, method, weights)
     weighted = r.join(table, (r["n"] == table["n"]) & (r["rank"] == table["rank"])).select(*(r[g] for g in groups), r["n"], "p", "w", "x")
     return weighted.groupBy(*groups, "n", "p").agg(F.sum(F.col("w") * F.col("x")).alias("q"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("m2"))
 

@@ -4,12 +4,13 @@ A sample is the values of a numeric column, for each group of the group columns,
 follows a policy: raise (the query fails on one), drop, or propagate (NaN counts as the largest value).
 
 Ranks at scale: a window over a whole group sorts it in one task. Above WINDOW_ROWS rows in some group, groups are cut
-at approximate quantiles into slices that different tasks sort, and counts of the slices before give the offset. Equal
-values fall in one slice, so ranks are exact.
+at approximate quantiles into slices that different tasks sort, and counts of the slices before give the offset; slices
+that are still too large are cut again. Equal values fall in one slice, so ranks are exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,8 @@ from steadfast.errors import InvalidColumn, InvalidParameter, TypeMismatch
 
 #: Rows of the largest group up to which a plain window ranks, and rows of a slice beyond that.
 WINDOW_ROWS, SLICE_ROWS = 5_000_000, 1_000_000
+#: Slices that one level cuts a group into at most: so many values go beside each row, and a search looks at twice their root.
+MOST_SLICES = 1000
 
 
 def check_column(df: DataFrame, name: str, numeric: bool = True) -> None:
@@ -51,20 +54,26 @@ def sizes(s: DataFrame, groups: Sequence[str]) -> DataFrame:
     return s.groupBy(*groups).agg(F.count("*").alias("n"))
 
 
-def ranked(s: DataFrame, groups: Sequence[str], most: int | None = None) -> DataFrame:
+def ranked(s: DataFrame, groups: Sequence[str], most: int | None = None, _level: int = 0) -> DataFrame:
     """s with rank, from 1 within its group. most: rows of the largest group, if known; else they are counted."""
     if most is None:
         most = sizes(s, groups).agg(F.max("n")).first()[0] or 0
     if most <= WINDOW_ROWS:
         return s.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy("x")))
-    slices = max(2, most // SLICE_ROWS)
-    cuts = s.groupBy(*groups).agg(F.percentile_approx("x", [k / slices for k in range(1, slices)], 100 * slices).alias("cuts"))
-    more = [c for c in s.columns if c not in (*groups, "x")]
-    placed = join_groups(s, cuts, groups).select(*groups, *more, "x", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("slice"))
-    counts = placed.groupBy(*groups, "slice").agg(F.count("*").alias("c"))
-    before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy(*groups).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    within = placed.withColumn("r", F.row_number().over(Window.partitionBy(*groups, "slice").orderBy("x")))
-    return join_groups(within, before, [*groups, "slice"]).select(*groups, *more, "x", (F.col("r") + F.col("before")).alias("rank"))
+    part, slices = f"_slice{_level}", min(MOST_SLICES, max(2, most // SLICE_ROWS))
+    cuts = s.groupBy(*groups).agg(F.percentile_approx("x", [k / slices for k in range(1, slices)], 100 * slices).alias("_cuts"))
+    stride = max(1, math.isqrt(slices))
+    cuts = cuts.withColumn("_rough", F.transform(F.sequence(F.lit(1), F.size("_cuts"), F.lit(stride)), lambda i: F.element_at("_cuts", i)))
+    under = lambda a: F.size(F.filter(a, lambda c: c < F.col("x")))
+    # how many cuts are below a value: first among every stride-th of them, then within one stride
+    jump = F.greatest(F.lit(0), under("_rough") - 1) * stride
+    placed = join_groups(s, cuts, groups).select(*s.columns, (jump + under(F.slice("_cuts", jump + 1, F.lit(stride)))).alias(part))
+    counts = placed.groupBy(*groups, part).agg(F.count("*").alias("_c"))
+    largest = counts.agg(F.max("_c")).first()[0]
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    # slices that are still too large are cut again, as long as that makes them smaller: equal values stay together
+    within = ranked(placed, [*groups, part], largest if largest < most else min(largest, WINDOW_ROWS), _level + 1)
+    return join_groups(within, before, [*groups, part]).select(*s.columns, (F.col("rank") + F.col("_before")).alias("rank"))
 
 
 def _all(conditions: list[Column]) -> Column:

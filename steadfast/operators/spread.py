@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from steadfast.errors import InvalidParameter
 from steadfast.functions.weights import HD, Method
-from steadfast.operators.quantiles import estimate, measure, one_row, plain_median, wide
+from steadfast.operators.quantiles import estimate, measure, one_row, plain_median, weight_table, wide
 from steadfast.operators.samples import join_groups, ranked, sample, sizes
 
 #: Factors that make MAD and IQR estimate a normal's standard deviation, and 1.4826 as stability uses it.
@@ -77,9 +77,10 @@ def k_optimal(n: Column) -> Column:
 def deviation_quantile(s: DataFrame, groups: Sequence[str], p: float, method: Method = HD, cache=None) -> DataFrame:
     """groups, n, center, value: the p-quantile of absolute deviations from the median, for a sample (groups, x)."""
     measured, weights = measure(s, groups), cache.weights if cache is not None else None
-    center = estimate(s, groups, [0.5], method, measured, weights).select(*groups, F.col("q").alias("center"))
+    table = weight_table(s.sparkSession, measured, [0.5], method, weights)
+    center = estimate(s, groups, [0.5], method, measured, table=table).select(*groups, F.col("q").alias("center"))
     away = join_groups(s, center, groups).select(*groups, F.abs(F.col("x") - F.col("center")).alias("x"))
-    return join_groups(estimate(away, groups, [p], method, measured, weights).select(*groups, "n", F.col("q").alias("value")), center, groups)
+    return join_groups(estimate(away, groups, [p], method, measured, weights, table if p == 0.5 else None).select(*groups, "n", F.col("q").alias("value")), center, groups)
 
 
 def _result(df: DataFrame, groups: Sequence[str], value: Column, name: str) -> DataFrame:
