@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from steadfast import errors
 from steadfast.functions import special
-from steadfast.functions.weights import HD, SIMPLE, THD_LINEAR, THD_SQRT, Method, thd_constant
+from steadfast.functions.weights import HD, SIMPLE, THD_LINEAR, THD_SQRT, Method, thd_constant, thd_function
 from steadfast.operators import changepoint, compare, confidence, effect, histogram, modality, quantiles, samples, shape, signal, spread, stability
 from steadfast.plans import frame
 
@@ -243,6 +243,24 @@ def test_bootstrap_is_the_plain_one(spark):
 # ---------------------------------------------------------------- contracts
 
 
+def test_accessors_of_results(spark):
+    df = two(spark, range(1, 40), range(5, 60))
+    found = confidence.quantile_bootstrap(df, "g", "x", ("a", "b"), [0.25, 0.5, 0.9], resamples=100)
+    assert [r["p"] for r in confidence.median_interval(found).collect()] == [0.5] and confidence.quartile_intervals(found).count() == 2
+    assert [r["width"] == r["upper"] - r["lower"] for r in confidence.bootstrap_summary(found).collect()] == [True] * 3
+    own = confidence.bootstrap(df, "g", "x", ("a", "b"), confidence.mean_statistic, resamples=100, method=lambda v, theta, level: (theta - level, theta + level)).first()
+    assert own["upper"] - own["lower"] == pytest.approx(1.9) and own["estimate"] == pytest.approx(-12)
+    bins = histogram.bin_values(histogram.fixed_width(df, "x", 4, ["g"]), ["g"]).filter("g = 'a'").orderBy("bin").collect()
+    assert sum(b["frequency"] for b in bins) == pytest.approx(1) and max(b["normalized"] for b in bins) == 1 and bins[0]["center"] == pytest.approx(1 + 38 / 8)
+    root, same = quantiles.quantiles(df, "x", [0.3], THD_SQRT, ["g"]), quantiles.quantiles(df, "x", [0.3], thd_function(lambda n: n**-0.5), ["g"])
+    assert [tuple(r) for r in root.orderBy("g").collect()] == [tuple(r) for r in same.orderBy("g").collect()]
+    modes = spark.createDataFrame([("a", 0, 2.0, 0.0, 4.0, 0.1), ("a", 1, 6.0, 4.0, 8.0, 0.2)], "g string, mode int, location double, left_bound double, right_bound double, height double")
+    hit = modality.find_mode(modes, 4.0, ["g"]).first()
+    assert (hit["mode"], hit["width"], hit["relative_position"]) == (0, 4.0, 1.0) and modality.find_mode(modes, 9.0, ["g"]).count() == 0
+    placed = modality.assign_modes(spark.createDataFrame([("a", 5.0), ("a", 9.0)], "g string, x double"), "x", modes, ["g"], position=True).orderBy("x").collect()
+    assert [(r["mode"], r["relative_position"]) for r in placed] == [(1, 0.25), (None, None)]
+
+
 def test_nulls_nan_empty_and_types(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), ("b", None), (None, 5.0)], "g string, x double")
     got = {r["g"]: r["x_q0.50"] for r in quantiles.quantiles(df, "x", [0.5], groups=["g"]).collect()}
@@ -276,6 +294,52 @@ def test_ranks_in_slices_are_exact(spark, monkeypatch):
     assert got["a"] == pytest.approx(plain([v for g, v in rows if g == "a"], 0.5)) and got["b"] == pytest.approx(1)
 
 
+def test_ranks_in_slices_of_slices(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [("a", float(v)) for v in r.normal(0, 1, 4000)] + [("a", 0.5)] * 900 + [("b", float(v)) for v in range(50)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for name, n in (("WINDOW_ROWS", 200), ("SLICE_ROWS", 100), ("MOST_SLICES", 5)):
+        monkeypatch.setattr(samples, name, n)
+    got = samples.ranked(df, ["g"]).toPandas()
+    assert len(got) == len(rows) and list(got.columns) == ["g", "x", "rank"]
+    for _, part in got.groupby("g"):
+        part = part.sort_values("rank")
+        assert part["rank"].tolist() == list(range(1, len(part) + 1)) and part["x"].is_monotonic_increasing
+
+
+def test_ewma_is_the_recursion(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(50, 5, 6000)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "t int, x double")
+    for lam in (0.001, 0.2, 0.97, 1.0):
+        got = changepoint.ewma_statistics(df, "x", ["t"], lam=lam, target=40.0).orderBy("idx").toPandas()["ewma"]
+        want, average = [], 40.0
+        for v in x:
+            average = lam * v + (1 - lam) * average
+            want.append(average)
+        assert got.tolist() == pytest.approx(want, rel=1e-12), lam
+
+
+def test_windows_of_any_step_are_those_of_step_one(spark):
+    r = np.random.default_rng(10)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(r.normal(9, 1, 137))], "t int, x double")
+    every = {w["i"]: w for w in stability.windows(df, "x", ["t"], window=20).collect()}
+    assert sorted(every) == list(range(118))
+    for step in (3, 7, 20, 33):
+        some = {w["i"]: w for w in stability.windows(df, "x", ["t"], window=20, step=step).collect()}
+        assert sorted(some) == list(range(0, 118, step))
+        assert all(w["median"] == pytest.approx(every[i]["median"]) and w["trend"] == pytest.approx(every[i]["trend"]) and w["is_stable"] == every[i]["is_stable"] for i, w in some.items())
+
+
+def test_mann_kendall_counts_pairs(spark):
+    r = np.random.default_rng(12)
+    rows = [(g, i, float(v)) for g, n in (("a", 300), ("b", 65), ("c", 1)) for i, v in enumerate(r.integers(0, 40, n))]
+    got = {x["g"]: x["s"] for x in stability.mann_kendall(spark.createDataFrame(rows, "g string, t int, x double"), "x", ["t"], ["g"]).collect()}
+    for g in "abc":
+        v = np.array([x for h, _, x in rows if h == g])
+        assert got[g] == int(np.sign(v[None, :] - v[:, None])[np.triu_indices(len(v), 1)].sum())
+
+
 def test_plans_stay_in_the_jvm(spark):
     df = column(spark, range(100))
     for plan in (quantiles.quantiles(df, "x", [0.5], groups=["g"]), spread.mad(df, "x", ["g"]), effect.effect_size(df, "g", "x", "cliff_delta"), changepoint.cusum(df, "x", ["t"], ["g"]), changepoint.ewma(df, "x", ["t"], ["g"]), stability.statistical_verdict(df, "x", ["t"], ["g"])):
@@ -294,6 +358,13 @@ def test_one_object(spark):
         r.quantiles_cached("x", [0.5], THD_SQRT, cache)
     with pytest.raises(errors.TypeMismatch):
         r.quantiles_cached("x", [0.5], HD, frame.QuantileCache(HD, "float"))
+    small = frame.QuantileCache(HD, most=1)
+    r.quantiles_cached("x", [0.25, 0.5], HD, small)
+    assert len(small) == 1 and small.misses == 4 and small.hit_rate == 0
+    boot = r.confidence("x", method="bootstrap", resamples=300).orderBy("g").first()
+    assert boot["x_lower"] < 20 < boot["x_upper"]
+    wide = r.confidence("x", method="bootstrap", resamples=50, kind=lambda v, theta, level: (v[0], v[-1])).orderBy("g").first()
+    assert wide["x_lower"] < 20 < wide["x_upper"]
     assert r.confidence("x").columns == ["g", "x_lower", "x_upper"] and r.changepoints("x", ["t"]).columns == ["g", "idx", "confidence", "change_type"]
     assert r.histogram("x", "scott").count() > 2 and r.modality("x").count() >= 2 and frame.Robust(df).effect_size("g", "x", "cles").count() == 1
     got = df.groupBy("g").agg(frame.robust_quantile("x", 0.5).alias("q"), frame.robust_mad("x").alias("m"), frame.robust_iqr("x").alias("i")).orderBy("g").first()
