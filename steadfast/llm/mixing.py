@@ -56,8 +56,9 @@ def source_targets(sizes: DataFrame, *, weights=(1, 2, 3), most: int = MOST_COPI
     all_of = Window.partitionBy()
     rows = rows.withColumn("total", F.sum("source_size").over(all_of).cast("double"))
     # level if every source before this one is capped and this one and those after it are not
-    before, rest = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.sum("weight").over(all_of) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / rest
     rows = rows.withColumn("level", level)
     # the first source that is not above its cap at its level fixes the level of all that follow
     fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
@@ -72,10 +73,11 @@ def inclusion_scale(counts: DataFrame) -> DataFrame:
     counts has source, missing, size, n, one row for each size there is in a source. With the sizes above z certain, c is what
     these leave of the missing words over the sum of s * s * n up to z; the largest z that is then not certain itself is right.
     """
-    by = Window.partitionBy("source").orderBy("size")  # one narrow row for each size
+    of = Window.partitionBy("source")
+    by = of.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)  # one narrow row for each size
     sums = counts.filter("size > 0 and missing > 0").withColumn("words", (F.col("size") * F.col("n")).cast("decimal(38,0)"))
-    upto = F.sum((F.col("words") * F.col("size")).cast("decimal(38,0)")).over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
-    above = F.coalesce(F.sum("words").over(by.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).cast("double")
+    upto = F.sum((F.col("words") * F.col("size")).cast("decimal(38,0)")).over(by).cast("double")
+    above = (F.sum("words").over(of) - F.sum("words").over(by)).cast("double")
     scale = (F.col("missing") - above) / upto
     return sums.select("source", "size", scale.alias("scale")).filter("scale > 0 and scale * size < 1").groupBy("source").agg(F.max(F.struct("size", "scale")).alias("s")).select("source", "s.scale")
 
