@@ -16,12 +16,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the repetition rule reject go."""
+    """Documents that the base rules or the repetition rule reject go: null and empty texts, too, as they have under 50 words.
+
+    Rows are judged one by one, however long or often repeated; an empty table gives no row.
+    """
     return quality_rules.keep_documents(docs.select(*COLUMNS))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines of 50 words or more go from the texts; texts of which nothing is left go as well."""
+    """Later copies of runs of lines of 50 words or more go from the texts; texts of which nothing is left go as well.
+
+    Rows with a null id or text stay as they are; rows that repeat id and text are one document and get the same text; n_chars
+    follows the text where that was changed. A long text is split by lines; an empty table gives no row.
+    """
     kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
     whole = (F.col("n_removed") == 0) | (F.col("text") != "")
     return kept.filter(whole).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -55,7 +62,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the bytes decoded from them, for each row."""
+    """doc_id, n_tokens and digests of the ids and of the bytes decoded from them, for each row.
+
+    Null texts count as empty; null ids and repeated rows are kept; memory follows the longest text; an empty table gives no row.
+    """
     return byte_bpe.digest_documents(docs.select("doc_id", "text"), *byte_bpe.vocabulary())
 
 
