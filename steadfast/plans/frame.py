@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import logging
-import time
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
-from contextlib import contextmanager
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,9 +14,7 @@ from steadfast.errors import InvalidParameter, TypeMismatch
 from steadfast.functions.weights import HD, Method, check_probability
 from steadfast.operators import changepoint, compare, confidence, effect, histogram, modality, quantiles, shape, spread, stability
 from steadfast.operators.samples import check_column
-
-LOG = logging.getLogger("steadfast")
-
+from steadfast.plans.events import EVENTS, MATCHES, SEGMENT_CLASSES, STABILITY, Context, Events, Metrics, Pairing, TimeRange, ignore, logging_handler
 
 class QuantileCache:
     """Weights of one method (and, if given, for columns of one type), kept by (n, p), with counts of what was there and what was made.
@@ -182,50 +176,4 @@ def custom_statistic(f: Callable[[np.ndarray], float]) -> Callable[[Column | str
     """Own location or spread: f of a sorted array, as a Column function."""
     return _column(f)
 
-
-# ------------------------------------------------------------------ events
-
-
-@dataclass(frozen=True)
-class TimeRange:
-    start: int
-    end: int
-
-    def overlaps(self, other: TimeRange) -> bool:
-        return self.start < other.end and other.start < self.end
-
-
-SEGMENT_CLASSES = ("Ramp", "Plateau", "Oscillatory", "Transient", "Unknown")
-
-
-class Events:
-    """Named events to handlers; each handler is a callable of a name and a dict. Stages are timed and shown as Spark job groups."""
-
-    def __init__(self, enabled: bool = True):
-        self.enabled, self.handlers, self.counts, self.seconds = enabled, [], {}, {}
-
-    def register(self, handler: Callable[[str, dict], None]) -> None:
-        self.handlers.append(handler)
-
-    def emit(self, name: str, **data) -> None:
-        if self.enabled:
-            self.counts[name] = self.counts.get(name, 0) + 1
-            for h in self.handlers:
-                h(name, data)
-
-    @contextmanager
-    def stage(self, df: DataFrame, name: str):
-        context = df.sparkSession.sparkContext
-        context.setJobGroup(name, name)
-        began = time.monotonic()
-        self.emit("StageStarted", stage=name)
-        try:
-            yield
-        finally:
-            self.seconds[name] = self.seconds.get(name, 0.0) + time.monotonic() - began
-            self.emit("StageEnded", stage=name, seconds=self.seconds[name])
-            context.setLocalProperty("spark.jobGroup.id", None)
-
-
-def logging_handler(name: str, data: dict) -> None:
-    LOG.info("%s %s", name, data)
+__all__ = ["EVENTS", "MATCHES", "SEGMENT_CLASSES", "STABILITY", "Context", "Events", "Metrics", "Pairing", "QuantileCache", "Robust", "TimeRange", "custom_statistic", "ignore", "logging_handler", "robust_iqr", "robust_mad", "robust_quantile"]

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="steadfast-")
+    """A new folder under the one that the cluster names in spark.checkpoint.dir; a temporary one where it is unset on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="steadfast-")
     return f"{shared}/stream-{uuid.uuid4().hex}"
 
 

@@ -376,6 +376,25 @@ def test_one_object(spark):
     assert seen == ["StageStarted", "StageEnded"] and events.seconds["count"] > 0
 
 
+def test_events_and_contexts(spark):
+    df = column(spark, range(10))
+    events, metrics, errors_seen = frame.Events(), frame.Metrics(), []
+    events.register(metrics), events.register(lambda n, d: errors_seen.append(d["stage"]), ["PipelineError"]), events.register(frame.ignore)
+    with events.run():
+        observed, done = events.observe(df, "load", rows=F.count("*"), most=F.max("x"))
+        with events.stage(df, "load"):
+            observed.write.format("noop").mode("overwrite").save()
+        assert done() == {"rows": 10, "most": 9.0}
+    with pytest.raises(ZeroDivisionError), events.run(), events.stage(df, "break"):
+        1 / 0
+    assert errors_seen == ["break"] and metrics.sums["DataProcessed", "rows"] == 10 and metrics.counts["PipelineStarted"] == 2 and metrics.counts["PipelineCompleted"] == 1
+    a, b = events.context.sides()
+    assert a.parent == b.parent == events.context.trace and a.trace != b.trace and (a.metadata["comparison_side"], b.metadata["comparison_side"]) == ("A", "B")
+    assert set(events.counts) - {"StageStarted", "StageEnded"} <= set(frame.EVENTS) and len(frame.EVENTS) == 21
+    one, two_ = frame.TimeRange(0, 10), frame.TimeRange(5, 9)
+    assert frame.Pairing.of(one, one).match == "Exact" and frame.Pairing.of(one, two_).confidence == 0.4 and frame.Pairing.of(one, frame.TimeRange(10, 12), True).match == "Sequential" and len(two_) == 4
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.floats(-1e3, 1e3), min_size=2, max_size=40), st.floats(0.01, 0.99), st.floats(0.1, 10), st.floats(-100, 100))
 def test_quantiles_move_with_their_data(x, p, scale, shift):
