@@ -13,7 +13,6 @@ import base64
 import hashlib
 import heapq
 import itertools
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -170,7 +169,7 @@ def cut_text(text: str, block: int = BLOCK) -> Iterator[str]:
     if len(text) <= block:
         yield text
         return
-    start, place = 0, re.compile(r"(?<=\S)(?=\s)")
+    start, place = 0, regex.compile(r"(?<=\S)(?=\s)")  # white space as in the pattern, which is of the same module
     while start < len(text):
         found = place.search(text, start + block) if start + block < len(text) else None
         stop = found.start() if found else len(text)
