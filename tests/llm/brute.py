@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,3 +99,42 @@ def dedup(docs, min_words=50):
 
 def sha(raw):
     return hashlib.sha256(raw if isinstance(raw, bytes) else raw.encode()).hexdigest()
+
+
+def crc16(raw):
+    c = 0xFFFF
+    for byte in raw:
+        for k in range(7, -1, -1):
+            c = (c << 1 ^ (0x8005 if (c >> 15) ^ (byte >> k & 1) else 0)) & 0xFFFF
+    return c
+
+
+def audio(payload):
+    """The stored form of a payload, put together from the format's description, and how many frames it has."""
+    kbits = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+    safe = lambda n: bytes(n >> s & 127 for s in (21, 14, 7, 0))
+
+    def frame(index, content):
+        head = bytes([0xFF, 0xFA, index * 16 + 8, 0xC4])
+        whole = head + crc16(head[2:] + bytes(17)).to_bytes(2, "big") + bytes(17) + content
+        return whole + bytes(kbits[index - 1] * 9 // 2 - len(whole))
+
+    parts = [payload[k : k + 1417] for k in range(0, len(payload), 1417)]
+    frames = [frame(next(i for i in range(1, 15) if kbits[i - 1] * 9 // 2 - 23 >= len(x)), x) for x in parts]
+    places = [432 + sum(map(len, frames[:k])) for k in range(len(frames))]
+    total = 432 + sum(map(len, frames))
+    toc = bytes(min(255, 256 * places[len(frames) * i // 100] // total) for i in range(100))
+    table = frame(7, b"Xing" + b"".join(n.to_bytes(4, "big") for n in (7, len(frames), total)) + toc)
+    tag = b"bytes\0" + len(payload).to_bytes(8, "big") + zlib.crc32(payload).to_bytes(4, "big")
+    body = b"PRIV" + safe(len(tag)) + bytes(2) + tag
+    return b"ID3\x04\0\0" + safe(len(body)) + body + table + b"".join(frames), len(frames)
+
+
+def winners(pages, scored):
+    """Each host's path with the most votes; pages are (host, page), scored gives a page's scores by path."""
+    votes = {}
+    for host, page in pages:
+        found = scored(page)
+        for path, x in found.items():
+            votes.setdefault(host, Counter())[path] += round(1_000_000 * x / max(found.values()))
+    return {host: max(v.items(), key=lambda x: (x[1], x[0]))[0] for host, v in votes.items()}

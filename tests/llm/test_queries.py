@@ -7,7 +7,7 @@ import zlib
 import duckdb
 import pytest
 
-from steadfast.llm import license_scan
+from steadfast.llm import html_consensus, license_scan, pii_crf
 from steadfast.llm.queries import QUERIES, SQL
 
 from . import brute
@@ -81,6 +81,9 @@ def test_op8(spark, folder):
         raw = (folder[1][i] or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), brute.sha(payload), zlib.crc32(payload[-64:]))
+        media, frames = brute.audio(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), brute.sha(media))
+        assert f"layer=3;rate=32000;channels=1;frames={frames};samples={1152 * frames};" in r["feature"] and f"crc_ok={frames + 1};crc_bad=0;junk=0;" in r["feature"]
 
 
 def test_op9(spark, folder):
@@ -92,7 +95,70 @@ def test_op9(spark, folder):
         assert set(written) <= set(r["spans"].split(",") if r["spans"] else [])
 
 
+def test_op9_spans_by_plain_decoding(spark, folder):
+    import numpy as np
+
+    field = pii_crf.Field(*pii_crf.default_field())
+    for i, r in run(spark, folder, "op9_pii_crf").items():
+        text, at = folder[1][i] or "", 0
+        spans = plain_base(text)
+        taken = [(a, b) for a, _, b in spans]
+        for line in text.split("\n"):
+            words = [(m[0], at + m.start(), at + m.end()) for m in brute.WORD.finditer(line)]
+            at += len(line) + 1
+            if not words:
+                continue
+            ids = [field.edge, *(field.number(w.encode()) for w, _, _ in words), field.edge]  # every line, without the bound
+            e = np.array([field.own[b] + field.left[a] + field.right[c] for a, b, c in zip(ids, ids[1:], ids[2:], strict=False)])
+            labels = field.viterbi(e[None], np.array([len(words)]))[0].tolist()
+            k = 0
+            while k < len(labels):
+                j = next((j for j in range(k, len(labels)) if labels[j] != labels[k]), len(labels))
+                if labels[k]:
+                    a, b = words[k][1], words[j - 1][2]
+                    b -= len(text[a:b]) - len(text[a:b].rstrip(".,;:!?\"'>|#*%&$"))
+                    a += len(text[a:b]) - len(text[a:b].lstrip("\"'<|"))
+                    name = pii_crf.LABELS[labels[k]]
+                    if a < b and pii_crf.plausible(name, text[a:b]) and all(b <= x or y <= a for x, y in taken):
+                        spans.append((a, pii_crf.KINDS.index(name), b))
+                k = j
+        assert r["spans"] == ",".join(f"{pii_crf.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)), text
+
+
+def test_op1_against_all_templates_on_whole_texts(spark, folder):
+    r = random.Random(4)
+    names = [(n, t) for n, t in license_scan.TEMPLATES]
+    scanner = license_scan.Scanner()
+    templates = [t for group in scanner.classes.values() for t in group]
+    texts = [t or "" for t in folder[1].values()] + [" thth onre ".join(r.choice(names)[1].replace("<holder>", "Acme") for _ in range(r.choice([1, 2, 3]))) for _ in range(20)]
+    for text in texts:
+        words = [(m[0].lower(), m.start(), m.end()) for m in license_scan.WORD.finditer(text)]
+        found = {(words[a][1], words[b][2], t.name, len(d)) for t in templates for a, b, d in license_scan._confirm(t.words, [w for w, _, _ in words])}
+        kept = []
+        for x in sorted(found, key=lambda x: (x[0] - x[1], x[3], x[2])):
+            if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
+                kept.append(x)
+        assert [(a, b, n, k) for a, b, n, _, k, _ in scanner.scan(text)] == sorted(kept), text
+
+
 def test_op10(spark, folder):
     got = run(spark, folder, "op10_html_consensus")
     assert got[0]["text"] == got[2]["text"] == "Head &amp; tail\nOne two three\nFour five six.\na\nb" and got[9]["text"] == "" and got[10]["text"] == "only text"
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+def test_op10_votes_by_plain_counting(spark, tmp_path):
+    r = random.Random(9)
+    rows = []
+    for i in range(60):
+        host = r.choice(["a.org", "b.org", "c.org"])
+        boxes = [f"<div class='{c}{i}'>" + "<p>some running text in here</p>" * r.choice([1, 3, 9]) + "</div>" for c in ("alpha", "beta", "gamma")]
+        rows.append((i, f"http://{host}/{i}", "<body>" + "".join(r.sample(boxes, r.choice([1, 2, 3]))) + "</body>"))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    parsed = {i: html_consensus.parse(x) for i, _, x in rows}
+    won = brute.winners([(u.split("/")[2], parsed[i]) for i, u, _ in rows], html_consensus.scores)
+    want = {i: html_consensus.extract(parsed[i], won[u.split("/")[2]]) for i, u, _ in rows}
+    got = {x["page_id"]: x["text"] for x in QUERIES["op10_html_consensus"](spark, str(tmp_path)).collect()}
+    assert got == want
+    alone = {i: html_consensus.extract(parsed[i], None) for i, _, _ in rows}
+    assert sum(alone[i] != want[i] for i in want) > 5  # without the votes the pages would choose otherwise
