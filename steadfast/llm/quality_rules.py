@@ -23,8 +23,8 @@ SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: Base rule: fewer words fail, and so do more repeated words in a hundred.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The method's limits: words from which a repeat counts, hundredths of the words covered by repeats, words of the longest repeat.
-#: They are published ones, not fitted: 12 hundredths for repeated 8-grams (MassiveText), where the first copy doesn't count, are 24
-#: with it; exact substrings of 50 tokens count as copies in deduplication of training data.
+#: They follow published ones: 12 hundredths for repeated 8-grams (MassiveText), read as 24 since the first copy counts here, which
+#: was decided with counts of labelled documents in view (see README); 50 tokens for exact copies in deduplication of training data.
 MIN_REPEAT, MOST_COVERED, LONGEST = 8, 24, 50
 #: Words of a block; a text with more is a block of its own.
 BLOCK = 200_000
