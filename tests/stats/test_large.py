@@ -25,3 +25,21 @@ def test_weights_by_the_density_are_differences_of_betainc():
         first, w = HD.weights(n, p)
         plain = np.diff(betainc((n + 1) * p, (n + 1) * (1 - p), np.arange(first - 1, first + len(w)) / n))
         assert np.abs(plain - w).max() < 1e-10
+
+
+def test_modes_of_large_groups(spark):
+    """Two groups of 300,000 values, two hills and one: a hundred quantiles of each."""
+    from pyspark.sql import functions as F
+
+    from steadfast.operators.modality import assign_modes, lowland_modes
+
+    _weights.cache_clear()
+    u = (F.col("id") % 150_000 + 0.5) / 150_000
+    hill = F.log(u / (1 - u))
+    df = spark.range(600_000).select((F.col("id") % 2).alias("g"), F.col("id"), hill.alias("x")).withColumn("x", F.col("x") + F.when((F.col("g") == 0) & (F.col("id") >= 300_000), 40.0).otherwise(0.0))
+    began = time.monotonic()
+    modes = lowland_modes(df, "x", ["g"]).collect()
+    assert sorted((r["g"], r["mode"]) for r in modes) == [(0, 0), (0, 1), (1, 0)]
+    placed = assign_modes(df, "x", spark.createDataFrame(modes), ["g"]).groupBy("g", "mode").count().collect()
+    assert sum(r["count"] for r in placed) == 600_000
+    assert time.monotonic() - began < 90
