@@ -85,10 +85,13 @@ class OnlineStability:
 
 
 class OnlineTracker:
-    """Verdicts of the last `window` values, after each one, and how many in a row are stable."""
+    """Verdicts of the last `window` values, after each one, and how many in a row are stable.
 
-    def __init__(self, window: int = 50, parameters: Parameters = DEFAULT, method: Method = THD_SQRT, state: tuple | None = None):
-        self.window, self.p, self.method = window, parameters, method
+    zero_cv: the cv of a window whose median and spread are both 0; with inf it isn't stable.
+    """
+
+    def __init__(self, window: int = 50, parameters: Parameters = DEFAULT, method: Method = THD_SQRT, state: tuple | None = None, zero_cv: float = 0.0):
+        self.window, self.p, self.method, self.zero_cv = window, parameters, method, zero_cv
         self.run, values = state or (0, [])
         self.values = deque(values, window)
 
@@ -103,7 +106,7 @@ class OnlineTracker:
         p, v = self.p, np.array(self.values)
         center = _median(v, self.method)
         spread = STABILITY_FACTOR * _median(np.abs(v - center), self.method)
-        cv = spread / abs(center) if abs(center) > 1e-10 else 0.0 if spread < 1e-10 else float("inf")
+        cv = spread / abs(center) if abs(center) > 1e-10 else self.zero_cv if spread < 1e-10 else float("inf")
         t = np.arange(self.window) - (self.window - 1) / 2
         trend = abs(float(t @ v) / float(t @ t)) if self.window > 1 else 0.0
         good = self.window >= p.min_samples and cv <= p.max_cv and trend <= p.max_trend
@@ -156,7 +159,7 @@ def stream_stability(df: DataFrame, key: str, column: str, order: Sequence[str],
     return _stream(df, key, column, order, reset, make, lambda d, x: d.add(x), "cv double, trend double, is_stable boolean, status string", "n long, mean double, m2 double, sxy double, run long", expire_ms)
 
 
-def stream_tracker(df: DataFrame, key: str, column: str, order: Sequence[str], *, window: int = 50, parameters: Parameters = DEFAULT, reset: str | None = None, method: Method = THD_SQRT, expire_ms: int | None = None) -> DataFrame:
-    """key, order columns, x, is_stable, run, status for each row of a stream: of the window that ends with it."""
-    make = lambda s: OnlineTracker(window, parameters, method, s)
+def stream_tracker(df: DataFrame, key: str, column: str, order: Sequence[str], *, window: int = 50, parameters: Parameters = DEFAULT, reset: str | None = None, method: Method = THD_SQRT, expire_ms: int | None = None, zero_cv: float = 0.0) -> DataFrame:
+    """key, order columns, x, is_stable, run, status for each row of a stream: of the window that ends with it; zero_cv as in OnlineTracker."""
+    make = lambda s: OnlineTracker(window, parameters, method, s, zero_cv)
     return _stream(df, key, column, order, reset, make, lambda d, x: d.add(x), "is_stable boolean, run long, status string", "run long, values array<double>", expire_ms)

@@ -1,7 +1,9 @@
 """What only shows on large groups."""
 
+import datetime
 import time
 
+import duckdb
 import numpy as np
 
 from steadfast.functions.special import betainc
@@ -43,3 +45,16 @@ def test_modes_of_large_groups(spark):
     placed = assign_modes(df, "x", spark.createDataFrame(modes), ["g"]).groupBy("g", "mode").count().collect()
     assert sum(r["count"] for r in placed) == 600_000
     assert time.monotonic() - began < 90
+
+
+def test_stream_tracker_on_windows_of_zeros_is_as_its_sql(spark, tmp_path):
+    from steadfast.plans import queries
+
+    begin = datetime.datetime(2024, 1, 1)
+    values = [float(k % 7 + 1) for k in range(30)] + [0.0] * 70 + [float(k % 5 + 1) for k in range(60)]
+    rows = [(k, begin + datetime.timedelta(seconds=k), 1, "a", v, "") for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, queries.QUERIES["stream_tracker"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.sql(queries.SQL["stream_tracker"]).fetchall())
