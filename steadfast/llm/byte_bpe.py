@@ -27,7 +27,7 @@ BITS = 256
 ONE = [1 << b for b in range(BITS)]
 #: Encoded matches that a worker remembers in each of two generations, and the longest match it does: when the young
 #: generation is full the old one is forgotten, and what is still in use moves on to the next.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+REMEMBERED, REMEMBERED_CHARS = 200_000, 64
 #: Characters of a text that are encoded at once; cut only where white space follows something else, where no match goes across.
 BLOCK = 1_000_000
 
@@ -51,6 +51,8 @@ class Codec:
         self.known: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.decimal = {r: str(r) for r in self.tokens}
+        #: One int object for each rank, so that remembered ids hold none of their own.
+        self.shared = {r: r for r in self.tokens}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one match.
@@ -132,9 +134,9 @@ class Codec:
                 first[r] = len(place)
                 place.append(at)
                 after.append(head)
-        ids, i = [], 0
+        ids, i, shared = [], 0, self.shared
         while i < n:
-            ids.append(token[i])
+            ids.append(shared[token[i]])
             i = end[i]
         return tuple(ids)
 
@@ -240,6 +242,7 @@ def _per_text(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_
             for at in range(0, batch.num_rows, 1000):
                 rows = [f(c, x.as_py() if x.is_valid else "") for x in of[at : at + 1000]]
                 yield pa.RecordBatch.from_arrays([ids[at : at + 1000], *(pa.array([r[n] for r in rows], k) for n, k in zip(names[1:], kinds, strict=True))], names=names)
+        c.old = {}  # the worker goes on to other work
 
     return small_batches(docs).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
