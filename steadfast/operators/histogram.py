@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from steadfast.errors import InvalidParameter
 from steadfast.functions.weights import HD, Method
-from steadfast.operators.quantiles import estimate
-from steadfast.operators.samples import _all, join_groups, ranked, sample, sizes
+from steadfast.operators.quantiles import estimate_counted, measure
+from steadfast.operators.samples import _all, counted, join_groups, ranked, sample, sizes
 
 EDGE = 1e-10
 
@@ -80,22 +80,28 @@ def exponential_steps(k: int) -> list[float]:
     return [*whole, *(1 - whole[h - i] for i in range(1, h)), 1.0]
 
 
-def with_edges(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: Method) -> DataFrame:
-    """Bins between the quantiles at ps, equal edges once; values counted anew, the last bin closed."""
-    edges = estimate(s, groups, sorted(set(ps)), method)
+def with_edges(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: Method, n_of: DataFrame | None = None) -> DataFrame:
+    """Bins between the quantiles at ps, equal edges once; values counted anew, the last bin closed.
+
+    n_of: groups and n of the groups that are wanted; else all are.
+    """
+    n_of = n_of if n_of is not None else sizes(s, groups)
+    values = counted(s, groups)
+    edges = estimate_counted(join_groups(values, n_of, groups), groups, sorted(set(ps)), measure(s, groups, n_of), method)
     edges = edges.groupBy(*groups, "n").agg(F.sort_array(F.collect_list("q")).alias("e"))
     kept = F.aggregate("e", F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) > 0) & (x - F.element_at(a, -1) < EDGE), a).otherwise(F.concat(a, F.array(x))))
     edges = edges.withColumn("e", kept).withColumn("e", F.when(F.size("e") == 1, F.array(F.col("e")[0], F.col("e")[0] + 1)).otherwise(F.col("e")))
+    edges = edges.hint("rebalance")  # an exchange with the same columns for counts and bins is made once, and so are the quantiles below it
     k = F.size("e") - 1
     # how many edges are not above a value: first among every stride-th of them, then within one stride
     stride = max(1, math.isqrt(len(ps)))
-    edges = edges.withColumn("rough", F.transform(F.sequence(F.lit(1), F.size("e"), F.lit(stride)), lambda i: F.element_at("e", i)))
+    rough = edges.withColumn("rough", F.transform(F.sequence(F.lit(1), F.size("e"), F.lit(stride)), lambda i: F.element_at("e", i)))
     jump = F.greatest(F.lit(0), F.size(F.filter("rough", lambda x: x <= F.col("x"))) - 1) * stride
     below = jump + F.size(F.filter(F.slice("e", jump + 1, F.lit(stride)), lambda x: x <= F.col("x"))) - 1
-    counts = join_groups(s.groupBy(*groups, "x").agg(F.count("*").alias("c")), edges, groups)
-    counts = counts.select(*groups, F.greatest(F.lit(0), F.least(below, k - 1)).alias("bin"), "c").groupBy(*groups, "bin").agg(F.sum("c").alias("count"))
+    counts = join_groups(values, rough, groups)
+    counts = counts.select(*groups, "n", F.greatest(F.lit(0), F.least(below, k - 1)).alias("bin"), "c").groupBy(*groups, "n", "bin").agg(F.sum("c").alias("count"))
     bins = edges.select(*groups, "n", F.posexplode(F.transform(F.sequence(F.lit(1), k), lambda i: F.struct(F.element_at("e", i).alias("left"), F.element_at("e", i + 1).alias("right")))).alias("bin", "b"))
-    found = join_groups(bins.select(*groups, "n", "bin", "b.left", "b.right"), counts, [*groups, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    found = join_groups(bins.select(*groups, "n", "bin", "b.left", "b.right"), counts, [*groups, "n", "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return found.select(*groups, "bin", "left", "right", "count", (F.col("count") / (F.col("n") * (F.col("right") - F.col("left")))).alias("density"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steadfast.functions.weights import HD, Method
-from steadfast.operators.histogram import qrde, uniform_steps
+from steadfast.operators.histogram import uniform_steps, with_edges
 from steadfast.operators.samples import join_groups, sample
 
 SENSITIVITY, PRECISION = 0.5, 1 / 101
@@ -80,12 +80,8 @@ def lowland_modes(df: DataFrame, column: str, groups: Sequence[str] = (), *, sen
     """groups, mode, location, left_bound, right_bound, height: a row for each mode; groups of fewer than 2 or of equal values have none."""
     sensitivity, precision = min(max(sensitivity, 0.0), 1.0), min(max(precision, 0.001), 1.0)
     s = sample(df, column, groups)
-    wide = s.groupBy(*groups).agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("reach")).filter("n >= 2 and reach >= 1e-9").drop("n", "reach")
-    if groups:
-        s = join_groups(s, wide, groups)
-    elif wide.count() == 0:
-        s = s.limit(0)
-    hist = qrde(s, "x", steps(round(1 / precision)), groups, method=method)
+    wide = s.groupBy(*groups).agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("reach")).filter("n >= 2 and reach >= 1e-9").drop("reach")
+    hist = with_edges(s, groups, steps(round(1 / precision)), method, wide)
     fields = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
     schema = f"{fields}{', ' if groups else ''}mode int, location double, left_bound double, right_bound double, height double"
     one = hist.withColumn("_all", F.lit(1)) if not groups else hist

@@ -2,10 +2,13 @@
 
 The weights depend on (method, n, p) only. They are a dimension table (n, p, rank, w) that meets the ranked sample in
 an equi-join, so any number of ps costs one ranking of the data, and the sums are ordinary aggregates in the JVM.
+
+For many ps, estimate_counted ranks each value once with its count, and a row of its table has the weights of many ranks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +25,8 @@ from steadfast.operators.samples import _all, join_groups, ranked, sample, sizes
 
 #: Distinct group sizes whose weights the driver makes, and rows of the table it makes; beyond, executors make them.
 DRIVER_SIZES, DRIVER_ROWS = 2_000, 2_000_000
+#: Ranks whose weights a row of cell_table holds, tasks that make it beyond the driver's bounds, and weights up to which it is broadcast.
+CELL, CELL_TASKS, BROADCAST_WEIGHTS = 1024, 24, 30_000_000
 
 PERCENTILES = tuple(k / 100 for k in range(1, 100))
 DECILES = tuple(k / 10 for k in range(1, 10))
@@ -46,20 +51,25 @@ class Measured:
     known: list[int] | None
 
 
-def measure(s: DataFrame, groups: Sequence[str]) -> Measured:
-    n_of = sizes(s, groups)
+def measure(s: DataFrame, groups: Sequence[str], n_of: DataFrame | None = None) -> Measured:
+    """n_of: groups and n, if they are not to be counted in s."""
+    n_of = n_of if n_of is not None else sizes(s, groups)
     known = sorted(r[0] for r in n_of.select("n").distinct().limit(DRIVER_SIZES + 1).collect())
     if len(known) <= DRIVER_SIZES:
         return Measured(n_of, known[-1] if known else 0, known)
     return Measured(n_of, n_of.agg(F.max("n")).first()[0], None)
 
 
+def _most_weights(known: Sequence[int], ps: Sequence[float]) -> int:
+    """A band of weights is some 20 standard deviations of a rank wide at most."""
+    return sum(min(n, 20 * int(max(n, 1) ** 0.5) + 120) for n in known) * len(ps)
+
+
 def weight_table(spark: SparkSession, measured: Measured, ps: Sequence[float], method: Method = HD, weights: Callable[[int, float], tuple[int, np.ndarray]] | None = None) -> DataFrame:
     """(n, p, rank, w) for the sizes of groups. Broadcast only if the driver made it within its bounds, from `weights` if given."""
     ps = [check_probability(p) for p in ps]
     known = measured.known
-    # a weight band is some 20 standard deviations of a rank wide at most
-    if known is not None and sum(min(n, 20 * int(max(n, 1) ** 0.5) + 120) for n in known) * len(ps) <= DRIVER_ROWS:
+    if known is not None and _most_weights(known, ps) <= DRIVER_ROWS:
         return F.broadcast(spark.createDataFrame(_rows(weights or method.weights, known, ps), "n long, p double, rank long, w double"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +101,46 @@ def estimate(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: M
     return weighted.groupBy(*groups, "n", "p").agg(F.sum(F.col("w") * F.col("x")).alias("q"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("m2"))
 
 
+def _cells(method: Method, n: int, ps: Sequence[float]) -> pa.RecordBatch:
+    """(n, p, _cell, _base, _sums): the weights of the ranks after base in one cell, summed from 0 on."""
+    rows = []
+    for p in ps:
+        first, w = method.weights(n, p)
+        base, end = first - 1, first - 1 + len(w)
+        for cell in range(base // CELL, (end - 1) // CELL + 1):
+            a, b = max(base, cell * CELL), min(end, (cell + 1) * CELL)
+            rows.append((n, p, cell, a, np.concatenate([[0.0], np.cumsum(w[a - base : b - base])])))
+    kinds = {"n": pa.int64(), "p": pa.float64(), "_cell": pa.int64(), "_base": pa.int64(), "_sums": pa.list_(pa.float64())}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+
+def cell_table(spark: SparkSession, measured: Measured, ps: Sequence[float], method: Method = HD) -> DataFrame:
+    """The weights of weight_table, a row for each p and cell of ranks. Broadcast only if there are few."""
+    ps, known = [check_probability(p) for p in ps], measured.known
+    most = _most_weights(known, ps) if known is not None else math.inf
+    if known and most <= DRIVER_ROWS:
+        return F.broadcast(spark.createDataFrame(pa.Table.from_batches([_cells(method, n, ps) for n in known])))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield _cells(method, n, [p])
+
+    each = measured.sizes.select("n").distinct().select("n", F.explode(F.array(*map(F.lit, ps))).alias("p")).repartition(CELL_TASKS, "n", "p")
+    table = each.mapInArrow(make, "n long, p double, _cell long, _base long, _sums array<double>")
+    return F.broadcast(table) if most <= BROADCAST_WEIGHTS else table.hint("merge")
+
+
+def estimate_counted(counts: DataFrame, groups: Sequence[str], ps: Sequence[float], measured: Measured, method: Method = HD) -> DataFrame:
+    """groups, n, p and q of counts (groups, n, x, c): each value once, with the sum of the weights of its ranks."""
+    r = ranked(counts, groups, measured.most, times="c")  # at most so many rows
+    r = r.withColumn("_cell", F.explode(F.sequence(F.expr(f"(rank - c) div {CELL}"), F.expr(f"(rank - 1) div {CELL}"))))
+    table = cell_table(counts.sparkSession, measured, ps, method)
+    met = r.join(table, (r["n"] == table["n"]) & (r["_cell"] == table["_cell"])).select(*(r[g] for g in groups), r["n"], "p", "x", "_sums", (F.col("rank") - F.col("_base")).alias("_to"), (F.col("rank") - F.col("c") - F.col("_base")).alias("_from"))
+    ends = F.greatest(F.lit(0), F.col("_from")).cast("int"), F.least(F.size("_sums") - 1, F.col("_to")).cast("int")
+    return met.filter(ends[0] < ends[1]).groupBy(*groups, "n", "p").agg(F.sum((F.get("_sums", ends[1]) - F.get("_sums", ends[0])) * F.col("x")).alias("q"))
+
+
 def wide(s: DataFrame, groups: Sequence[str], ps: Sequence[float], method: Method = HD, names: Sequence[str] | None = None, **known) -> DataFrame:
     """groups, n and a column for each p: one row for each group."""
     names = names or [f"q{k}" for k in range(len(ps))]
@@ -134,4 +184,4 @@ def quantile_table(df: DataFrame, column: str, ps: Sequence[float], method: Meth
     return estimate(sample(df, column, groups, nan_policy=nan_policy), groups, ps, method).withColumnsRenamed({"q": "value", "m2": "second_moment"})
 
 
-__all__ = ["DECILES", "PERCENTILES", "QUARTILES", "_all", "estimate", "measure", "plain_median", "quantile_table", "quantiles", "weight_table", "wide"]
+__all__ = ["DECILES", "PERCENTILES", "QUARTILES", "_all", "estimate", "estimate_counted", "measure", "plain_median", "quantile_table", "quantiles", "weight_table", "wide"]

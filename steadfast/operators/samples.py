@@ -54,12 +54,21 @@ def sizes(s: DataFrame, groups: Sequence[str]) -> DataFrame:
     return s.groupBy(*groups).agg(F.count("*").alias("n"))
 
 
-def ranked(s: DataFrame, groups: Sequence[str], most: int | None = None, _level: int = 0) -> DataFrame:
-    """s with rank, from 1 within its group. most: rows of the largest group, if known; else they are counted."""
+def counted(s: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """groups, x, c: each value of a group once, and how often it is there."""
+    return s.groupBy(*groups, "x").agg(F.count("*").alias("c"))
+
+
+def ranked(s: DataFrame, groups: Sequence[str], most: int | None = None, _level: int = 0, *, times: str | None = None) -> DataFrame:
+    """s with rank, from 1 within its group. most: rows of the largest group, if known; else they are counted.
+
+    times: a column that says how often a row counts; its rank is that of its last copy then.
+    """
     if most is None:
         most = sizes(s, groups).agg(F.max("n")).first()[0] or 0
     if most <= WINDOW_ROWS:
-        return s.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy("x")))
+        by = Window.partitionBy(*groups).orderBy("x")
+        return s.withColumn("rank", F.sum(times).over(by.rowsBetween(Window.unboundedPreceding, 0)) if times else F.row_number().over(by))
     part, slices = f"_slice{_level}", min(MOST_SLICES, max(2, most // SLICE_ROWS))
     cuts = s.groupBy(*groups).agg(F.percentile_approx("x", [k / slices for k in range(1, slices)], 100 * slices).alias("_cuts"))
     stride = max(1, math.isqrt(slices))
@@ -68,11 +77,11 @@ def ranked(s: DataFrame, groups: Sequence[str], most: int | None = None, _level:
     # how many cuts are below a value: first among every stride-th of them, then within one stride
     jump = F.greatest(F.lit(0), under("_rough") - 1) * stride
     placed = join_groups(s, cuts, groups).select(*s.columns, (jump + under(F.slice("_cuts", jump + 1, F.lit(stride)))).alias(part))
-    counts = placed.groupBy(*groups, part).agg(F.count("*").alias("_c"))
+    counts = placed.groupBy(*groups, part).agg(F.count("*").alias("_c"), (F.sum(times) if times else F.count("*")).alias("_n"))
     largest = counts.agg(F.max("_c")).first()[0]
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c", "_n")
     # slices that are still too large are cut again, as long as that makes them smaller: equal values stay together
-    within = ranked(placed, [*groups, part], largest if largest < most else min(largest, WINDOW_ROWS), _level + 1)
+    within = ranked(placed, [*groups, part], largest if largest < most else min(largest, WINDOW_ROWS), _level + 1, times=times)
     return join_groups(within, before, [*groups, part]).select(*s.columns, (F.col("rank") + F.col("_before")).alias("rank"))
 
 

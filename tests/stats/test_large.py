@@ -47,6 +47,46 @@ def test_modes_of_large_groups(spark):
     assert time.monotonic() - began < 90
 
 
+def test_modes_rank_each_value_once(spark):
+    """A million rows of 500 values: ranks come from the values' counts, not from the rows."""
+    from pyspark.sql import functions as F
+
+    from steadfast.operators.modality import lowland_modes
+
+    df = spark.range(1_000_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 500).cast("double").alias("x"))
+    for groups in (["g"], []):
+        found = lowland_modes(df, "x", groups)
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number" not in text and "Window [sum(c" in text
+        assert [(r["mode"], r["left_bound"], r["right_bound"]) for r in found.collect()] == ([(0, 0.0, 498.0), (0, 1.0, 499.0)] if groups else [(0, 0.0, 499.0)])
+
+
+def test_quantiles_of_counted_values_are_those_of_their_rows(spark, monkeypatch):
+    from steadfast.functions.weights import SIMPLE, THD_SQRT
+    from steadfast.operators import quantiles, samples
+
+    r = np.random.default_rng(5)
+    x = {"a": np.r_[np.full(5000, 7.0), r.normal(0, 50, 3000).round(1)], "b": r.normal(0, 1, 4000), "a null": r.integers(0, 3, 2500).astype(float), "one": np.array([4.0])}
+    rows = [(None if g == "a null" else g, float(v)) for g, values in x.items() for v in values]
+    df = spark.createDataFrame(rows, "a string, x double")
+    ps = [0.0, *(k / 101 for k in range(1, 101)), 1.0]
+    for limit, driver, broadcast in ((samples.WINDOW_ROWS, quantiles.DRIVER_ROWS, quantiles.BROADCAST_WEIGHTS), (700, 0, quantiles.BROADCAST_WEIGHTS), (700, 0, 0)):
+        monkeypatch.setattr(samples, "WINDOW_ROWS", limit)
+        monkeypatch.setattr(samples, "SLICE_ROWS", 300)
+        monkeypatch.setattr(quantiles, "DRIVER_ROWS", driver)
+        monkeypatch.setattr(quantiles, "BROADCAST_WEIGHTS", broadcast)
+        for method in (HD, THD_SQRT, SIMPLE) if driver else (HD,):
+            measured = quantiles.measure(df, ["a"])
+            counts = samples.join_groups(samples.counted(df, ["a"]), measured.sizes, ["a"])
+            got = {(row["a"], row["p"]): row["q"] for row in quantiles.estimate_counted(counts, ["a"], ps, measured, method).collect()}
+            assert len(got) == len(x) * len(ps)
+            for g, values in x.items():
+                order = np.sort(values)
+                for p in ps:
+                    first, w = method.weights(len(values), p)
+                    assert abs(got[None if g == "a null" else g, p] - w @ order[first - 1 : first - 1 + len(w)]) < 1e-9
+
+
 def test_stream_tracker_on_windows_of_zeros_is_as_its_sql(spark, tmp_path):
     from steadfast.plans import queries
 
