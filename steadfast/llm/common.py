@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import itertools
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that cut() writes from one release() to the next: plans of that many jobs are held by the driver at most.
+CUTS = 8
+_cuts = itertools.count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: later work doesn't repeat it, and lost executors lose nothing.
 
-    The table is deleted when the driver ends.
+    The table is deleted when the driver ends. Each CUTS tables the driver's memory is released.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/steadfast-{uuid.uuid4().hex}"
@@ -53,6 +60,8 @@ def cut(df: DataFrame) -> DataFrame:
     atexit.register(_remove, spark, path)
     written = spark.read.schema(df.schema).parquet(path)
     written._path_of_cut = path
+    if next(_cuts) % CUTS == 0:
+        release(spark)
     return written
 
 
@@ -75,8 +84,34 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """
     for t in tables:
         _remove(spark, t._path_of_cut)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Gives memory of the driver that finished steps leave back to the machine: the heap's, and what the C library keeps.
+
+    An operator of a hundred jobs leaves plans, and threads' and compilers' freed blocks, which the driver otherwise
+    holds on to until its heap is full, whatever the size of the tables.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _trim(spark)
+
+
+def _trim(spark: SparkSession) -> bool:
+    """malloc_trim in the driver's JVM, where that has such a command (HotSpot on Linux); whether it ran."""
+    gateway, java = spark.sparkContext._gateway, spark.sparkContext._jvm.java
+    try:
+        # called by reflection, as the bean's own class is in a closed module
+        of, given = gateway.new_array(java.lang.Class, 4), gateway.new_array(java.lang.Object, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            of[i] = java.lang.Class.forName(name)
+        given[0], given[1] = spark.sparkContext._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call = java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", of)
+        call.invoke(java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # another JVM or an older one
+        return False
+    return True
 
 
 def _remove(spark: SparkSession, path: str) -> None:
