@@ -126,6 +126,45 @@ def test_bpe_is_tiktokens():
     assert "".join(byte_bpe.cut_text(long)) == long and len(ours.encode(long)) == len(theirs.encode_ordinary(long))
 
 
+def test_bpe_matches_share_queues(monkeypatch):
+    import tiktoken
+
+    path, pattern = byte_bpe.vocabulary()
+    ranks = byte_bpe.read_ranks(open(path, "rb").read())
+    ours, theirs = byte_bpe.Codec(ranks, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    r, calls, merge = random.Random(5), [], byte_bpe.Codec.merge
+    monkeypatch.setattr(byte_bpe.Codec, "merge", lambda c, of: calls.append(1) or merge(c, of))
+    texts = [" ".join("".join(r.choices("abcdeéstß", k=r.randrange(4, 20))) for _ in range(50)) + r.choice(["", "\n", "!"]) for _ in range(100)] + ["", "é" * 20_000]
+    assert ours.encode(texts[0]) == theirs.encode_ordinary(texts[0]) and len(calls) == 1  # a queue for each match took half of the time
+    got = byte_bpe._digest(ours, iter(texts))
+    assert len(calls) < 20
+    assert [x["n_tokens"] for x in got] == [len(theirs.encode_ordinary(t)) for t in texts]
+    assert [x["ids_sha256"] for x in got] == [brute.sha(",".join(map(str, theirs.encode_ordinary(t)))) for t in texts]
+    assert [x["decoded_sha256"] for x in got] == [brute.sha(t) for t in texts]
+
+
+def test_bpe_by_ranks_in_any_order():
+    r = random.Random(6)
+    for _ in range(30):
+        tokens = {bytes([b]) for b in range(256)} | {"".join(r.choices("aab", k=r.randrange(2, 7))).encode() for _ in range(40)}
+        ranks = dict(zip(r.sample(sorted(tokens), len(tokens)), r.sample(range(60_000), len(tokens)), strict=True))
+        codec = byte_bpe.Codec(ranks, r"\S+|\s+")
+        text = " ".join("".join(r.choices("aab", k=r.randrange(1, 40))) for _ in range(60))
+        expected = []
+        for match in codec.split.findall(text):
+            parts = [match.encode()] if match.encode() in ranks else [bytes([b]) for b in match.encode()]
+            while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]:
+                i = min(found)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            expected += [ranks[x] for x in parts]
+        assert codec.encode(text) == expected and codec.decode(expected) == text.encode()
+        with pytest.raises(KeyError):
+            codec.decode([next(i for i in range(60_000) if i not in set(ranks.values()))])
+        for outside in ([60_001], [-1], [None]):
+            with pytest.raises(KeyError):
+                codec.decode(outside)
+
+
 def test_bpe_columns(spark):
     docs = spark.createDataFrame([(1, "Hello, world"), (2, None)], "doc_id long, text string")
     path, pattern = byte_bpe.vocabulary()
